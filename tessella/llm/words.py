@@ -34,7 +34,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         n = max(n, SLICE + (1 << 18))
         for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            _powers[k] = np.cumprod(np.concatenate(([1], np.full(n - 1, b, U))).astype(U))
+            _powers[k] = np.cumprod(np.concatenate((np.ones(1, U), np.full(n - 1, b, U))), dtype=U)
     return _powers[0], _powers[1]
 
 
@@ -50,7 +50,7 @@ class Words(NamedTuple):
         if not len(self.start):
             return np.zeros(0, U)
         up, down = _power(len(self.data) + 1)
-        total = np.concatenate(([0], np.cumsum((self.data.astype(U) + U(1)) * up[: len(self.data)]))).astype(U)
+        total = np.concatenate((np.zeros(1, U), np.cumsum((self.data.astype(U) + U(1)) * up[: len(self.data)], dtype=U)))
         return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
 
     def word(self, k: int) -> bytes:
