@@ -6,12 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .minhash import near_duplicates
+from .mpeg import read_audio, to_audio
+from .packing import pack, token_pieces
+from .secrets import find_secrets
+from .topk import top_k
+
+
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_audio(to_audio(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, _ = pack(token_pieces(table(spark, sf_dir, "documents")))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
