@@ -150,8 +150,9 @@ def parse(data: bytes) -> Stream:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         follows = h and at + h.length + 4 <= end and header(data[at + h.length : at + h.length + 4])
-        same = h and (not follows or (follows.version, follows.layer, follows.hertz) == (h.version, h.layer, h.hertz))
-        if not h or at + h.length > end or not (same and (follows or first or at + h.length >= end)):
+        # the first frame needs a second that agrees with it; later ones agree with the first
+        like = first or follows or (h if h and at + h.length >= end else None)
+        if not h or at + h.length > end or not like or (like.version, like.layer, like.hertz) != (h.version, h.layer, h.hertz):
             nxt = data.find(b"\xff", at + 1, end)
             skipped += (nxt if nxt > 0 else end) - at
             at = nxt if nxt > 0 else end

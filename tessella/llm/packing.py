@@ -71,12 +71,11 @@ def lower_bound(lengths: np.ndarray, limit: int) -> int:
     x = np.arange(limit + 1)
     count, total = np.concatenate((n.cumsum(), [0])), np.concatenate(((n * x).cumsum(), [0]))
     best = -(-int(total[limit]) // limit)
-    for t in np.flatnonzero(n[: limit // 2 + 1]).tolist():
-        if t:
-            big = int(count[limit] - count[limit - t])
-            middle = int(total[limit - t] - total[t - 1])
-            best = max(best, big + -(-middle // limit))
-    for k in range(2, 21):
+    for t in {limit // 2, *np.flatnonzero(n[: limit // 2 + 1]).tolist()} - {0}:
+        big = int(count[limit] - count[limit - t])
+        middle = int(total[limit - t] - total[t - 1])
+        best = max(best, big + -(-middle // limit))
+    for k in range(1, 21):
         whole = (x * (k + 1)) % limit == 0
         value = np.where(whole, x * k, (x * (k + 1) // limit) * limit)  # in units of 1 / (k * limit)
         best = max(best, -(-int((n * value).sum()) // (k * limit)))

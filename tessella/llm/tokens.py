@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer, each distinct word encoded once.
 
 The word-end BPE never merges across white space, nor between a letter and a neighbouring
-ASCII sign other than the apostrophe, so a text's ids are those of its segments in order.
+ASCII sign other than the apostrophe (or within a special token), so a text's ids are those of its segments in order.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[33:128] = _SIGN
 _KIND[65:91] = _KIND[97:123] = _LETTER
 _KIND[0xC3:0xCA] = _LETTER  # leads of two-byte Latin letters
-_KIND[39] = _OTHER
+_KIND[[39, 60, 62, 124]] = _OTHER  # apostrophe, and the signs of special tokens: < > |
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 
 
@@ -65,9 +65,9 @@ class WordTokenizer:
         got: list = [None] * len(segments)
         others = []
         for k, (s, plain) in enumerate(zip(segments, letters, strict=True)):
-            if plain:
-                text = s.decode("utf-8", "replace").lower().encode().decode("latin-1").translate(self.names)
-                got[k] = [t.id for t in self.model.tokenize(text)]
+            low = s.decode("utf-8", "replace").lower() if plain else ""
+            if plain and len(low) == len(s.decode("utf-8", "replace")):  # else lower-casing made a mark
+                got[k] = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.names))]
             else:
                 others.append(k)
         if others:
