@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .minhash import near_duplicates
 from .mpeg import read_audio, to_audio
+from .passages import repeats
 from .packing import pack, token_pieces
 from .secrets import find_secrets
 from .topk import top_k
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_audio(to_audio(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
