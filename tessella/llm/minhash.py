@@ -184,12 +184,8 @@ def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.select("cluster", "i", "j", "chunk", "node", "text").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Two texts are linked when 100 * |A & B| >= percent * |A | B| over their sets of
-    ``size``-word shingles; component_id is the least key reachable.
-    """
+def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc, node (the digest of a text that has words), n_shingles, component_id."""
     prepare(docs.sparkSession)
     sig = stash(signatures(docs, size, bands, rows, key, text))
     nodes = sig.groupBy("node").agg(F.min("doc").alias("doc"))
@@ -218,6 +214,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = nodes.join(groups, "node", "left").select("node", F.coalesce("component_id", F.col("doc")).alias("component_id"))
     # a blank text is linked with nothing, not even with its copies
     out = sig.select("doc", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles").join(classes, "node", "left")
-    return out.select(
-        F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), (F.col("doc") == F.coalesce("component_id", "doc")).alias("kept")
-    )
+    return out.select("doc", "node", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Two texts are linked when 100 * |A & B| >= percent * |A | B| over their sets of
+    ``size``-word shingles; component_id is the least key reachable.
+    """
+    out = _grouped(docs, size, percent, bands, rows, key, text)
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the least key.  Of rows
+    alike in key and text one stays; rows without a key or without words stay."""
+    gone = _grouped(docs, size, percent, key=key, text=text).filter("doc != component_id and node is not null").select(F.col("doc").alias("_doc"), F.col("node").alias("_gone")).distinct()
+    named = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    left = named.join(gone, (F.col(key) == F.col("_doc")) & (F.col("_node") == F.col("_gone")), "left_anti")
+    return left.dropDuplicates([key, "_node"]).select(*docs.columns)

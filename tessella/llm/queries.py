@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gru, toxicity
+from . import crf, gru, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .mpeg import read_audio, to_audio
 from .passages import repeats
 from .packing import pack, token_pieces
+from .pieces import segmentations
 from .secrets import find_secrets
 from .topk import top_k
 
@@ -39,6 +40,14 @@ def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op7_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_n_best_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations(table(spark, sf_dir, "documents"))
+
+
 def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score(table(spark, sf_dir, "documents"))
 

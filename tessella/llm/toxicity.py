@@ -31,7 +31,7 @@ U = np.uint64
 SAMPLE, FEATURES, LEVELS = 12_000, 400, 3
 #: What a character may stand for, beside itself.
 LEET = {"4": "a", "@": "a", "3": "e", "1": "il", "!": "i", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z", "(": "c", "*": "aeiou", "#": "aeiou"}
-STAND, DROP, REPEAT, ANY = 0.5, 1.5, 0.3, 2.5
+STAND, DROP, REPEAT, PAIR, SOME, ANY = 0.5, 0.5, 0.3, 3.0, 12.0, 2.5
 PREFIXES = (4, 5, 6, 7, 8)
 LETTERS = 28  # 0 is a word's edge, 1 to 26 the letters, 27 any other letter
 
@@ -85,8 +85,8 @@ class CharacterModel:
     def restore(self, token: str) -> str:
         """The likeliest word behind a token: the Viterbi path of its lattice."""
         beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for ch in token:
+        before, token = "", token.rstrip("!*#|+(.,;:?\"'") or token  # closing signs stand for nothing
+        for at, ch in enumerate(token):
             options: list[tuple[int, float]] = []
             if "a" <= ch <= "z":
                 options.append((ord(ch) - 96, 0.0))
@@ -94,7 +94,11 @@ class CharacterModel:
                 options.append((27, 0.0))
             stand = LEET.get(ch, "")
             options += [(ord(c) - 96, STAND if len(stand) < 3 else ANY) for c in stand]
-            drop = REPEAT if ch == before and options else None if "a" <= ch <= "z" or ch > "\x7f" else DROP
+            # fillers go at little cost, repetitions too once they are three; what may stand for a letter seldom
+            if ch == before and options:
+                drop = REPEAT if token[max(0, at - 2) : at + 3].count(ch) > 2 else PAIR
+            else:
+                drop = SOME if stand else None if options else DROP
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (c, s) in beam.items():
                 if drop is not None and ((a, b) not in nxt or nxt[a, b][0] > c + drop):
