@@ -398,19 +398,19 @@ def version_lag_diff(t: Tables) -> DataFrame:
     return T.version_diff(t.conversations, "conv_id", "turn", ["role", "text"])
 
 
-@query("""WITH u AS (SELECT o_orderkey, 19950101 * 100000 + row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders WHERE o_orderkey % 4 = 0), f AS (SELECT o_orderkey, 19950101 + o_orderkey % 2 AS day FROM orders WHERE o_orderkey % 4 <> 0),
-m AS (SELECT max(id) - 19950101 * 100000 AS top FROM u) SELECT o_orderkey, day * 100000 + row_number() OVER (PARTITION BY day ORDER BY o_orderkey) + CASE WHEN day = 19950101 THEN (SELECT top FROM m) ELSE -1 END AS id FROM f""")
+@query("""WITH u AS (SELECT o_orderkey, 19950101::BIGINT * 100000 + row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders WHERE o_orderkey % 4 = 0), f AS (SELECT o_orderkey, 19950101::BIGINT + o_orderkey % 2 AS day FROM orders WHERE o_orderkey % 4 <> 0),
+m AS (SELECT max(id) - 19950101::BIGINT * 100000 AS top FROM u) SELECT o_orderkey, day * 100000 + row_number() OVER (PARTITION BY day ORDER BY o_orderkey) + CASE WHEN day = 19950101 THEN (SELECT top FROM m) ELSE -1 END AS id FROM f""")
 def sequential_ids(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     used = t.orders.filter(k % 4 == 0).select(k, (F.lit(19950101).cast("long") * 100000 + F.row_number().over(Window.orderBy(k)) - 1).alias("id"))
     return T.new_keys(t.orders.filter(k % 4 != 0).select(k, (F.lit(19950101).cast("long") + k % 2).alias("day")), used, "o_orderkey", "day")
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM lineitem)
-SELECT l_suppkey, l_orderkey, l_linenumber, total, total <= 500 AS sent FROM s""")
+@query("""WITH s AS (SELECT l_suppkey, l_orderkey, l_partkey, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM lineitem)
+SELECT l_suppkey, l_orderkey, l_partkey, total, total <= 500 AS sent FROM s""")
 def budget_cut(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
-    return T.budget_cut(rows, ["l_suppkey"], [F.desc("l_orderkey"), "l_linenumber"], "q", 500).drop("q")
+    rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    return T.budget_cut(rows, ["l_suppkey"], [F.desc("l_orderkey"), "l_linenumber", "l_partkey", "q"], "q", 500).drop("q", "l_linenumber")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) SELECT user_id, event_id, rank FROM r WHERE rank <= 30""")
@@ -479,7 +479,7 @@ def status_transition(t: Tables) -> DataFrame:
     return D.transition(old, new, "c_custkey", "v")
 
 
-@query("""SELECT user_id, array_to_string(list_slice(list(event_id ORDER BY ts, event_id), -5, NULL), ',') AS last FROM events GROUP BY user_id""")
+@query("""SELECT user_id, array_to_string(list_reverse((list(event_id ORDER BY ts DESC, event_id DESC))[1:5]), ',') AS last FROM events GROUP BY user_id""")
 def ring_trimmed(t: Tables) -> DataFrame:
     ids = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string"))
     return t.events.groupBy("user_id").agg(ids.alias("e")).select("user_id", F.array_join(D.ring(F.col("e"), 5), ",").alias("last"))
@@ -565,7 +565,7 @@ def search_facet_window(t: Tables) -> DataFrame:
     return Q.faceted(t.documents, Q.has_word(toks, "license"), {"source": ["src1", "src2", "src3", "src4", "src5"]}, ["lang", "source"], [F.desc("n_chars"), "doc_id"], 500, 20)
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '') AS k FROM documents), f AS (SELECT doc_id, len(k) AS n, len(list_filter(k, x -> x = 'license')) AS a, len(list_filter(k, x -> x = 'version')) AS b FROM d),
+@query("""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS k FROM documents), f AS (SELECT doc_id, len(k) AS n, len(list_filter(k, lambda x: x = 'license')) AS a, len(list_filter(k, lambda x: x = 'version')) AS b FROM d),
 s AS (SELECT count(*) AS total, avg(n) AS mean, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS da, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS db FROM f)
 SELECT doc_id, round(-((CASE WHEN ln((total - da + 0.5) / (da + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - da + 0.5) / (da + 0.5)) END) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + (CASE WHEN ln((total - db + 0.5) / (db + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - db + 0.5) / (db + 0.5)) END) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM f, s WHERE a > 0 AND b > 0""")
 def bm25_scores(t: Tables) -> DataFrame:
