@@ -1,0 +1 @@
+from . import catalogue, more  # noqa: F401  (both register their queries)
