@@ -167,43 +167,39 @@ def capped_sources(t: Tables) -> DataFrame:
     return t.orders.limit(1000).select(F.lit(1).alias("x")).unionAll(t.part.limit(500).select(F.lit(1).alias("x"))).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_custkey AS custkey, p_brand AS brand, count(DISTINCT l_partkey) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-WHERE p_size <= 5 GROUP BY o_custkey, p_brand""")
+@query("""SELECT o_custkey AS custkey, p_brand AS brand, count(DISTINCT l_partkey) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey, p_brand""")
 def used_by_distinct(t: Tables) -> DataFrame:
-    small = t.part.filter("p_size <= 5")
-    j = t.lineitem.join(small, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy(F.col("o_custkey").alias("custkey"), F.col("p_brand").alias("brand")).agg(F.countDistinct("l_partkey").alias("parts"))
 
 
-@query("""WITH a AS (SELECT doc_id, source AS s, lang AS v FROM documents WHERE doc_id % 10 <> 1), b AS (SELECT doc_id, source AS s, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS v FROM documents WHERE doc_id % 10 <> 2)
+@query("""WITH a AS (SELECT doc_id, lang AS v FROM documents WHERE source <> 'src1'), b AS (SELECT doc_id, CASE WHEN n_chars > 3000 THEN 'xx' ELSE lang END AS v FROM documents WHERE source <> 'src2')
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id
 WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.v IS DISTINCT FROM b.v""")
 def tree_diff(t: Tables) -> DataFrame:
-    # the two snapshots are made from one table; every row of it takes part in one or both
-    old = t.documents.filter("doc_id % 10 <> 1").select("doc_id", "lang")
-    new = t.documents.filter("doc_id % 10 <> 2").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")).alias("lang"))
+    # two snapshots of one table: a source comes, a source goes, long texts change
+    old = t.documents.filter("source <> 'src1'").select("doc_id", "lang")
+    new = t.documents.filter("source <> 'src2'").select("doc_id", F.when(F.col("n_chars") > 3000, "xx").otherwise(F.col("lang")).alias("lang"))
     return R.tree_diff(old, new, "doc_id", "lang")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o.v = o.b AND w.v = w.b THEN 'unchanged' WHEN o.v = w.v THEN 'both' WHEN w.v = w.b THEN 'ours' WHEN o.v = o.b THEN 'theirs' ELSE 'conflict' END AS outcome
-FROM (SELECT o_orderkey, o_orderstatus AS b, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders) o
-JOIN (SELECT o_orderkey, o_orderstatus AS b, CASE WHEN o_orderkey % 6 = 0 THEN 'X' WHEN o_orderkey % 9 = 0 THEN 'Y' WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders) w USING (o_orderkey)""")
+FROM (SELECT o_orderkey, o_orderstatus AS b, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS v FROM orders) o
+JOIN (SELECT o_orderkey, o_orderstatus AS b, CASE WHEN o_totalprice > 300000 THEN 'X' WHEN o_totalprice > 250000 THEN 'Y' WHEN o_orderpriority = '5-LOW' THEN 'Z' ELSE o_orderstatus END AS v FROM orders) w USING (o_orderkey)""")
 def three_way_merge(t: Tables) -> DataFrame:
-    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    k, s, price = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_totalprice")
     base = t.orders.select(k, s.alias("v"))
-    ours = t.orders.select(k, F.when(k % 3 == 0, "X").otherwise(s).alias("v"))
-    theirs = t.orders.select(k, F.when(k % 6 == 0, "X").when(k % 9 == 0, "Y").when(k % 5 == 0, "Z").otherwise(s).alias("v"))
+    ours = t.orders.select(k, F.when(price > 200000, "X").otherwise(s).alias("v"))
+    theirs = t.orders.select(k, F.when(price > 300000, "X").when(price > 250000, "Y").when(F.col("o_orderpriority") == "5-LOW", "Z").otherwise(s).alias("v"))
     return R.merge_three(base, ours, theirs, "o_orderkey", "v")
 
 
-@query("""WITH b AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 11 <> 0)
-SELECT b.s_suppkey, CASE WHEN b.s_suppkey % 5 = 1 THEN 99 ELSE b.s_nationkey END AS s_nationkey FROM b WHERE b.s_suppkey % 7 <> 0 OR b.s_suppkey % 5 = 1
-UNION ALL SELECT s_suppkey, 98 FROM supplier WHERE s_suppkey % 11 = 0""")
+@query("""WITH b AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey <> 3) SELECT s_suppkey, CASE WHEN s_acctbal > 6000 THEN 99 ELSE s_nationkey END AS s_nationkey FROM b WHERE s_acctbal >= 0
+UNION ALL SELECT s_suppkey, 98 FROM supplier WHERE s_nationkey = 3""")
 def edit_overlay(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey")
-    base = t.supplier.filter(k % 11 != 0).select(k, F.col("s_nationkey"))
-    op = F.when(k % 11 == 0, "add").when(k % 5 == 1, "set").when(k % 7 == 0, "remove")
-    edits = t.supplier.select(k, op.alias("op"), F.when(op == "add", 98).otherwise(99).alias("s_nationkey")).filter("op is not null")
+    base = t.supplier.filter("s_nationkey <> 3").select("s_suppkey", "s_nationkey")
+    op = F.when(F.col("s_nationkey") == 3, "add").when(F.col("s_acctbal") > 6000, "set").when(F.col("s_acctbal") < 0, "remove")
+    edits = t.supplier.select("s_suppkey", op.alias("op"), F.when(op == "add", 98).otherwise(99).alias("s_nationkey")).filter("op is not null")
     return R.overlay(base, edits, ["s_suppkey"], "op", "s_nationkey")
 
 
@@ -355,10 +351,10 @@ def thread_latest(t: Tables) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM w WHERE term <> ''),
-d AS (SELECT term, count(*) AS df FROM w WHERE term <> '' GROUP BY term) SELECT term, df, round(greatest(0, ln((n + 1) / (df + 0.5)) / ln(n + 1)), 6) AS idf FROM d, n WHERE df >= 20""")
+d AS (SELECT term, count(*) AS df FROM w WHERE term <> '' GROUP BY term) SELECT term, df, round(greatest(0, ln((n + 1) / (df + 0.5)) / ln(n + 1)), 6) AS idf FROM d, n""")
 def idf_terms(t: Tables) -> DataFrame:
     terms = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).filter("term <> ''")
-    return R.document_frequency(terms, "doc_id", "term").filter("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.document_frequency(terms, "doc_id", "term").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("SELECT user_id, least(n, 11) AS bucket, count(*) AS days FROM (SELECT user_id, ts::DATE AS d, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1, 2")
@@ -398,12 +394,14 @@ def version_lag_diff(t: Tables) -> DataFrame:
     return T.version_diff(t.conversations, "conv_id", "turn", ["role", "text"])
 
 
-@query("""WITH u AS (SELECT o_orderkey, 19950101::BIGINT * 100000 + row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders WHERE o_orderkey % 4 = 0), f AS (SELECT o_orderkey, 19950101::BIGINT + o_orderkey % 2 AS day FROM orders WHERE o_orderkey % 4 <> 0),
-m AS (SELECT max(id) - 19950101::BIGINT * 100000 AS top FROM u) SELECT o_orderkey, day * 100000 + row_number() OVER (PARTITION BY day ORDER BY o_orderkey) + CASE WHEN day = 19950101 THEN (SELECT top FROM m) ELSE -1 END AS id FROM f""")
+@query("""WITH d AS (SELECT o_orderkey, o_orderpriority, CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS day FROM orders), u AS (SELECT day, o_orderkey, day * 100000 + row_number() OVER (PARTITION BY day ORDER BY o_orderkey) - 1 AS id FROM d WHERE o_orderpriority = '1-URGENT'),
+m AS (SELECT day, max(id) - day * 100000 AS top FROM u GROUP BY day), f AS (SELECT * FROM d WHERE o_orderpriority <> '1-URGENT')
+SELECT o_orderkey, f.day * 100000 + row_number() OVER (PARTITION BY f.day ORDER BY o_orderkey) + coalesce(top, -1) AS id FROM f LEFT JOIN m ON f.day = m.day""")
 def sequential_ids(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    used = t.orders.filter(k % 4 == 0).select(k, (F.lit(19950101).cast("long") * 100000 + F.row_number().over(Window.orderBy(k)) - 1).alias("id"))
-    return T.new_keys(t.orders.filter(k % 4 != 0).select(k, (F.lit(19950101).cast("long") + k % 2).alias("day")), used, "o_orderkey", "day")
+    days = t.orders.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyyMMdd").cast("long").alias("day"))
+    by_day = F.row_number().over(Window.partitionBy("day").orderBy("o_orderkey"))
+    used = days.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", (F.col("day") * 100000 + by_day - 1).alias("id"))
+    return T.new_keys(days.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", "day"), used, "o_orderkey", "day")
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_orderkey, l_partkey, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM lineitem)
@@ -452,30 +450,28 @@ def unique_ignoring_case(t: Tables) -> DataFrame:
     return t.part.groupBy(F.lower("p_brand").alias("_k")).agg(F.min_by("p_brand", "p_partkey").alias("p_brand"), F.min("p_partkey").alias("p_partkey")).drop("_k")
 
 
-@query("""SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, CASE WHEN b.s_suppkey IS NULL THEN a.s_name WHEN b.s_name = '' THEN coalesce(a.s_name, NULL) ELSE b.s_name END AS s_name, CASE WHEN b.s_suppkey IS NULL THEN a.s_acctbal ELSE coalesce(b.s_acctbal, a.s_acctbal) END AS s_acctbal
-FROM (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0) a FULL OUTER JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name || '!' END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal + 1 END AS s_acctbal FROM supplier WHERE s_suppkey % 4 <> 0) b ON a.s_suppkey = b.s_suppkey""")
+@query("""SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, CASE WHEN b.s_suppkey IS NULL THEN a.s_name WHEN b.s_name = '' THEN a.s_name ELSE b.s_name END AS s_name, CASE WHEN b.s_suppkey IS NULL THEN a.s_acctbal ELSE coalesce(b.s_acctbal, a.s_acctbal) END AS s_acctbal
+FROM (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_nationkey < 18) a FULL OUTER JOIN (SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN '' ELSE s_name || '!' END AS s_name, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal + 1 END AS s_acctbal FROM supplier WHERE s_nationkey > 6) b ON a.s_suppkey = b.s_suppkey""")
 def upsert_keep_filled(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey")
-    old = t.supplier.filter(k % 3 != 0).select(k, "s_name", "s_acctbal")
-    new = t.supplier.filter(k % 4 != 0).select(k, F.when(k % 2 == 0, "").otherwise(F.concat("s_name", F.lit("!"))).alias("s_name"), F.when(k % 5 != 0, F.col("s_acctbal") + 1).alias("s_acctbal"))
+    old = t.supplier.filter("s_nationkey < 18").select("s_suppkey", "s_name", "s_acctbal")
+    b = F.col("s_acctbal")
+    new = t.supplier.filter("s_nationkey > 6").select("s_suppkey", F.when(b > 5000, "").otherwise(F.concat("s_name", F.lit("!"))).alias("s_name"), F.when(~(b < 0), b + 1).alias("s_acctbal"))
     return D.upsert(old, new, ["s_suppkey"], keep_filled=True)
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 9 <> 0) a
-FULL OUTER JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 0) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.h <> b.h""")
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE source <> 'src4') a
+FULL OUTER JOIN (SELECT doc_id, sha256(CASE WHEN lang = 'es' THEN text || '.' ELSE text END) AS h FROM documents WHERE source <> 'src5') b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.h <> b.h""")
 def row_hash_delta(t: Tables) -> DataFrame:
-    k = F.col("doc_id")
-    state = t.documents.filter(k % 9 != 0).select(k, D.row_hash("text").alias("digest"))
-    now = t.documents.filter(k % 10 != 0).withColumn("text", F.when(k % 13 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).select(k, D.row_hash("text").alias("digest"))
+    state = t.documents.filter("source <> 'src4'").select("doc_id", D.row_hash("text").alias("digest"))
+    now = t.documents.filter("source <> 'src5'").withColumn("text", F.when(F.col("lang") == "es", F.concat("text", F.lit("."))).otherwise(F.col("text"))).select("doc_id", D.row_hash("text").alias("digest"))
     return D.delta(state, now, "doc_id")
 
 
-@query("""SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'withdrawn' WHEN a.c_custkey IS NOT NULL AND a.v <> b.v THEN 'superseded' ELSE 'current' END AS status FROM (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 0) a
-FULL OUTER JOIN (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0) b ON a.c_custkey = b.c_custkey""")
+@query("""SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'withdrawn' WHEN a.c_custkey IS NOT NULL AND a.v <> b.v THEN 'superseded' ELSE 'current' END AS status FROM (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_nationkey <> 5) a
+FULL OUTER JOIN (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_nationkey <> 7) b ON a.c_custkey = b.c_custkey""")
 def status_transition(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    old = t.customer.filter(k % 5 != 0).select(k, F.col("c_mktsegment").alias("v"))
-    new = t.customer.filter(k % 7 != 0).select(k, F.when(k % 4 == 0, "X").otherwise(F.col("c_mktsegment")).alias("v"))
+    old = t.customer.filter("c_nationkey <> 5").select("c_custkey", F.col("c_mktsegment").alias("v"))
+    new = t.customer.filter("c_nationkey <> 7").select("c_custkey", F.when(F.col("c_acctbal") < 0, "X").otherwise(F.col("c_mktsegment")).alias("v"))
     return D.transition(old, new, "c_custkey", "v")
 
 

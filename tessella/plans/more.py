@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,20 +13,24 @@ from ..operators import relational as R
 from .catalogue import Tables, query
 
 
-@query("""WITH a AS (SELECT c_nationkey AS g, c_custkey AS id, lower(c_mktsegment) AS name, c_custkey % 5 AS pos FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_nationkey AS g, c_custkey AS id, lower(c_mktsegment) AS name, c_custkey % 5 AS pos FROM customer WHERE c_custkey % 2 = 1),
+@query("""WITH a AS (SELECT c_nationkey AS g, c_custkey AS id, lower(c_mktsegment) AS name, CAST(floor(c_acctbal / 500) AS BIGINT) AS pos FROM customer WHERE c_acctbal >= 4500), b AS (SELECT c_nationkey AS g, c_custkey AS id, lower(c_mktsegment) AS name, CAST(floor((c_acctbal + 5500) / 500) AS BIGINT) AS pos FROM customer WHERE c_acctbal < 4500),
 p AS (SELECT x.g, x.id AS "left", y.id AS "right" FROM (SELECT g, pos, name, min(id) AS id FROM a GROUP BY 1, 2, 3 HAVING count(*) = 1) x JOIN (SELECT g, pos, name, min(id) AS id FROM b GROUP BY 1, 2, 3 HAVING count(*) = 1) y ON x.g = y.g AND x.pos = y.pos AND x.name = y.name),
 a2 AS (SELECT * FROM a WHERE id NOT IN (SELECT "left" FROM p)), b2 AS (SELECT * FROM b WHERE id NOT IN (SELECT "right" FROM p)),
 q AS (SELECT x.g, x.id AS "left", y.id AS "right" FROM (SELECT g, name, min(id) AS id FROM a2 GROUP BY 1, 2 HAVING count(*) = 1) x JOIN (SELECT g, name, min(id) AS id FROM b2 GROUP BY 1, 2 HAVING count(*) = 1) y ON x.g = y.g AND x.name = y.name)
 SELECT g, "left", "right", 'position' AS how FROM p UNION ALL SELECT g, "left", "right", 'name' FROM q""")
 def person_pairing(t: Tables) -> DataFrame:
-    c = t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.lit("").alias("orcid"), (F.col("c_custkey") % 5).alias("position"), F.col("c_mktsegment").alias("name"))
-    return N.pair_people(c.filter("id % 2 = 0"), c.filter("id % 2 = 1"), "g")
+    b = F.col("c_acctbal")
 
+    def side(rows: DataFrame, at: Column) -> DataFrame:
+        return rows.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.lit("").alias("orcid"), F.floor(at / 500).alias("position"), F.col("c_mktsegment").alias("name"))
 
-@query("""WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS k FROM part WHERE p_size <= 3), x AS (SELECT DISTINCT p_name, k FROM w), y AS (SELECT a.p_name AS a, b.p_name AS b, len(list_distinct(list_intersect(a.k, b.k))) / least(len(list_distinct(a.k)), len(list_distinct(b.k))) AS s FROM x a JOIN x b ON a.k[1] = b.k[1] AND a.p_name < b.p_name)
+    return N.pair_people(side(t.customer.filter(b >= 4500), b), side(t.customer.filter(b < 4500), b + 5500), "g")
+
+
+@query("""WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS k FROM part), x AS (SELECT DISTINCT p_name, k FROM w), y AS (SELECT a.p_name AS a, b.p_name AS b, len(list_distinct(list_intersect(a.k, b.k))) / least(len(list_distinct(a.k)), len(list_distinct(b.k))) AS s FROM x a JOIN x b ON a.k[1] = b.k[1] AND a.p_name < b.p_name)
 SELECT a, b, round(s, 6) AS share FROM y WHERE s >= 0.5""")
 def title_containment(t: Tables) -> DataFrame:
-    x = t.part.filter("p_size <= 3").select("p_name").distinct().withColumn("k", F.split("p_name", " "))
+    x = t.part.select("p_name").distinct().withColumn("k", F.split("p_name", " "))
     a, b = x.select(F.col("p_name").alias("a"), F.col("k").alias("ka"), F.col("k")[0].alias("f")), x.select(F.col("p_name").alias("b"), F.col("k").alias("kb"), F.col("k")[0].alias("f"))
     share = N.word_overlap(F.col("ka"), F.col("kb"))
     return a.join(b, "f").filter("a < b").withColumn("share", F.round(share, 6)).filter("share >= 0.5").select("a", "b", "share")
@@ -39,9 +43,9 @@ def layer_join(t: Tables) -> DataFrame:
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.max(level).alias("level"), F.count("*").alias("n"), names.alias("names"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'human' WHEN o_orderpriority = '5-LOW' THEN 'dismissed' ELSE 'open' END AS triage FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'human' WHEN o_orderpriority = '5-LOW' THEN 'dismissed' ELSE 'open' END AS triage FROM orders""")
 def triage_overlay(t: Tables) -> DataFrame:
-    human = t.orders.filter("o_orderkey % 10 = 0").select("o_orderkey", F.lit("human").alias("told"))
+    human = t.orders.filter("o_totalprice > 400000").select("o_orderkey", F.lit("human").alias("told"))
     auto = F.when(F.col("o_orderpriority") == "5-LOW", "dismissed").otherwise("open")
     return t.orders.join(human, "o_orderkey", "left").select("o_orderkey", F.coalesce("told", auto).alias("triage"))
 
@@ -140,11 +144,11 @@ def publish_guard(t: Tables) -> DataFrame:
     return n.agg(F.count("*").alias("keys"), many.alias("doubled"), (many * 2 < F.count("*")).alias("publish"))
 
 
-@query("""SELECT p_partkey, strftime(m, '%Y-%m') AS month FROM (SELECT p_partkey, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-01' + to_months(CAST(p_size % 6 AS INTEGER)), INTERVAL 1 MONTH)) AS m FROM part WHERE p_size <= 10)""")
+@query("""SELECT p_partkey, strftime(m, '%Y-%m') AS month FROM (SELECT p_partkey, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-01' + to_months(CAST(p_size % 6 AS INTEGER)), INTERVAL 1 MONTH)) AS m FROM part)""")
 def month_walk(t: Tables) -> DataFrame:
     first = F.lit("2024-01-01").cast("date")
     months = F.explode(F.sequence(F.add_months(first, F.col("p_size") % 6), first, F.expr("interval -1 month"))).alias("m")
-    return t.part.filter("p_size <= 10").select("p_partkey", months).select("p_partkey", F.date_format("m", "yyyy-MM").alias("month"))
+    return t.part.select("p_partkey", months).select("p_partkey", F.date_format("m", "yyyy-MM").alias("month"))
 
 
 @query("""WITH a AS (SELECT user_id, CAST(floor(date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 00:00:00') / 604800.0) AS BIGINT) AS week FROM events) SELECT user_id, week, count(*) AS n FROM a WHERE week < 4 GROUP BY 1, 2""")
@@ -160,9 +164,9 @@ def pinned_first(t: Tables) -> DataFrame:
     return t.orders.orderBy(F.desc(pinned), F.desc(score), "o_orderkey").limit(100).select("o_orderkey")
 
 
-@query("""SELECT r_name, n_name, sum(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END)::BIGINT AS high, sum(CASE WHEN s_acctbal <= 5000 AND s_acctbal > 0 THEN 1 ELSE 0 END)::BIGINT AS low FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey % 9 <> 4 GROUP BY 1, 2""")
+@query("""SELECT r_name, n_name, sum(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END)::BIGINT AS high, sum(CASE WHEN s_acctbal <= 5000 AND s_acctbal > 0 THEN 1 ELSE 0 END)::BIGINT AS low FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_nationkey <> 4 GROUP BY 1, 2""")
 def severity_overview(t: Tables) -> DataFrame:
-    dismissed = t.supplier.filter("s_suppkey % 9 = 4").select("s_suppkey")
+    dismissed = t.supplier.filter("s_nationkey = 4").select("s_suppkey")
     j = t.supplier.join(dismissed, "s_suppkey", "left_anti").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
     return j.groupBy("r_name", "n_name").agg(F.count_if(F.col("s_acctbal") > 5000).alias("high"), F.count_if((F.col("s_acctbal") <= 5000) & (F.col("s_acctbal") > 0)).alias("low"))
 
