@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, gru, toxicity
+from . import crf, gru, oracles, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .mpeg import read_audio, to_audio
@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_bit_sliced_top_k": oracles.TOP_K, "op6_superminhash": oracles.NEAR_DUPLICATES}
