@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -44,6 +44,31 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, order: Column, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df`` by a hash of ``order``, the same in any partitioning.
+
+    A row count sets a first cut on the hash, so tasks pass on a few rows more than asked for
+    in all, instead of ``most`` each.
+    """
+    n = df.count()
+    if n > 2 * most:
+        df = df.filter(F.pmod(F.xxhash64(order), F.lit(1 << 30)) < int((1 << 30) * min(1.0, (1.5 * most + 200) / n)))
+    return df.orderBy(F.xxhash64(order), order).limit(most)
+
+
+def commonest(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest counts, as many as fit ``most`` when counts within a
+    sixteenth of an octave go together: a filter, with no order over all rows."""
+    step = F.floor(F.log2(F.col(n)) * 16)
+    sizes = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)  # a few hundred rows
+    held, least = 0, None
+    for at, size in sizes:
+        if held + size > most:
+            break
+        held, least = held + size, at
+    return counts.limit(0) if least is None else counts.filter(step >= least)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over edges (u, v) with v < u, returned in that form.
 

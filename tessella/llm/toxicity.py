@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import prepare
+from .common import bounded_sample, prepare
 
 U = np.uint64
 SAMPLE, FEATURES, LEVELS = 12_000, 400, 3
@@ -263,7 +263,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, thr
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == held, F.lit(False)).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     model = CharacterModel(character_counts(rows))
     marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    some = marked.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held).orderBy(F.xxhash64("doc_id"), "y").limit(SAMPLE)
+    some = bounded_sample(marked.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held), F.struct("doc_id", "y"), SAMPLE)
     sample = rows.join(F.broadcast(some), "doc_id").select("text", "y")  # SAMPLE short rows at most are broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
