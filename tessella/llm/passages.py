@@ -1,16 +1,18 @@
 """Substring dedup: passages that repeat, exactly or nearly, across documents.
 
 Compact windows (Peng, Wang and Deng, SIGMOD 2023): under one hash function, every stretch of
-a text that is long enough has one least shingle; stretches with the same one form a window
-(left, least position, right), a node of the Cartesian tree over the hashes.  A text of n
-shingles has about 2n / t windows for stretches of t or more, so a text's exact repeats share
-a window's hash under every function, and near repeats under most.
-
-Plan: windows come from a scan (twice, rather than kept on disk).  Windows with one hash meet
-in that hash's first and last document, stars instead of pairs, by a plain join that adaptive
-execution may split.  A pair goes on when the windows of enough hash functions overlap in one
-stretch (an interval join within the pair's short list).  Only texts of such pairs are
-shuffled; the passages are then verified on the full shingle sets, in those stretches.
+a text that is long enough has one least element; stretches with the same one form a window
+(left, least position, right), a node of the Cartesian tree over the hashes.  The elements are
+runs of ``GRAM`` words and a window has ``WIDE`` of them, so two texts that share ``GRAM + WIDE - 1``
+= 20 words in a row share a window's hash for certain.  A passage of 50 words or more at 0.8
+always has such a run: with all its runs under 16 shingles of five words, what one gap parts
+(9 shingles of both texts at least) already exceeds a quarter of what the runs have in common.
+
+Plan: the least elements come from a scan.  First each holder of one meets its first holder, a
+star, when they share more than one.  The texts of these pairs are verified on all their
+shingles.  Where a holder's place lies in no passage found so far, it meets *all* earlier
+holders, by blocks of bounded size, as far as the shingles around both places agree in
+``AGREE`` or more; then those pairs are verified.  No holder is left out.
 
 Defined results: a row (doc_id, source_id, ...) for each passage of ``doc_id`` that an earlier
 document (smaller id) has, so the first holder of a passage stays clean; repeats within one
@@ -34,6 +36,13 @@ U = np.uint64
 SHINGLE = 5
 #: Shingles that a single edit may part.
 GAP = 2 * SHINGLE
+#: Words of a window's elements, and elements of a window.
+GRAM, WIDE = 10, 11
+#: Shingles on each side of a place that are compared, and how many must agree: of a passage
+#: that has the place in its longer run, 35 lie that near; places within a shingle's gap go together.
+AROUND, AGREE = 45, 24
+#: Holders of a window that are compared at a time.
+BLOCK = 128
 FIELDS = "doc_id long, source_id long, start int, end int, source_start int, source_end int, n_words int, similarity double, digest string"
 
 
@@ -77,47 +86,93 @@ def compact_windows(a: np.ndarray, t: int, widest: int) -> tuple[np.ndarray, np.
     return c[keep], left[keep], right[keep]
 
 
-def windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
-    """(bucket, node, l, r) of the documents (doc_id, text): the bucket's low bits name the function."""
-    t = least - SHINGLE + 1
+def windows(docs: DataFrame, least: int) -> DataFrame:
+    """(bucket, node, tag, c) of the documents (doc_id, tag, text): the word at which a window's least element begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), W.column(batch, "text")
+            keys, tags, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), W.column(batch, "text")
             for a, b in W.slices(texts):
                 words = W.split(texts.slice(a, b - a))
                 h = words.hashes()
                 many = np.diff(words.first)
                 if not len(h) or many.max() < least:
                     continue
-                sh, doc = W.shingles(words, SHINGLE, h)
+                sh, doc = W.shingles(words, GRAM, h)
                 use = many[doc] >= least
                 sh, doc = sh[use], doc[use]
                 first = np.searchsorted(doc, np.arange(b - a))
                 place = np.arange(len(doc)) + doc - doc[0] + 1  # a gap of one or more before each text
-                a0 = np.zeros(int(place[-1]) + 2, U)
-                own = np.zeros(len(a0), np.int64)
+                x = np.zeros(int(place[-1]) + 2, U)
+                own = np.zeros(len(x), np.int64)
                 own[place] = np.arange(len(doc))
-                for k in range(hashes):
-                    x = W.mix(sh + U((k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) | U(1)
-                    a0[place] = x
-                    c, lo, hi = compact_windows(a0, t, int(many.max()))
-                    if not len(c):
-                        continue
-                    i, d = own[c], doc[own[c]]
-                    bucket = W.mix(x[i]) & U(0xFFFFFFFFFFFFFFF8) | U(k)
-                    left, right = own[lo] - first[d], own[hi - 1] - first[d] + 1
-                    # a text that repeats itself has many windows with one hash: one row, around them all
-                    order = np.lexsort((bucket, d))
-                    new = np.ones(len(order), bool)
-                    new[1:] = (bucket[order][1:] != bucket[order][:-1]) | (d[order][1:] != d[order][:-1])
-                    at = np.flatnonzero(new)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket[order][at].view(np.int64)), pa.array(keys[a:b][d[order][at]], pa.int64()), pa.array(np.minimum.reduceat(left[order], at).astype(np.int32)), pa.array(np.maximum.reduceat(right[order], at).astype(np.int32))],
-                        ["bucket", "node", "l", "r"],
-                    )
-
-    return docs.mapInArrow(run, "bucket long, node long, l int, r int")
+                x[place] = W.mix(sh) | U(1)
+                c = compact_windows(x, WIDE, int(many.max()))[0]
+                bucket, d = x[c], doc[own[c]]
+                at = own[c] - first[d]
+                # a text that repeats itself within a gap: one row for each stretch
+                order = np.lexsort((at, bucket, d))
+                same = np.zeros(len(order), bool)
+                same[1:] = (d[order][1:] == d[order][:-1]) & (bucket[order][1:] == bucket[order][:-1]) & (at[order][1:] // SHINGLE == at[order][:-1] // SHINGLE)
+                order = order[~same]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[order].view(np.int64)), pa.array(keys[a:b][d[order]], pa.int64()), pa.array(tags[a:b][d[order]], pa.int64()), pa.array(at[order].astype(np.int32))],
+                    ["bucket", "node", "tag", "c"],
+                )
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "bucket long, node long, tag long, c int")
+
+
+def surroundings(holders: DataFrame) -> DataFrame:
+    """(bucket, node, open, around) of rows (node, text, w): 16 bits of each shingle around the places ``w``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for node, text, w in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                sh = W.shingles(W.split(pa.array([text])), SHINGLE)[0]
+                padded = np.zeros(len(sh) + 2 * AROUND, np.uint16)
+                padded[AROUND : AROUND + len(sh)] = np.maximum((sh >> U(48)).astype(np.uint16), 1)
+                out += [(x["bucket"], node, x["open"], padded[x["c"] : x["c"] + 2 * AROUND + 1].tobytes()) for x in w]
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "node", "open", "around"])
+
+    return holders.select("node", "text", "w").mapInArrow(run, "bucket long, node long, open boolean, around binary")
+
+
+def agreeing(groups: DataFrame) -> DataFrame:
+    """(node, hub) of rows (cross, members (node, open, side, around)): open members and the
+    earlier ones (of the other side where ``cross``) whose surroundings agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((2, 0), np.int64)]
+            ends = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).values
+            node, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "side"))
+            is_open, around = flat.field("open").to_numpy(zero_copy_only=False).astype(bool), flat.field("around").to_pylist()
+            for k in range(batch.num_rows):
+                a, b = int(ends[k]), int(ends[k + 1])
+                if b - a < 2 or not is_open[a:b].any():
+                    continue
+                values = np.frombuffer(b"".join(around[a:b]), np.uint16).reshape(b - a, -1)
+                used = np.bincount(values.ravel(), minlength=1 << 16)
+                used[0] = 0
+                shared = np.flatnonzero(used > 1)
+                rank = np.full(1 << 16, len(shared))
+                rank[shared] = np.arange(len(shared))
+                n = np.bincount((rank[values] + np.arange(b - a)[:, None] * (len(shared) + 1)).ravel(), minlength=(b - a) * (len(shared) + 1)).reshape(b - a, -1)[:, :-1].astype(np.float32)
+                both = n @ (n > 0).T.astype(np.float32)
+                ok = (np.maximum(both, both.T) >= AGREE) & is_open[a:b, None] & (node[a:b][None] < node[a:b, None])
+                if batch.column(0)[k].as_py():
+                    ok &= side[a:b][None] != side[a:b, None]
+                x, y = np.nonzero(ok)
+                found.append(np.stack((node[a:b][x], node[a:b][y])))
+            pairs = np.unique(np.concatenate(found, 1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "hub"])
+
+    return groups.select("cross", "members").mapInArrow(run, "node long, hub long").distinct()
 
 
 class _Text:
@@ -130,6 +185,13 @@ class _Text:
         self.order = np.argsort(self.sh, kind="stable")
         self.sorted = self.sh[self.order]
 
+        up, self.down = W._power(len(self.sh) + 1)
+        self.total = np.concatenate((np.zeros(1, U), np.cumsum(self.sh * up[: len(self.sh)], dtype=U)))
+
+    def part(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the ``n`` shingles from each place."""
+        return (self.total[at + n] - self.total[at]) * self.down[at]
+
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Code points of the words of shingles a to b."""
         return int(self.points[self.words.start[a]]), int(self.points[self.words.end[min(b + SHINGLE - 1, len(self.words.end) - 1)]])
@@ -141,25 +203,42 @@ def _similar(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def passages(x: _Text, y: _Text, within: list[tuple[int, int]], least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
-    """Passages (first and last shingle in x and in y, similarity) in the given stretches of x.
+def _runs(x: _Text, y: _Text) -> list[tuple[int, int, int, int]]:
+    """(place in x, place in y, shingles, shingles that also agree before) of the runs that x and y share, from left to right: at
+    each place of x the longest run from any place in y, ties to the one that goes on best."""
+    lo, hi = np.searchsorted(y.sorted, x.sh, "left"), np.searchsorted(y.sorted, x.sh, "right")
+    hits = np.flatnonzero(hi > lo)
+    out: list[tuple[int, int, int, int]] = []
+    at, drift = 0, 0
+    while at < len(hits):
+        i = int(hits[at])
+        j = y.order[lo[i] : hi[i]]
+        room = np.minimum(len(x.sh) - i, len(y.sh) - j)
+        n = np.ones(len(j), np.int64)
+        for k in range(int(room.max()).bit_length() - 1, -1, -1):
+            ok = np.flatnonzero(n + (1 << k) <= room)
+            ok = ok[x.part(i + n[ok], 1 << k) == y.part(j[ok] + n[ok], 1 << k)]
+            n[ok] += 1 << k
+        best = int(np.lexsort((np.abs(j - i - drift), -n))[0])
+        back = 0
+        while back < min(i, j[best]) and x.sh[i - back - 1] == y.sh[j[best] - back - 1]:
+            back += 1
+        out.append((i, int(j[best]), int(n[best]), back))
+        drift = int(j[best]) - i
+        at = int(np.searchsorted(hits, i + int(n[best])))
+    return out
+
+
+def passages(x: _Text, y: _Text, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """Passages (first and last shingle in x and in y, similarity).
 
     Runs of shingles that follow each other in both texts are the seeds.  From left to right
-    a run joins the passage before it while the whole stays similar enough.
+    a run joins the passage before it while the whole stays similar enough.  A run that is a
+    passage by itself counts from where it begins, also when the run before reaches into it.
     """
-    if not len(y.sh):
-        return []
-    look = np.zeros(len(x.sh), bool)
-    for a, b in within:
-        look[a:b] = True
-    i = np.flatnonzero(look)
-    at = np.minimum(np.searchsorted(y.sorted, x.sh[i]), len(y.sh) - 1)
-    hit = y.sorted[at] == x.sh[i]
-    i, j = i[hit], y.order[at[hit]]
-    if not len(i):
+    if not len(y.sh) or not len(x.sh):
         return []
-    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
-    edges = np.concatenate((np.zeros(1, np.int64), cut, np.array([len(i)])))
+    runs = _runs(x, y)
     out: list[tuple[int, int, int, int, float]] = []
     now: list[int] | None = None  # x from, x to, y from, y to, shingles matched
 
@@ -169,8 +248,8 @@ def passages(x: _Text, y: _Text, within: list[tuple[int, int]], least: int, perc
             if 100 * s >= percent:
                 out.append((now[0], now[1], now[2], now[3], s))
 
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        run = [int(i[a]), int(i[b - 1]), int(j[a]), int(j[b - 1]), b - a]
+    for i, j, n, back in runs:
+        run = [i, i + n - 1, j, j + n - 1, n]
         if now:
             both = [now[0], run[1], min(now[2], run[2]), max(now[3], run[3]), now[4] + run[4]]
             wide = both[1] - both[0] + 1 + max(both[3] - both[2] + 1, both[4]) - both[4]
@@ -180,66 +259,74 @@ def passages(x: _Text, y: _Text, within: list[tuple[int, int]], least: int, perc
             if run[4] < now[4] and run[0] - now[1] <= GAP and run[4] <= SHINGLE:
                 continue  # a stray shingle does not end a passage
             flush()
-        now = run
+        now = [i - back, run[1], j - back, run[3], n + back]
     flush()
+    for i, j, n, back in runs:
+        if n + back + SHINGLE - 1 >= least and not any(a <= i - back and i + n - 1 <= b for a, b, *_ in out):
+            out.append((i - back, i + n - 1, j - back, j + n - 1, 1.0))
     return out
 
 
-def _repeats(docs: DataFrame, least: int, percent: int, hashes: int, enough: int, key: str, text: str) -> DataFrame:
-    """Rows of ``FIELDS``: digest is that of the text of doc_id, as rows may share an id."""
-    prepare(docs.sparkSession)
-    t = least - SHINGLE + 1
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    found = windows(rows, least, hashes)
-    hubs = found.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    met = found.join(hubs, "bucket").select(F.col("node"), (F.shiftright("bucket", 0).bitwiseAND(F.lit(7))).cast("int").alias("k"), "l", "r", F.explode(F.array("least", "most")).alias("hub")).filter("node != hub")
-    # the stretch is told in the words of the later document; where that is the hub, whole
-    lists = met.groupBy("node", "hub").agg(F.collect_set(F.struct("k", "l", "r")).alias("w"))
-
-    def overlap(a, b):
-        return (a["k"] != b["k"]) & (F.least(a["r"], b["r"]) - F.greatest(a["l"], b["l"]) >= t)
-
-    some = F.lit(True) if enough < 2 else F.exists("w", lambda a: F.size(F.array_distinct(F.transform(F.filter("w", lambda b: overlap(a, b)), lambda b: b["k"]))) >= enough - 1)
-    pairs = stash(lists.filter(some).select("node", "hub", F.transform("w", lambda s: F.struct(s["l"].alias("l"), s["r"].alias("r"))).alias("w")))
+def _verified(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """``FIELDS`` and tag, a, b (of the text of doc_id, in shingles) of the pairs (node, hub) with hub < node."""
     needed = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("hub")).distinct()
     texts = stash(rows.join(needed, "doc_id", "left_semi").withColumn("h", F.md5("text")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("node"), F.col("text").alias("x"), F.col("h").alias("xh")), "node").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y"), F.col("h").alias("yh")), "hub").select("node", "hub", "w", "x", "y", "xh", "yh")
+    both = pairs.join(texts.select(F.col("doc_id").alias("node"), "tag", F.col("text").alias("x"), F.col("h").alias("xh")), "node").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y")), "hub").select("node", "hub", "tag", "x", "y", "xh")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
         for batch in batches:
             out: list[tuple] = []
             for k in range(batch.num_rows):
-                node, hub = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                node, hub, tag = (batch.column(c)[k].as_py() for c in range(3))
                 y = batch.column(4)[k].as_py()
                 if held[0] != y:
                     held = (y, _Text(y))
                 x, s = _Text(batch.column(3)[k].as_py()), held[1]
-                xh, yh = batch.column(5)[k].as_py(), batch.column(6)[k].as_py()
-                within = batch.column(2)[k].as_py()
-                for a, b, c, d, sim in passages(x, s, [(w["l"], w["r"]) for w in within], least, percent):
-                    here, there = x.span(a, b), s.span(c, d)
-                    n = b - a + SHINGLE
-                    if node > hub:
-                        out.append((node, hub, *here, *there, n, sim, xh))
-                    else:
-                        out.append((hub, node, *there, *here, d - c + SHINGLE, sim, yh))
+                xh = batch.column(5)[k].as_py()
+                for a, b, c, d, sim in passages(x, s, least, percent):
+                    out.append((node, hub, *x.span(a, b), *s.span(c, d), b - a + SHINGLE, sim, xh, tag, a, b))
             if out:
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "source_id", "start", "end", "source_start", "source_end", "n_words", "similarity", "digest"])
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "source_id", "start", "end", "source_start", "source_end", "n_words", "similarity", "digest", "tag", "a", "b"])
 
-    return both.mapInArrow(run, FIELDS).distinct()
+    return both.mapInArrow(run, FIELDS + ", tag long, a int, b int")
 
 
-def repeats(docs: DataFrame, least: int = 50, percent: int = 80, hashes: int = 3, enough: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) -> DataFrame:
+    """Rows of ``FIELDS``: digest is that of the text of doc_id, as rows may share an id."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("tag", F.xxhash64("text"))
+    found = windows(rows, least)
+    hubs = found.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
+    met = stash(found.join(hubs, "bucket").distinct())
+    stars = met.filter("hub < node")
+    likely = stash(stars.groupBy("node", "hub").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y")).filter("x < y").select("node", "hub"))
+    first = stash(_verified(likely, rows, least, percent))
+    # places in no passage yet meet all earlier holders of their window
+    done = first.select(F.col("doc_id").alias("node"), "tag", "a", "b").distinct()
+    opened = stash(stars.join(done, (stars["node"] == done["node"]) & (stars["tag"] == done["tag"]) & (stars["c"] >= done["a"]) & (stars["c"] + GRAM - SHINGLE <= done["b"]), "left_anti"))
+    some = opened.groupBy("bucket").agg(F.max("node").alias("last"))
+    holders = met.join(some, "bucket").filter("node <= last").select("bucket", "node", "tag", "c").join(opened.select("bucket", "node", "tag", "c", F.lit(True).alias("open")), ["bucket", "node", "tag", "c"], "left")
+    lists = holders.groupBy("node", "tag").agg(F.collect_list(F.struct("bucket", "c", F.coalesce("open", F.lit(False)).alias("open"))).alias("w"))
+    near = stash(surroundings(lists.join(rows.withColumnRenamed("doc_id", "node"), ["node", "tag"])).distinct())
+    blocks = near.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = near.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).agg(F.collect_list(F.struct("node", "open", "side", "around")).alias("members"))
+    more = stash(agreeing(groups.withColumn("cross", F.col("lo") < F.col("hi"))).join(likely, ["node", "hub"], "left_anti"))
+    return first.union(_verified(more, rows, least, percent)).drop("tag", "a", "b").distinct()
+
+
+def repeats(docs: DataFrame, least: int = 50, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows doc_id, source_id, start, end, source_start, source_end (code points), n_words, similarity."""
-    return _repeats(docs, least, percent, hashes, enough, key, text).drop("digest")
+    return _repeats(docs, least, percent, key, text).drop("digest")
 
 
 def drop_repeats(docs: DataFrame, least: int = 50, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the passages that earlier documents have; a text of which nothing is
     left goes, all others stay, with their columns."""
-    spans = stash(_repeats(docs, least, percent, 3, 2, key, text))
+    spans = stash(_repeats(docs, least, percent, key, text))
     lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
     body = F.col(f"`{text}`")
     kept = F.aggregate(

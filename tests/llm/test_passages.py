@@ -130,3 +130,32 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
     spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def numbered(name, n):
+    return [f"{name}{k}" for k in range(n)]
+
+
+def found(spark, texts):
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    return {(r.doc_id, r.source_id) for r in repeats(df).collect()}
+
+
+def test_common_lines_hide_no_passage(spark):
+    """Two texts share a passage of which every long stretch stands elsewhere in other surroundings, before and after."""
+    p = numbered("p", 55)
+    parts = [p[k : k + 35] for k in (0, 10, 20)]
+    around = [numbered(f"a{k}x", 30) + parts[k % 3] + numbered(f"b{k}x", 30) for k in range(6)]
+    texts = [*around[:3], numbered("c", 40) + p + numbered("d", 40), numbered("e", 40) + p + numbered("f", 40), *around[3:]]
+    assert found(spark, texts) == {(4, 3)}
+
+
+def test_families_that_drift(spark):
+    """Each text is like the one before it (0.8) and unlike the first, and all share lines."""
+    base = numbered("w", 300)
+    texts = []
+    for k in range(6):
+        base = [f"v{k}y{i}" if i % 50 == 8 * k else w for i, w in enumerate(base)]
+        texts.append(list(base))
+    got = found(spark, texts)
+    assert {d for d, _ in got} == {1, 2, 3, 4, 5}
