@@ -159,3 +159,15 @@ def test_families_that_drift(spark):
         texts.append(list(base))
     got = found(spark, texts)
     assert {d for d, _ in got} == {1, 2, 3, 4, 5}
+
+
+def test_inner_lines_do_not_part_passages(spark):
+    line, p = numbered("l", 12), numbered("p", 30)
+    inner = p + line + numbered("q", 20)
+    at_start = line + numbered("s", 45)
+    a = [numbered("a", 30) + line + numbered("b", 20) + inner, numbered("c", 30) + inner + numbered("d", 9)]
+    b = [numbered("e", 30) + line + numbered("f", 20) + at_start, numbered("g", 30) + at_start + numbered("h", 9)]
+    twice = [numbered("i", 70), numbered("j", 20) + numbered("i", 70) + numbered("k", 20) + numbered("i", 70)]
+    for texts, sizes in ((a, [62]), (b, [57]), (twice, [70, 70])):
+        df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+        assert [r.n_words for r in repeats(df).collect()] == sizes
