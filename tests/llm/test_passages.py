@@ -171,3 +171,12 @@ def test_inner_lines_do_not_part_passages(spark):
     for texts, sizes in ((a, [62]), (b, [57]), (twice, [70, 70])):
         df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
         assert [r.n_words for r in repeats(df).collect()] == sizes
+
+
+def test_one_edit_is_never_missed(spark):
+    """Passages at 0.8 and little more, each with one word changed in the middle."""
+    rng = random.Random(4)
+    texts = [numbered(f"q{k}x", 52) for k in range(150)]
+    copies = [numbered(f"r{k}x", 25) + [w if i != at else "changed" for i, w in enumerate(t)] for k, t in enumerate(texts) for at in [rng.randint(22, 30)]]
+    got = found(spark, texts + copies)
+    assert got == {(150 + k, k) for k in range(150)}
