@@ -190,20 +190,31 @@ def _word_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
     """(word, lang, n) over whole texts of rows (text, lang)."""
     place = {x: k for k, x in enumerate(langs)}
 
+    def merged(held: list[tuple]) -> tuple:
+        uniq, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return uniq, np.bincount(back, np.concatenate([x[1] for x in held]), len(uniq)).astype(np.int64)
+
+    def out(uniq: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((uniq >> U(8)).astype(np.int64)), pa.array((uniq & U(255)).astype(np.int32)), pa.array(n)], ["word", "lang", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             texts, lang = W.column(batch, "text"), np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
-            held: list[tuple] = []
             for a, b in W.slices(texts):
                 words = W.split(texts.slice(a, b - a))
                 key = _lexical(words.hashes()) << U(8) | lang[a:b][words.doc].astype(U)
-                uniq, n = np.unique(key, return_counts=True)
-                often = n > 1  # a word of the lexicon is common in some slice
-                held.append((uniq[often], n[often]))
-            if held:
-                uniq, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([x[1] for x in held]), len(uniq)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((uniq >> U(8)).astype(np.int64)), pa.array((uniq & U(255)).astype(np.int32)), pa.array(n)], ["word", "lang", "n"])
+                held.append(np.unique(key, return_counts=True))
+                size += len(held[-1][0])
+                if size >= 2 * CHUNK:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size >= CHUNK:  # what a task holds is bounded; the rest is summed by the shuffle
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*merged(held))
 
     return rows.mapInArrow(run, "word long, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 

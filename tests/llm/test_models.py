@@ -164,6 +164,17 @@ def test_language_id(spark):
     assert crf.identify(df.limit(0)).count() == 0
 
 
+def test_lexicon_counts_every_word(spark):
+    """A word counts in any layout, also one that stands once in each slice, or once in a rare language."""
+    data = [(f"common w{i % 7} only{i} rare", "aa" if i % 10 else "bb") for i in range(60)]
+    want = Counter()
+    for t, lang in data:
+        want.update((w, lang == "bb") for w in t.split())
+    for parts in (1, 60):
+        got = crf._word_counts(spark.createDataFrame(data, "text string, lang string").repartition(parts), ["aa", "bb"]).collect()
+        assert sorted(r.n for r in got) == sorted(want.values()) and len(got) == len({(r.word, r.lang) for r in got})
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(3)
     m = crf.Model(["a", "b"], np.zeros((4, 2), np.float32), rng.normal(size=(2, 2)).astype(np.float32), rng.normal(size=2).astype(np.float32), np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))
