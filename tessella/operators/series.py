@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,14 +61,25 @@ def new_keys(df: DataFrame, used: DataFrame, key: str, day: str) -> DataFrame:
 def kept_events(df: DataFrame, key: list[str], at: str, order: str, gap: int) -> DataFrame:
     """Events that no *kept* event of the same key precedes by less than ``gap`` seconds.
 
-    The fold over a key's sorted times runs inside one expression: chains keep every event
-    that is far enough from the last one kept, which a comparison with the neighbour misses.
+    A key's rows come sorted and are folded as they stream by, with the time last kept as the
+    only state: chains keep every event that is far enough from the last one kept, which a
+    comparison with the neighbour misses.
     """
-    times = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp(at).alias("t"), F.col(order).alias("o")))).alias("e"))
-    empty = F.array().cast(f"array<{dict(df.dtypes)[order]}>")
-    start = F.struct(F.lit(None).cast("long").alias("last"), empty.alias("kept"))
-    folded = F.aggregate("e", start, lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] >= gap), F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x["o"])).alias("kept"))).otherwise(acc))
-    return times.select(*key, F.explode(folded["kept"]).alias(order))
+    times = df.select(*key, F.col(order), F.unix_timestamp(at).alias("_t")).repartition(*key).sortWithinPartitions(*key, "_t", order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            for *k, t in zip(*(batch.column(c).to_pylist() for c in (*range(len(key)), len(key) + 1)), strict=True):
+                if k != now:
+                    now, last = k, None
+                keep.append(last is None or t - last >= gap)
+                if keep[-1]:
+                    last = t
+            yield batch.select([*key, order]).filter(pa.array(keep, pa.bool_()))
+
+    return times.mapInArrow(run, times.select(*key, order).schema)
 
 
 def sessions(df: DataFrame, key: str, at: str, gap: str) -> DataFrame:

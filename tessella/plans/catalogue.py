@@ -478,7 +478,7 @@ def status_transition(t: Tables) -> DataFrame:
 @query("""SELECT user_id, array_to_string(list_reverse((list(event_id ORDER BY ts DESC, event_id DESC))[1:5]), ',') AS last FROM events GROUP BY user_id""")
 def ring_trimmed(t: Tables) -> DataFrame:
     ids = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string"))
-    return t.events.groupBy("user_id").agg(ids.alias("e")).select("user_id", F.array_join(D.ring(F.col("e"), 5), ",").alias("last"))
+    return R.ranked(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).groupBy("user_id").agg(ids.alias("e")).select("user_id", F.array_join(D.ring(F.col("e"), 5), ",").alias("last"))
 
 
 @query("""SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey NOT IN (1, 2) UNION ALL SELECT s_suppkey + 1000, s_nationkey FROM supplier WHERE s_nationkey IN (1, 2) AND s_acctbal > 0""")

@@ -71,6 +71,25 @@ def test_kept_events(spark):
     assert got == {0, 2, 4}  # a comparison with the neighbour alone would lose the third
 
 
+def test_no_key_is_gathered_whole(spark):
+    """Kept events stream by sorted; a ring gathers what it keeps and not a user's every event."""
+    rows = [("a" if k % 3 else None, k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * k)) for k in range(400)] + [("b", 900, None)]
+    df = spark.createDataFrame(rows, "who string, id long, ts timestamp").repartition(5)
+    kept = T.kept_events(df, ["who"], "ts", "id", 86400)
+    assert "collect_list" not in kept._jdf.queryExecution().toString()
+    last, want = {}, {900}
+    for who, k, at in rows[:-1]:
+        if who not in last or at - last[who] >= dt.timedelta(days=1):
+            last[who] = at
+            want.add(k)
+    assert {r.id for r in kept.collect()} == want
+
+    from tessella.plans.catalogue import QUERIES
+
+    plan = QUERIES["ring_trimmed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("collect_list") < plan.index("WindowGroupLimit")
+
+
 def test_islands_and_versions(spark):
     df = spark.createDataFrame([("a", t, t in (2, 3, 7)) for t in range(10)], "k string, t long, bad boolean")
     assert sorted((r.first, r.last, r.n) for r in T.islands(df, "k", ["t"], F.col("bad"), "t").select("first", "last", "n").collect()) == [(2, 3, 2), (7, 7, 1)]
