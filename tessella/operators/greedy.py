@@ -1,8 +1,10 @@
-"""Order-dependent choices within a group: one bounded group a call, groups spread over tasks."""
+"""Order-dependent choices within a group: sorted rows stream by, with counters as the only state."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,20 +22,20 @@ def capped(df: DataFrame, seed: int, order: list[str], by: dict[str, int]) -> Da
 def diversified(candidates: DataFrame, group: str, score: str, limits: dict[str, int], once: tuple[str, str]) -> DataFrame:
     """Best first, a candidate is taken unless a value of a limited column is used up, or its
     first ``once`` column (a file) was taken with another of the second (a unit)."""
-    shape = candidates.schema
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, *limits], ascending=[False] + [True] * len(limits), kind="stable")
-        used: dict = {c: {} for c in limits}
-        owner: dict = {}
-        keep = []
-        for at, r in zip(rows.index, rows.to_dict("records"), strict=True):
-            if any(used[c].get(r[c], 0) >= k for c, k in limits.items()) or owner.get(r[once[0]], r[once[1]]) != r[once[1]]:
-                continue
-            for c in limits:
-                used[c][r[c]] = used[c].get(r[c], 0) + 1
-            owner[r[once[0]]] = r[once[1]]
-            keep.append(at)
-        return rows.loc[keep]
-
-    return candidates.groupBy(group).applyInPandas(pick, shape)
+    ordered = candidates.repartition(group).sortWithinPartitions(group, F.desc(score), *limits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, owner = (), {}, {}
+        for batch in batches:
+            keep = []
+            for g, file, unit, *values in zip(*(batch.column(c).to_pylist() for c in (group, *once, *limits)), strict=True):
+                if (g,) != now:
+                    now, used, owner = (g,), {}, {}
+                keep.append(all(used.get((c, v), 0) < k for (c, k), v in zip(limits.items(), values, strict=True)) and owner.get(file, unit) == unit)
+                if keep[-1]:
+                    for c, v in zip(limits, values, strict=True):
+                        used[c, v] = used.get((c, v), 0) + 1
+                    owner[file] = unit
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(pick, candidates.schema)

@@ -90,6 +90,21 @@ def test_no_key_is_gathered_whole(spark):
     assert "WindowGroupLimit" in plan and plan.index("collect_list") < plan.index("WindowGroupLimit")
 
 
+def test_diversified_streams_in_order(spark):
+    from tessella.operators import greedy as G
+
+    rows = [(k % 2, k % 7, k % 11, k % 5, float(k * 37 % 101)) for k in range(300)]
+    df = spark.createDataFrame(rows, "paper int, paragraph int, unit int, file int, score double").repartition(4)
+    got = G.diversified(df, "paper", "score", {"paragraph": 2, "unit": 2}, ("file", "unit"))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    want, used, owner = [], {}, {}
+    for p, a, u, f, s in sorted(rows, key=lambda r: (r[0], -r[4], r[1], r[2])):
+        if used.get((p, "a", a), 0) < 2 and used.get((p, "u", u), 0) < 2 and owner.get((p, f), u) == u:
+            used[p, "a", a], used[p, "u", u], owner[p, f] = used.get((p, "a", a), 0) + 1, used.get((p, "u", u), 0) + 1, u
+            want.append((p, a, u, f, s))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_islands_and_versions(spark):
     df = spark.createDataFrame([("a", t, t in (2, 3, 7)) for t in range(10)], "k string, t long, bad boolean")
     assert sorted((r.first, r.last, r.n) for r in T.islands(df, "k", ["t"], F.col("bad"), "t").select("first", "last", "n").collect()) == [(2, 3, 2), (7, 7, 1)]
