@@ -10,12 +10,14 @@ carries the state from a text's first word to its last, all texts of a batch in
 
 Bounds: the network's size, and the table of common words that tasks hold (``HEAD`` entries).
 Counts of words beyond it come by a join on the word, which has no common word left in it and
-so no hot key.  ``TRAIN_LEAST`` tokens or the share ``TRAIN_SHARE`` of all, whichever is more,
-train the weights, about ``TRAIN_TASK`` of them a task, over at most ``TRAINERS`` tasks whose
-weights are averaged in groups; the sample grows with the corpus, and all counts cover it all.
+so no hot key.  All tokens of the training fold train the weights: texts are dealt by a hash to
+one trainer for each ``TRAIN_TASK`` tokens, which reads them as a stream in a fixed order; the
+trainers' weights are averaged in a tree of ``FAN`` at a time.  Neither depends on how the
+table is partitioned; sums of 32-bit numbers may differ in their last digits.
 
 Defined results: null is an empty text (one end); an empty training fold leaves uniform
-weights and counts of 0; repeated rows are scored each; an empty table gives no rows.
+weights and counts of 0; repeated rows are scored each; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ HEAD = 1 << 19
 #: Units of the network: common words and classes of rarer words; classes of units; state size.
 UNITS, RARE, CLASSES, STATE = 4096, 256, 64, 16
 WIDE = UNITS // CLASSES
-TRAIN_LEAST, TRAIN_SHARE, TRAIN_TASK, TRAINERS = 400_000, 1 / 64, 500_000, 256
+#: Tokens that one trainer learns from; tokens it holds at a time; most texts side by side; weights averaged at a time.
+TRAIN_TASK, BUFFER, LANES, FAN = 4_000_000, 1 << 17, 256, 64
 #: Tokens that a task scores in step.
 CHUNK = 1_500_000
 END = 0x5851F42D4C957F2D
@@ -72,9 +74,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             texts = W.column(batch, "text")
             for a, b in W.slices(texts):
                 h, rare, _ = _tokens(texts.slice(a, b - a))
-                uniq, first, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((uniq, n, rare[first]))
-                size += len(uniq)
+                one, back = W.index(h)
+                held.append((h[one], np.bincount(back), rare[one]))
+                size += len(one)
                 if size > 1_500_000:
                     yield flush()
                     held, size = [], 0
@@ -148,100 +150,158 @@ class Network:
         net.bw[:] = np.log(p / p.sum(1, keepdims=True))
         return net
 
-    def step(self, h: np.ndarray, unit: np.ndarray) -> tuple:
-        """Next state and what backpropagation needs."""
-        x = self.x[unit] + self.b
+    def gates(self, h: np.ndarray, x: np.ndarray) -> tuple:
+        """Next state and what backpropagation needs, ``x`` the inputs with their biases."""
         g = h @ self.u
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * STATE] + g[:, : 2 * STATE]))
+        zr = np.tanh(0.5 * (x[:, : 2 * STATE] + g[:, : 2 * STATE]))
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :STATE], zr[:, STATE:]
         gc = g[:, 2 * STATE :]
         c = np.tanh(x[:, 2 * STATE :] + r * gc)
         return c + z * (h - c), z, r, gc, c
 
+    def step(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        return self.gates(h, self.x[unit] + self.b)[0]
+
     def log_probability(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Of each unit after its state; units of a class share one product of matrices."""
-        cls, place = unit % CLASSES, unit // CLASSES
+        cls, place = (unit % CLASSES).astype(np.uint8), unit // CLASSES
         order = np.argsort(cls, kind="stable")
         h, cls, place = h[order], cls[order], place[order]
         rows = np.arange(len(h))
         s = h @ self.wc + self.bc
-        out = s[rows, cls] - np.log(np.exp(s).sum(1))
+        out = s[rows, cls]
+        out -= np.log(np.exp(s, out=s).sum(1))
         edge = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in range(CLASSES):
             a, b = edge[k], edge[k + 1]
             if a < b:
                 s = h[a:b] @ self.ww[k] + self.bw[k]
-                out[a:b] += s[rows[: b - a], place[a:b]] - np.log(np.exp(s).sum(1))
+                out[a:b] += s[rows[: b - a], place[a:b]]
+                out[a:b] -= np.log(np.exp(s, out=s).sum(1))
         back = np.empty_like(out)
         back[order] = out
         return back
 
 
-def train(net: Network, texts: list[np.ndarray], lanes: int = 64, window: int = 16, rate: float = 0.05) -> None:
-    """One pass of truncated backpropagation: ``lanes`` texts side by side, the state carried
-    from window to window and cleared where a text begins (Adagrad steps)."""
-    total = sum(map(len, texts))
-    if not total:
-        return
-    lanes = max(1, min(lanes, total // window))
-    flow = np.concatenate(texts)
-    fresh = np.zeros(len(flow), bool)
-    fresh[np.cumsum([0, *map(len, texts[:-1])])] = True
-    steps = len(flow) // lanes
-    flow, fresh = flow[: steps * lanes].reshape(lanes, steps), fresh[: steps * lanes].reshape(lanes, steps)
-    seen = np.full(len(net.flat), 1e-3, np.float32)
-    state = np.zeros((lanes, STATE), np.float32)
-    for t0 in range(0, steps, window):
-        ids, new = flow[:, t0 : t0 + window], fresh[:, t0 : t0 + window]
-        n = ids.shape[1]
+class Trainer:
+    """Truncated backpropagation over a stream of texts (Adagrad steps).
+
+    Tokens are gathered until ``BUFFER`` of them fill ``lanes`` rows side by side; windows of
+    the rows are learned from left to right, with the state carried from window to window and
+    cleared where a text begins.  What is held is bounded, whatever the stream's length.
+    """
+
+    def __init__(self, net: Network, lanes: int, window: int = 16, rate: float = 0.05):
+        self.net, self.lanes, self.window, self.rate = net, lanes, window, rate
+        self.seen = np.full(len(net.flat), 1e-3, np.float32)
+        self.waiting: list[np.ndarray] = []
+        self.held = self.tokens = 0
+
+    def add(self, units: np.ndarray, fresh: np.ndarray) -> None:
+        """Tokens of texts, and where texts begin."""
+        self.waiting.append(np.stack((units, fresh)).astype(np.int32))
+        self.held += len(units)
+        self.tokens += len(units)
+        if self.held >= BUFFER:
+            flow = np.concatenate(self.waiting, 1)
+            for k in range(0, self.held - BUFFER + 1, BUFFER):
+                self._learn(flow[:, k : k + BUFFER])
+            self.waiting = [flow[:, self.held - self.held % BUFFER :]]
+            self.held %= BUFFER
+
+    def finish(self) -> None:
+        if self.held:
+            self._learn(np.concatenate(self.waiting, 1))
+        self.waiting, self.held = [], 0
+
+    def _learn(self, flow: np.ndarray) -> None:
+        n = flow.shape[1]
+        lanes = max(1, min(self.lanes, n // self.window))
+        whole = n // lanes * lanes
+        units, fresh = (x[:whole].reshape(lanes, -1).T for x in flow)  # (steps, lanes)
+        state = np.zeros((lanes, STATE), np.float32)
+        for t in range(0, len(units), self.window):
+            state = self.window_step(np.ascontiguousarray(units[t : t + self.window]), fresh[t : t + self.window] == 0, state)
+        if whole < n:
+            self.window_step(np.ascontiguousarray(flow[0, whole:, None]), flow[1, whole:, None] == 0, np.zeros((1, STATE), np.float32))
+
+    def gradient(self, units: np.ndarray, goes_on: np.ndarray, state: np.ndarray) -> tuple:
+        """(gradient, rows of ``x`` it touches and theirs, the last state) of the loss of a window (steps, lanes)."""
+        net, (n, lanes) = self.net, units.shape
         grad = Network()
-        before, kept = [], []
+        keep = goes_on.astype(np.float32)[:, :, None]
+        x = net.x[units]
+        x += net.b
+        before, kept = np.empty((n, lanes, STATE), np.float32), []
         for t in range(n):
-            state = np.where(new[:, t : t + 1], np.float32(0), state)
-            before.append(state)
-            made = net.step(state, ids[:, t])
-            kept.append(made)
-            state = made[0]
-        h, unit = np.concatenate(before), ids.T.reshape(-1)
-        cls, place = unit % CLASSES, unit // CLASSES
-        rows = np.arange(len(h))
-        s = h @ net.wc + net.bc
-        p = np.exp(s - s.max(1, keepdims=True))
+            before[t] = state * keep[t]
+            kept.append(net.gates(before[t], x[t]))
+            state = kept[t][0]
+        h, unit = before.reshape(-1, STATE), units.reshape(-1)
+        cls, place = (unit % CLASSES).astype(np.uint8), unit // CLASSES
+        p = h @ net.wc + net.bc
+        np.exp(p - p.max(1, keepdims=True), out=p)
         p /= p.sum(1, keepdims=True)
-        p[rows, cls] -= 1
+        p[np.arange(len(h)), cls] -= 1
         grad.wc += h.T @ p
         grad.bc += p.sum(0)
         dh = p @ net.wc.T
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        hs, place, ds = h[order], place[order], np.empty_like(h)
         for k in range(CLASSES):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
-                s = h[at] @ net.ww[k] + net.bw[k]
-                p = np.exp(s - s.max(1, keepdims=True))
+            a, b = edge[k], edge[k + 1]
+            if a < b:
+                p = hs[a:b] @ net.ww[k] + net.bw[k]
+                np.exp(p - p.max(1, keepdims=True), out=p)
                 p /= p.sum(1, keepdims=True)
-                p[np.arange(len(at)), place[at]] -= 1
-                grad.ww[k] += h[at].T @ p
-                grad.bw[k] += p.sum(0)
-                dh[at] += p @ net.ww[k].T
+                p[np.arange(b - a), place[a:b]] -= 1
+                grad.ww[k] = hs[a:b].T @ p
+                grad.bw[k] = p.sum(0)
+                ds[a:b] = p @ net.ww[k].T
+        dh[order] += ds
         dh = dh.reshape(n, lanes, STATE)
         back = np.zeros((lanes, STATE), np.float32)
+        dx, dg = np.empty((n, lanes, 3 * STATE), np.float32), np.empty((n, lanes, 3 * STATE), np.float32)
         for t in range(n - 1, -1, -1):
             _, z, r, gc, c = kept[t]
             dc = back * (1 - z) * (1 - c * c)
-            dz = back * (before[t] - c) * z * (1 - z)
-            dr = dc * gc * r * (1 - r)
-            dx = np.concatenate((dz, dr, dc), 1)
-            dg = np.concatenate((dz, dr, dc * r), 1)
-            np.add.at(grad.x, ids[:, t], dx)
-            grad.b += dx.sum(0)
-            grad.u += before[t].T @ dg
-            back = back * z + dg @ net.u.T + dh[t]
-            back = np.where(new[:, t : t + 1], np.float32(0), back)
-        g = grad.flat / len(h) * 16
-        np.clip(g, -1, 1, out=g)
-        seen += g * g
-        net.flat -= rate * g / np.sqrt(seen)
+            dx[t, :, :STATE] = back * (before[t] - c) * z * (1 - z)
+            dx[t, :, STATE : 2 * STATE] = dc * gc * r * (1 - r)
+            dx[t, :, 2 * STATE :] = dc
+            dg[t] = dx[t]
+            dg[t, :, 2 * STATE :] *= r
+            back = (back * z + dg[t] @ net.u.T + dh[t]) * keep[t]
+        flat = dx.reshape(-1, 3 * STATE)
+        grad.b += flat.sum(0)
+        grad.u += h.T @ dg.reshape(-1, 3 * STATE)
+        by = np.argsort(unit.astype(np.uint16), kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], unit[by][1:] != unit[by][:-1])))
+        return grad, unit[by][start], np.add.reduceat(flat[by], start), state
+
+    def window_step(self, units: np.ndarray, goes_on: np.ndarray, state: np.ndarray) -> np.ndarray:
+        grad, rows, gx, state = self.gradient(units, goes_on, state)
+        scale = np.float32(16 / units.size)
+        net = self.net
+        x = net.x.size  # the embedding comes first; only rows that occur move
+        seen = self.seen[:x].reshape(net.x.shape)
+        g = np.clip(gx * scale, -1, 1)
+        seen[rows] += g * g
+        net.x[rows] -= self.rate * g / np.sqrt(seen[rows])
+        g = np.clip(grad.flat[x:] * scale, -1, 1)
+        self.seen[x:] += g * g
+        net.flat[x:] -= self.rate * g / np.sqrt(self.seen[x:])
+        return state
+
+
+def train(net: Network, texts: list[np.ndarray], lanes: int = 64, window: int = 16, rate: float = 0.05) -> None:
+    """One pass over the units of texts."""
+    own = Trainer(net, lanes, window, rate)
+    for t in texts:
+        own.add(t, (np.arange(len(t)) == 0).astype(np.int32))
+    own.finish()
 
 
 def score_units(net: Network, units: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -272,13 +332,58 @@ def score_units(net: Network, units: np.ndarray, first: np.ndarray) -> np.ndarra
         held += active
         if held >= 1 << 15:
             flush()
-        h = net.step(h, unit)[0]
+        h = net.step(h, unit)
     flush()
     out = np.empty(len(size))
     out[order] = total
     return out
 
 
+def _weights(learn: DataFrame, vocs, first: np.ndarray, total: int) -> np.ndarray:
+    """Weights learned from all rows (doc_id, text)."""
+    trainers = -(-total // TRAIN_TASK)
+    lanes = int(min(LANES, max(8, total // 16384)))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocs.value
+        now, own = None, None
+
+        def told() -> pa.RecordBatch:
+            own.finish()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([own.net.flat.tobytes()], pa.binary()), pa.array([own.tokens], pa.int64())], ["trainer", "weights", "tokens"])
+
+        for batch in batches:
+            trainer, texts = batch.column(0).to_numpy(), W.column(batch, "text")
+            cut = [0, *(np.flatnonzero(trainer[1:] != trainer[:-1]) + 1).tolist(), len(trainer)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if lo < hi and trainer[lo] != now:
+                    if own:
+                        yield told()
+                    now, own = int(trainer[lo]), Trainer(Network(first.copy()), lanes)
+                for a, b in W.slices(texts.slice(lo, hi - lo)):
+                    h, rare, at = _tokens(texts.slice(lo + a, b - a))
+                    fresh = np.zeros(len(h), np.int32)
+                    fresh[at[:-1]] = 1
+                    own.add(voc.look(h, rare)[0], fresh)
+        if own:
+            yield told()
+
+    def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("trainer")
+        n = t["tokens"].to_numpy()
+        out = sum(np.frombuffer(w.as_py(), np.float32) * np.float64(k) for w, k in zip(t["weights"], n, strict=True)) / n.sum()
+        return pa.table({"trainer": pa.array([t["trainer"][0].as_py() // FAN], pa.int64()), "weights": pa.array([out.astype(np.float32).tobytes()], pa.binary()), "tokens": pa.array([int(n.sum())], pa.int64())})
+
+    dealt = learn.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), F.xxhash64("text", "doc_id").alias("order"), "text")
+    dealt = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "order")
+    shape = "trainer long, weights binary, tokens long"
+    made = stash(dealt.select("trainer", "text").mapInArrow(fit, shape))
+    while trainers > 1:
+        made = stash(made.groupBy(F.floor(F.col("trainer") / FAN)).applyInArrow(mean, shape))
+        trainers = -(-trainers // FAN)
+    return np.frombuffer(made.first().weights, np.float32).copy()
+
+
 def score(docs: DataFrame, folds: int = 5, held: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -293,35 +398,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, key: str = "doc_id", t
     net = Network.fresh(voc.start)
     vocs = spark.sparkContext.broadcast(voc)
 
-    share = min(1.0, max(TRAIN_LEAST / max(1, total), TRAIN_SHARE))
-    trainers = int(min(TRAINERS, max(1, -(-total * share // TRAIN_TASK))))
-    first = net.flat
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, own, seen = vocs.value, Network(first.copy()), []
-        for batch in batches:
-            texts = W.column(batch, "text")
-            for a, b in W.slices(texts):
-                h, rare, at = _tokens(texts.slice(a, b - a))
-                units, _ = voc.look(h, rare)
-                seen += [units[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        seen.sort(key=lambda u: (len(u), u.tobytes()))
-        np.random.default_rng(1).shuffle(seen)
-        train(own, seen)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([own.flat.tobytes()], pa.binary()), pa.array([sum(map(len, seen))], pa.int64())], ["lane", "weights", "tokens"])
-
-    def mean(t: pa.Table) -> pa.Table:
-        n = t["tokens"].to_numpy()
-        total = sum(np.frombuffer(w.as_py(), np.float32) * np.float64(k) for w, k in zip(t["weights"], n, strict=True)) / n.sum()
-        return pa.table({"weights": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "tokens": pa.array([int(n.sum())], pa.int64())})
-
     if total:
-        some = learn.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        made = some.repartition(trainers).mapInArrow(fit, "lane int, weights binary, tokens long").filter("tokens > 0")
-        made = made.groupBy("lane").applyInArrow(mean, "weights binary, tokens long").collect()  # 16 rows
-        if made:
-            weight = np.array([r.tokens for r in made], np.float64)
-            net = Network(np.average([np.frombuffer(r.weights, np.float32) for r in made], 0, weight).astype(np.float32))
+        net = Network(_weights(rows.filter("not held_out").select("doc_id", "text"), vocs, net.flat, int(total)))
     nets = spark.sparkContext.broadcast(net.flat)
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "known", "model", "tail"]
 
@@ -345,8 +423,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, key: str = "doc_id", t
             texts = W.column(batch, "text")
             for a, b in W.slices(texts):
                 h, rare, first = _tokens(texts.slice(a, b - a))
-                uniq, one, back = np.unique(h, return_index=True, return_inverse=True)
-                u, c = voc.look(uniq, rare[one])
+                one, back = W.index(h)
+                u, c = voc.look(h[one], rare[one])
                 units, count = u[back], c[back]
                 doc = np.repeat(np.arange(b - a), np.diff(first))
                 logs = np.log10(np.maximum(c, 0) + 0.5)[back]

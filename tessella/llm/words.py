@@ -124,6 +124,27 @@ def shingles(words: Words, size: int, hashes: np.ndarray | None = None) -> tuple
     return h, doc
 
 
+def index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct hash, each element's number among these), in any order: a
+    table by the low bits, and a sort of what collides there."""
+    n = len(h)
+    wide = 1 << (2 * n + 1).bit_length()
+    cell = (h & U(wide - 1)).astype(np.int64)
+    table = np.zeros(wide, np.int64)
+    table[cell] = np.arange(n)
+    at = table[cell]
+    places = np.flatnonzero(at == np.arange(n))
+    number = np.zeros(n, np.int64)
+    number[places] = np.arange(len(places))
+    back = number[at]
+    odd = np.flatnonzero(h[at] != h)
+    if len(odd):
+        _, first, rest = np.unique(h[odd], return_index=True, return_inverse=True)
+        back[odd] = len(places) + rest
+        places = np.concatenate((places, odd[first]))
+    return places, back
+
+
 def distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct hashes, sorted within the text (``doc`` must not fall)."""
     if not len(h):
