@@ -1,17 +1,21 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Each word has features (the word itself, its beginnings and endings of one to three bytes,
-its byte bigrams and trigrams, and whether a lexicon of the training texts gives it to one
-language), hashed into one table of weights by language; learned transitions join neighbours.
-Forward-backward gives each word's language; a text's language is the one with the most
-expected words.  All texts of a batch go in step, so no text is cut.
+its byte bigrams and trigrams, and the languages that a lexicon of the training texts gives it),
+hashed into one table of weights by language; learned transitions join neighbours, and learned
+start potentials begin a text.  Forward-backward gives each word's language; a text's language
+is the one with the most expected words, ties to the first by name.  All texts of a batch go in
+step, so no text is cut.
 
-Training (documented bound): ``SAMPLE`` labelled rows by a hash of their text, a stretch of
-``STRETCH`` characters of each; stretches are strung together, so switches are seen too.  The
-lexicon counts words by language over all training rows, and keeps ``LEXICON`` of them.
+Training (documented bound): the whole texts of ``SAMPLE`` labelled rows, chosen by a hash of
+text and label; texts are strung together, so switches are seen too.  The lexicon counts all
+words of all training rows by language, hashed into ``LEXICON`` cells: integer sums, the same
+in any partitioning.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without
-training rows every text is ``und``; repeated rows get a row each; an empty table gives none.
+training rows every text is ``und``; a text with several labels trains with each; repeated rows
+get a row each; an empty table gives none; further columns, whatever their names, are ignored
+(``keep_identified`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -21,16 +25,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import words as W
-from .common import bounded_sample, commonest, prepare, stash
+from .common import bounded_sample, prepare
 
 U = np.uint64
-SAMPLE, STRETCH, LEXICON, TABLE = 2000, 800, 1 << 16, 1 << 16
-#: Words that a task labels in step.
-CHUNK = 1_000_000
+SAMPLE, LEXICON, TABLE = 1000, 1 << 17, 1 << 16
+#: Words that a task labels in step, bytes of text whose features it makes at a time, and words whose features it keeps.
+CHUNK, PART, KEPT = 400_000, 1 << 18, 1 << 16
 
 
 class Model(NamedTuple):
@@ -38,13 +43,12 @@ class Model(NamedTuple):
     weights: np.ndarray  # (TABLE, languages)
     moves: np.ndarray  # log potentials (from, to)
     first: np.ndarray
-    lexicon: np.ndarray  # hashes, ascending
-    tongue: np.ndarray  # (lexicon, languages) share of each language
+    tongue: np.ndarray  # (LEXICON, languages) share of each language in a cell's words
 
 
-def _lexical(h: np.ndarray) -> np.ndarray:
-    """A word's key in the lexicon: 56 bits, as a language fills the rest of a long."""
-    return W.mix(h) >> U(8)
+def _cell(h: np.ndarray) -> np.ndarray:
+    """A word's cell in the lexicon."""
+    return (W.mix(h) >> U(8)).astype(np.int64) % LEXICON
 
 
 def _features(words: W.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +92,26 @@ def emissions(model: Model, words: W.Words, at: np.ndarray) -> np.ndarray:
     """Log potentials (words, languages) of the words ``at``."""
     rows, counts = _features(words, at)
     out = _sums(model.weights[rows], counts)
-    if len(model.lexicon) and len(at):
-        h = _lexical(words.hashes()[at])
-        k = np.minimum(np.searchsorted(model.lexicon, h), len(model.lexicon) - 1)
-        hit = model.lexicon[k] == h
-        out[hit] += model.tongue[k[hit]]
-    return out
+    return out + model.tongue[_cell(words.hashes()[at])]
+
+
+class _Emitter:
+    """Emissions of all words; those of words seen before are kept in a table by hash."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.key, self.value = np.zeros(KEPT, U), np.zeros((KEPT, len(model.langs)), np.float32)
+
+    def __call__(self, words: W.Words) -> np.ndarray:
+        h = words.hashes()
+        one, back = W.index(h)
+        h = h[one]
+        at = (h & U(KEPT - 1)).astype(np.int64)
+        out = self.value[at]
+        new = np.flatnonzero(self.key[at] != h)
+        out[new] = emissions(self.model, words, one[new])
+        self.key[at[new]], self.value[at[new]] = h[new], out[new]
+        return out[back]
 
 
 def marginals(model: Model, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -124,10 +142,11 @@ def marginals(model: Model, scores: np.ndarray, first: np.ndarray) -> np.ndarray
     return out
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str], lexicon: np.ndarray, tongue: np.ndarray, passes: int = 3, lanes: int = 32, window: int = 24, rate: float = 0.3) -> Model:
-    """Maximum likelihood of the labels (Adagrad over windows of ``lanes`` word sequences)."""
+def fit(texts: list[str], labels: list[int], langs: list[str], tongue: np.ndarray, passes: int = 3, lanes: int = 32, window: int = 24, rate: float = 0.3) -> Model:
+    """Maximum likelihood of the labels (Adagrad over windows of ``lanes`` word sequences, each a
+    chain from its start potentials on)."""
     k = len(langs)
-    model = Model(langs, np.zeros((TABLE, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32), lexicon, tongue)
+    model = Model(langs, np.zeros((TABLE, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32), tongue)
     words = W.split(pa.array(texts, pa.string()))
     n = len(words.start)
     if n < 2 or k < 2:
@@ -139,12 +158,8 @@ def fit(texts: list[str], labels: list[int], langs: list[str], lexicon: np.ndarr
     lanes = max(1, min(lanes, n // window))
     steps = n // lanes
     flow, want = back[: lanes * steps].reshape(lanes, steps), gold[: lanes * steps].reshape(lanes, steps)
-    gw, gm = np.full(model.weights.shape, 1e-2, np.float32), np.full((k, k), 1e-2)
-    extra = np.zeros((len(uniq), k), np.float32)
-    if len(lexicon):
-        h = _lexical(uniq)
-        at = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
-        extra[lexicon[at] == h] = tongue[at[lexicon[at] == h]]
+    gw, gm, gf = np.full(model.weights.shape, 1e-2, np.float32), np.full((k, k), 1e-2), np.full(k, 1e-2)
+    extra = tongue[_cell(uniq)]
     for turn in range(passes):
         for t0 in np.random.default_rng(turn).permutation(np.arange(0, steps, window)):
             ids, y = flow[:, t0 : t0 + window].reshape(-1), want[:, t0 : t0 + window]
@@ -156,7 +171,8 @@ def fit(texts: list[str], labels: list[int], langs: list[str], lexicon: np.ndarr
             move = np.exp(model.moves)
             m = y.shape[1]
             alpha, beta = np.empty(e.shape), np.empty(e.shape)
-            alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+            a = np.exp(model.first) * e[:, 0]
+            alpha[:, 0] = a / a.sum(1, keepdims=True)
             for t in range(1, m):
                 a = (alpha[:, t - 1] @ move) * e[:, t]
                 alpha[:, t] = a / a.sum(1, keepdims=True)
@@ -170,6 +186,9 @@ def fit(texts: list[str], labels: list[int], langs: list[str], lexicon: np.ndarr
                 beta[:, t - 1] = b / b.sum(1, keepdims=True)
             p = alpha * beta
             p /= p.sum(2, keepdims=True)
+            g = (p[:, 0].sum(0) - np.bincount(y[:, 0], minlength=k)) / 16
+            gf += g * g
+            model.first[:] -= rate * g / np.sqrt(gf)
             p = p.reshape(-1, k)
             p[np.arange(len(p)), y.reshape(-1)] -= 1
             by_word = np.stack([np.bincount(own, p[:, c], len(kinds)) for c in range(k)], 1) / 16
@@ -183,57 +202,50 @@ def fit(texts: list[str], labels: list[int], langs: list[str], lexicon: np.ndarr
             gm += expect * expect
             model.moves[:] -= rate * expect / np.sqrt(gm)
     model.moves[:] -= model.moves.max()
+    model.first[:] -= model.first.max()
     return model
 
 
 def _word_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
-    """(word, lang, n) over whole texts of rows (text, lang)."""
+    """(cell, lang, n): words of the whole texts of rows (text, lang) by cell of the lexicon."""
     place = {x: k for k, x in enumerate(langs)}
 
     def merged(held: list[tuple]) -> tuple:
         uniq, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
         return uniq, np.bincount(back, np.concatenate([x[1] for x in held]), len(uniq)).astype(np.int64)
 
-    def out(uniq: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array((uniq >> U(8)).astype(np.int64)), pa.array((uniq & U(255)).astype(np.int32)), pa.array(n)], ["word", "lang", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = [(np.zeros(0, np.int64),) * 2]
         size = 0
         for batch in batches:
             texts, lang = W.column(batch, "text"), np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b in W.slices(texts):
                 words = W.split(texts.slice(a, b - a))
-                key = _lexical(words.hashes()) << U(8) | lang[a:b][words.doc].astype(U)
-                held.append(np.unique(key, return_counts=True))
+                held.append(np.unique(_cell(words.hashes()) * len(langs) + lang[a:b][words.doc], return_counts=True))
                 size += len(held[-1][0])
-                if size >= 2 * CHUNK:
+                if size >= 2 * CHUNK:  # cells and languages are few: what stays is bounded
                     held = [merged(held)]
-                    size = len(held[0][0])
-                    if size >= CHUNK:  # what a task holds is bounded; the rest is summed by the shuffle
-                        yield out(*held[0])
-                        held, size = [], 0
-        if held:
-            yield out(*merged(held))
+                    size = len(held[0][0]) // 2
+        uniq, n = merged(held)
+        yield pa.RecordBatch.from_arrays([pa.array(uniq // len(langs)), pa.array(uniq % len(langs)), pa.array(n)], ["cell", "lang", "n"])
 
-    return rows.mapInArrow(run, "word long, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "cell long, lang long, n long").groupBy("cell", "lang").agg(F.sum("n").alias("n"))
 
 
 def learn(rows: DataFrame) -> Model:
     """A model of the rows (text, lang), neither null."""
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # the languages
     if not langs:
-        return Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, U), np.zeros((0, 0), np.float32))
-    counts = _word_counts(rows, langs).groupBy("word").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(langs))], F.sum("n").alias("n"))
-    head = commonest(counts, "n", LEXICON).toArrow()
-    key = head["word"].to_numpy().astype(np.int64).view(U)
-    n = np.stack([head[f"n{k}"].to_numpy() for k in range(len(langs))], 1) + 0.5 if len(key) else np.zeros((0, len(langs)))
-    tongue = np.log(n / n.sum(1, keepdims=True)).astype(np.float32) * 0.25 if len(key) else n.astype(np.float32)
-    order = np.argsort(key)
-    at = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - STRETCH)) + 1
-    stretches = rows.select(F.md5("text").alias("h"), F.substring("text", at.cast("int"), F.lit(STRETCH)).alias("text"), "lang")
-    some = sorted(bounded_sample(stretches, F.col("h"), SAMPLE).collect())  # SAMPLE short rows
-    return fit([r.text for r in some], [langs.index(r.lang) for r in some], langs, key[order], tongue[order])
+        return Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros((LEXICON, 0), np.float32))
+    told = _word_counts(rows, langs).toArrow()  # LEXICON cells by language
+    n = np.full((LEXICON, len(langs)), 0.5)
+    n[told["cell"].to_numpy(), told["lang"].to_numpy()] += told["n"].to_numpy()
+    tongue = (np.log(n / n.sum(1, keepdims=True)) * 0.25).astype(np.float32)
+    named = rows.select(F.md5("text").alias("h"), "lang", "text")
+    some = bounded_sample(named.select("h", "lang").distinct(), F.struct("h", "lang"), SAMPLE)
+    chosen = named.join(F.broadcast(some), ["h", "lang"]).groupBy("h", "lang").agg(F.first("text").alias("text"))  # SAMPLE keys are broadcast
+    texts = sorted((r.h, r.lang, r.text) for r in chosen.collect())  # SAMPLE rows
+    return fit([t for _, _, t in texts], [langs.index(x) for _, x, _ in texts], langs, tongue)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -241,73 +253,91 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, key: str = "doc_id"
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == held, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"),
+        F.col(key).cast("long").alias("doc_id"), _fold(key, folds, held).alias("held_out"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"),
     )
     model = spark.sparkContext.broadcast(learn(rows.filter("not held_out and text is not null and lang is not null").select("text", "lang")))
     return label(rows, model)
 
 
+def _fold(key: str, folds: int, held: int) -> Column:
+    return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds == held, F.lit(False))
+
+
+def _labelled(m: Model, batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
+    """(first ``width`` columns, language or -1, score, words, switches, words by language) of
+    stretches of batches that end with text and lettered; the last four by text."""
+    k = len(m.langs)
+    emit = _Emitter(m)
+
+    def told(kept: list[tuple]) -> tuple:
+        scores, counted = np.concatenate([x[1] for x in kept]), np.concatenate([x[2] for x in kept])
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.concatenate([np.diff(x[3]) for x in kept]))))
+        lettered = pa.concat_arrays([x[4] for x in kept]).to_numpy(zero_copy_only=False).astype(bool)
+        n = len(first) - 1
+        p = marginals(m, scores, first) if k else np.zeros((len(scores), 0), np.float32)
+        doc = np.repeat(np.arange(n), np.diff(first))
+        # words without a letter follow their neighbours and count for nothing, unless there are no others
+        weight = np.where(counted, 1.0, 1e-6)
+        total = np.stack([np.bincount(doc, p[:, c] * weight, n) for c in range(k)], 1) if k else np.zeros((n, 0))
+        sure = lettered & (k > 0) & (total.sum(1) > 0)
+        best = total.argmax(1) if k else np.zeros(n, int)
+        share = np.where(sure, (total[np.arange(n), best] if k else 0) / np.maximum(total.sum(1), 1e-12), 0.0)
+        mode = p.argmax(1) if k and len(p) else np.zeros(len(doc), int)
+        dc, mc = doc[counted], mode[counted]
+        switch = np.bincount(dc[1:][(dc[1:] == dc[:-1]) & (mc[1:] != mc[:-1])], minlength=n)
+        by = np.bincount(dc * max(k, 1) + mc, minlength=n * max(k, 1)).reshape(n, -1)[:, :k]
+        keys = pa.Table.from_batches([x[0] for x in kept]).combine_chunks()
+        return keys, np.where(sure, best, -1), np.round(np.clip(share, 0, 1).astype(float), 6), np.bincount(dc, minlength=n), switch, by
+
+    kept: list[tuple] = []
+    size = 0
+    for batch in batches:
+        texts, lettered = W.column(batch, "text"), batch.column(batch.num_columns - 1)
+        for a, b in W.slices(texts, PART):
+            words = W.split(texts.slice(a, b - a))
+            is_letter = np.concatenate((np.zeros(1, np.int64), np.cumsum(((words.data >= 97) & (words.data <= 122)) | (words.data >= 0x80))))
+            counted = is_letter[words.end] > is_letter[words.start]
+            kept.append((batch.select(list(range(width))).slice(a, b - a), emit(words), counted, words.first, lettered.slice(a, b - a)))
+            size += len(counted)
+            if size >= CHUNK:
+                yield told(kept)
+                kept, size = [], 0
+    if kept:
+        yield told(kept)
+
+
+def _lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+
+
 def label(rows: DataFrame, model) -> DataFrame:
     """Rows (doc_id, held_out, text) under a broadcast model."""
-    names = ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", "words_by_lang"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        k = len(m.langs)
-
-        def emit(kept: list[tuple]) -> pa.RecordBatch:
-            scores, counted = np.concatenate([x[1] for x in kept]), np.concatenate([x[2] for x in kept])
-            first = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.concatenate([np.diff(x[3]) for x in kept]))))
-            lettered = pa.concat_arrays([x[4] for x in kept]).to_numpy(zero_copy_only=False).astype(bool)
-            n = len(first) - 1
-            p = marginals(m, scores, first) if k else np.zeros((len(scores), 0), np.float32)
-            doc = np.repeat(np.arange(n), np.diff(first))
-            # words without a letter follow their neighbours and count for nothing, unless there are no others
-            weight = np.where(counted, 1.0, 1e-6)
-            total = np.stack([np.bincount(doc, p[:, c] * weight, n) for c in range(k)], 1) if k else np.zeros((n, 0))
-            sure = lettered & (k > 0) & (total.sum(1) > 0)
-            best = total.argmax(1) if k else np.zeros(n, int)
-            share = np.where(sure, (total[np.arange(n), best] if k else 0) / np.maximum(total.sum(1), 1e-12), 0.0)
-            mode = p.argmax(1) if k and len(p) else np.zeros(len(doc), int)
-            dc, mc = doc[counted], mode[counted]
-            switch = np.bincount(dc[1:][(dc[1:] == dc[:-1]) & (mc[1:] != mc[:-1])], minlength=n)
-            by = np.bincount(dc * max(k, 1) + mc, minlength=n * max(k, 1)).reshape(n, -1)[:, :k]
+        langs = model.value.langs
+        for keys, best, score, n_words, switches, by in _labelled(model.value, batches, 2):
             on = by > 0
-            maps = pa.MapArray.from_arrays(np.concatenate((np.zeros(1, np.int64), np.cumsum(on.sum(1)))).astype(np.int32), pa.array([m.langs[c] for c in np.nonzero(on)[1]], pa.string()), pa.array(by[on], pa.int64()))
-            keys = pa.Table.from_batches([x[0] for x in kept]).combine_chunks()
-            pred = [m.langs[b] if s else "und" for b, s in zip(best.tolist(), sure.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([keys.column(0).combine_chunks(), keys.column(1).combine_chunks(), pa.array(pred, pa.string()), pa.array(np.round(np.clip(share, 0, 1).astype(float), 9)), pa.array(np.bincount(dc, minlength=n)), pa.array(switch), maps], names)
+            maps = pa.MapArray.from_arrays(np.concatenate((np.zeros(1, np.int64), np.cumsum(on.sum(1)))).astype(np.int32), pa.array([langs[c] for c in np.nonzero(on)[1]], pa.string()), pa.array(by[on], pa.int64()))
+            pred = [langs[b] if b >= 0 else "und" for b in best.tolist()]
+            cols = [keys.column(0).combine_chunks(), keys.column(1).combine_chunks(), pa.array(pred, pa.string()), pa.array(score), pa.array(n_words), pa.array(switches), maps]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", "words_by_lang"])
 
-        kept: list[tuple] = []
-        size = 0
-        for batch in batches:
-            texts = W.column(batch, "text")
-            lettered = batch.column(3)
-            for a, b in W.slices(texts):
-                words = W.split(texts.slice(a, b - a))
-                uniq, one, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                is_letter = np.concatenate((np.zeros(1, np.int64), np.cumsum(((words.data >= 97) & (words.data <= 122)) | (words.data >= 0x80))))
-                counted = is_letter[words.end] > is_letter[words.start]
-                scores = emissions(m, words, one)[back] if k else np.zeros((len(back), 0), np.float32)
-                kept.append((batch.select(["doc_id", "held_out"]).slice(a, b - a), scores, counted, words.first, lettered.slice(a, b - a)))
-                size += len(back)
-                if size >= CHUNK:
-                    yield emit(kept)
-                    kept, size = [], 0
-        if kept:
-            yield emit(kept)
-
-    return rows.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long, words_by_lang map<string,long>")
+    return rows.select("doc_id", "held_out", "text", _lettered()).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long, words_by_lang map<string,long>")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language cannot be told: ``und``, or no language with a
-    share of ``least`` of the words.  Columns stay."""
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()))
-    named = rows.select(F.col("_row").alias("doc_id"), F.lit(False).alias("held_out"), F.col(text).cast("string").alias("text"))
-    fold = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2, F.lit(True))
-    known = rows.filter(fold & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    share of ``least`` of the words.  Rows pass through the scan as they are: no join, no
+    shuffle, and no name that could clash."""
     prepare(docs.sparkSession)
+    body = F.col(f"`{text}`").cast("string")
+    known = docs.filter(~_fold(key, 4, 2)).select(body.alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
     model = docs.sparkSession.sparkContext.broadcast(learn(known))
-    good = label(named, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_row"))
-    return rows.join(good, "_row", "left_semi").select(*docs.columns)
+    width = len(docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], body.alias("text"))
+    shape = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, best, score, *_ in _labelled(model.value, batches, width):
+            yield from keys.filter(pa.array((best >= 0) & (score >= least))).to_batches()
+
+    return rows.select("*", _lettered()).mapInArrow(run, shape).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
