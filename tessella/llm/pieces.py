@@ -270,12 +270,14 @@ class Lattice:
     def encode(self, texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]], float, bool]]:
         """For each text: best ids, its N best as (score, changes from the best by segment), the
         best score, and whether the ids decode to the text."""
+        marked = pc.match_substring(texts, "▁").to_numpy(zero_copy_only=False)  # read as a space, so decoding cannot give it back
         texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" ", texts.type), pc.replace_substring(texts, "▁", " "), pa.scalar("", texts.type)))
         words = self.segments(texts)
         if len(self.slot) > KEPT:
             self.clear()
-        uniq, one, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        keys = uniq.tolist()
+        h = words.hashes()
+        one, back = W.index(h)
+        keys = h[one].tolist()
         new = [k for k, x in enumerate(keys) if x not in self.slot]
         if new:
             self.learn([keys[k] for k in new], [words.word(k) for k in one[new]])
@@ -299,7 +301,7 @@ class Lattice:
                 under = np.flatnonzero(g < most)
                 near = np.sort(np.concatenate((under, np.flatnonzero(g == most)[: m - len(under)])))
             lists = [(int(p), self._list(int(slot[a + p]), n)) for p in near if g[p] < np.inf]
-            same = np.array_equal(spelt[spelt_at[k] : spelt_at[k + 1]], words.data[words.begin[k] : words.begin[k + 1]])
+            same = not marked[k] and np.array_equal(spelt[spelt_at[k] : spelt_at[k + 1]], words.data[words.begin[k] : words.begin[k + 1]])
             yield flat[edge[k] : edge[k + 1]], _combine(float(total[k]), lists, n), float(total[k]), same
 
     def _list(self, slot: int, n: int) -> list[tuple[float, list[int]]]:
