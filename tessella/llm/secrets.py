@@ -26,7 +26,7 @@ BASE = (ASSIGN, ACCESS, HEX)
 #: Weak parts: identifiers, secrets and endpoints.
 WEAK = (
     ("ident", r"""(?i:(client_?id|access_?key_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+))""", 2, 3),
-    ("opaque", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,60}[0-9])(?=[0-9a-z+/]{0,60}[A-Z])[A-Za-z0-9+/]{20,}={0,2}", 0, 20),
+    ("opaque", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])[A-Za-z0-9+/]{20,}={0,2}", 0, 20),
     ("endpoint", r"(?i:https?://[A-Za-z0-9.-]+(?::[0-9]+)?)", 0, 10),
 )
 #: What must occur near a part of each weak kind.
