@@ -7,11 +7,13 @@ the block at once.  The k-th value comes from the sum's slices, most significant
 that the dropped low bits could still lift over it are the boundary and are scored exactly.
 
 Queries and candidates meet block by block (a stated query set against all rows): a task
-holds one block of each, whatever the table's size, and gives k rows for each query.
+holds one block of each, whatever the table's size, makes the block's slices once, and gives k
+rows for each query.  Blocks of both have one size, which sends the fewest rows for the work.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 shorter vectors count as filled up with 0; rows with the query's own id are not candidates;
-ties go to the smaller id; repeated rows are candidates each; an empty table gives no rows.
+ties go to the smaller id; repeated rows are candidates each; an empty table gives no rows;
+further columns, whatever their names, are ignored.  Scores must fit in a 64-bit integer.
 """
 
 from __future__ import annotations
@@ -25,8 +27,7 @@ from pyspark.sql.window import Window
 from .common import prepare
 
 U = np.uint64
-ROWS = 16384
-QUERIES = 512
+ROWS = QUERIES = 8192
 #: Low bits that the index leaves to the exact step.
 DROPPED = 2
 
