@@ -4,15 +4,18 @@ Noisy channel: a token that mixes letters with signs or digits, stretches a lett
 spelled out in single letters becomes a lattice of the letters each character may stand for
 (or nothing, for fillers and repetitions).  Viterbi decoding under a character trigram model,
 counted over all texts, restores the word; the score reads the restored text beside the plain.
+A spelled-out run is read as a whole and from each of its letters on, as its first letter may
+be a word of its own.
 
 Score: a logistic model over words and word beginnings, told apart by how often a text has
 them.  Features come from the labelled training rows (``SAMPLE`` rows at most, by a hash of
-their id, a documented bound for the classifier): those whose rate differs most between the
-labels, ``FEATURES`` at most; their weights are then fitted together.
+their id, a documented bound for the classifier): all whose rate differs between the labels by
+``SURE`` standard errors or more; their weights are then fitted together.
 
 Defined results: null is an empty text; a text without features, an empty one included, gets
 the rate of such texts; without labels every score is 0.5; repeated rows are scored each;
-rows with several labels count with each; an empty table gives no rows.
+rows with several labels count with each; an empty table gives no rows; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from . import words as W
 from .common import bounded_sample, prepare
 
 U = np.uint64
-SAMPLE, FEATURES, LEVELS = 12_000, 400, 3
+SAMPLE, SURE, LEVELS = 12_000, 3.5, 3
 #: What a character may stand for, beside itself.
 LEET = {"4": "a", "@": "a", "3": "e", "1": "il", "!": "i", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z", "(": "c", "*": "aeiou", "#": "aeiou"}
 STAND, DROP, REPEAT, PAIR, SOME, ANY = 0.5, 0.5, 0.3, 3.0, 12.0, 2.5
@@ -41,6 +44,8 @@ _LETTER = _ASCII.copy()
 _LETTER[0x80:] = True
 _SOME = np.zeros(256, bool)
 _SOME[[ord(c) for c in LEET]] = True
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[ord(c) for c in "!*#|+("]] = True
 _CODE = np.full(256, 27, np.int64)
 _CODE[:128] = 0
 _CODE[97:123] = np.arange(1, 27)
@@ -134,7 +139,9 @@ def disguised(words: W.Words) -> tuple[list[str], np.ndarray]:
     lead = some[start] & (end - start > 2) & ascii_[np.minimum(start + 1, len(data) - 1)]
     tail = some[end - 1] & (data[end - 1] < 58) & (data[end - 1] > 47) & letter[np.maximum(end - 2, 0)] & (end - start > 2)
     single = (end - start == 1) & (ascii_[start] | some[start])
-    pick = (letters >= 2) & ((runs >= 2) | long_ | lead | tail)
+    # few letters, and signs that stand for all the others: not only at the end, where a sign closes a sentence
+    spelt = (letters >= 1) & (_ranges(letter | some, words) == end - start) & (_ranges(some & ~_CLOSING[data], words) > 0) & (end - start > 2)
+    pick = (letters >= 2) & ((runs >= 2) | long_ | lead | tail) | spelt
     at = np.flatnonzero(pick)
     tokens, docs = [data[start[k] : end[k]].tobytes().decode("utf-8", "replace") for k in at], [words.doc[at]]
     # letters spelled out one by one
@@ -144,8 +151,10 @@ def disguised(words: W.Words) -> tuple[list[str], np.ndarray]:
     stop = np.flatnonzero(single & ~same[1:])
     for a, b in zip(begin[stop - begin >= 2].tolist(), stop[stop - begin >= 2].tolist(), strict=True):
         if ascii_[start[a : b + 1]].sum() >= 2:
-            tokens.append(data[start[a : b + 1]].tobytes().decode("ascii"))
-            docs.append(words.doc[a : a + 1])
+            run = data[start[a : b + 1]].tobytes().decode("ascii")
+            parts = [run] + [run[k : k + max(PREFIXES)] for k in range(1, len(run) - min(PREFIXES) + 1)]
+            tokens += parts
+            docs.append(np.repeat(words.doc[a : a + 1], len(parts)))
     return tokens, np.concatenate(docs)
 
 
@@ -233,25 +242,47 @@ def character_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method with backtracking."""
-    one = np.concatenate((x, np.ones((len(x), 1))), 1)
-    w, pull = np.zeros(one.shape[1]), np.full(one.shape[1], l2)
+def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, wide: int, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression over the ones (rows, cols) of a sparse matrix of ``wide`` columns, by
+    Newton's method with conjugate gradients and backtracking."""
+    n = len(y)
+    rows, cols = np.concatenate((rows, np.arange(n))), np.concatenate((cols, np.full(n, wide)))
+    w, pull = np.zeros(wide + 1), np.full(wide + 1, l2)
     pull[-1] = 1e-3
 
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, v[cols], n)
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.bincount(cols, u[rows], wide + 1)
+
     def loss(w: np.ndarray) -> float:
-        s = one @ w
+        s = times(w)
         return float(np.logaddexp(0, s).sum() - s @ y + 0.5 * (pull * w * w).sum())
 
     for _ in range(30):
-        p = 1 / (1 + np.exp(-one @ w))
-        g = one.T @ (p - y) + pull * w
-        step = np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + np.diag(pull), g)
+        p = 1 / (1 + np.exp(-times(w)))
+        g, curve = back(p - y) + pull * w, p * (1 - p)
+        ease = 1 / (back(curve) + pull)
+        step, r = np.zeros_like(w), g.copy()
+        d = ease * r
+        rz = r @ d
+        first = rz
+        for _ in range(200):
+            hd = back(curve * times(d)) + pull * d
+            alpha = rz / (d @ hd)
+            step += alpha * d
+            r -= alpha * hd
+            z = ease * r
+            rz, old = r @ z, rz
+            if rz <= 1e-16 * first:
+                break
+            d = z + rz / old * d
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-4:
             size /= 2
         w = w - size * step
-        if np.abs(size * step).max() < 1e-5:
+        if np.abs(size * step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
@@ -284,7 +315,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, thr
         nt, nc = float(sizes[1]), float(sizes[0])
         z = (F.col("t") / nt - F.col("c") / nc) / F.sqrt((F.col("t") + 1) / nt**2 + (F.col("c") + 1) / nc**2)
         told = distinct.mapInArrow(count, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t + c >= 4")
-        best = told.withColumn("z", z).filter(F.abs("z") > 2.5).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).select("f").collect()  # FEATURES rows
+        best = told.withColumn("z", z).filter(F.abs("z") > SURE).select("f").collect()  # features of SAMPLE rows, few of which differ so much
         keep = np.sort(np.array([r.f for r in best], np.int64).view(U))
 
         def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +330,10 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, thr
                     cut = np.searchsorted(doc[order], np.arange(b - a + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([y.slice(a, b - a), pa.ListArray.from_arrays(cut, pa.array(np.searchsorted(keep, h[order]).astype(np.int32)))], ["y", "at"])
 
-        fit = distinct.mapInArrow(present, "y int, at array<int>").collect()  # SAMPLE rows of FEATURES numbers at most
-        x, y = np.zeros((len(fit), len(keep))), np.array([r.y for r in fit], float)
-        for k, r in enumerate(fit):
-            x[k, r.at] = 1
-        order = np.lexsort((*x.T, y)) if x.size else np.arange(len(y))  # the same sums in any order of rows
-        weights, base = _fit(x[order], y[order])
+        fit = distinct.mapInArrow(present, "y int, at array<int>").collect()  # SAMPLE rows of numbers
+        fit = sorted((r.y, sorted(r.at)) for r in fit)  # the same sums in any order of rows
+        cols = np.array([c for _, at in fit for c in at], np.int64)
+        weights, base = _fit(np.repeat(np.arange(len(fit)), [len(at) for _, at in fit]), cols, np.array([y for y, _ in fit], float), len(keep))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)

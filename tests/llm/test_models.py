@@ -168,6 +168,42 @@ def test_restoring():
         assert m.restore(seen) == word
 
 
+def test_restoring_is_the_least_path():
+    """Against the enumeration of all paths of short lattices."""
+    rng = random.Random(6)
+    m = toxicity.CharacterModel(np.array([rng.randrange(20) for _ in range(28**3)], float))
+    t = toxicity
+
+    def paths(token):
+        out = [((), 0.0)]
+        for at, ch in enumerate(token):
+            stand = t.LEET.get(ch, "")
+            options = [(ch, 0.0)] * ("a" <= ch <= "z") + [(c, t.STAND if len(stand) < 3 else t.ANY) for c in stand]
+            if at and ch == token[at - 1] and options:
+                drop = t.REPEAT if token[max(0, at - 2) : at + 3].count(ch) > 2 else t.PAIR
+            else:
+                drop = t.SOME if stand else None if options else t.DROP
+            out = [((*p, c), v + x) for p, v in out for c, x in options] + [(p, v + drop) for p, v in out if drop is not None]
+        return out
+
+    def cost(p, v):
+        c = [0, 0, *[ord(x) - 96 for x in p], 0]
+        return v + sum(m.cost[a, b, d] for a, b, d in zip(c, c[1:], c[2:], strict=False))
+
+    for token in ("a1b", "5h17", "a$$", "b-o-b", "h@@a", "lll1x", "x3-4y", "zzz"):
+        best = min((cost(p, v), "".join(p)) for p, v in paths(token))
+        assert m.restore(token) == best[1], token
+
+
+def test_what_is_decoded():
+    for text, want in (("5h17 here", ["5h17"]), ("a$$ as$ $h!7", ["a$$", "as$", "$h!7"]), ("plain words! 2024 3.5 x", []), ("you are a s t u p i d", ["astupid", "stupid", "tupid", "upid"])):
+        assert t_tokens(text) == want
+
+
+def t_tokens(text):
+    return toxicity.disguised(toxicity.W.split(pa.array([text])))[0]
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     tongues = {"aa": "kelomi", "bb": "zurtax", "cc": "épàñbn"}
