@@ -7,15 +7,19 @@ estimate's variance, and a text is done once every position has an offer, which
 reach after one or two ranks.
 
 Plan: signatures in one scan of the texts (no shuffle of texts); equal texts become one node;
-equal band keys join nodes to candidate clusters (star edges only, never pairs); inside a
-cluster the full shingle sets of all members are compared by blocks of bounded size, so a
-group of any size is spread over tasks and no pair is skipped; verified links give the
-components.  Two texts over the threshold miss each other only when all bands differ, with
-probability (1 - 0.8^4)^24 = 3e-6 at a similarity of exactly 0.8, and then only if no chain
-of other texts brings them into one cluster.
-
-Defined results: null or blank text has an empty set, links with nothing and is kept; a
-repeated row gets a result row each; an empty table gives none; other columns are ignored.
+the members of an equal band key meet its least member, a star, and these pairs are verified on
+full shingle sets.  Verified links give components, and a band key whose members are all in one
+component is done: further links would change nothing.  In the others, the members outside the
+component of the least one are compared with all members by blocks of bounded size, so a group
+of any size is spread over tasks and no candidate is skipped.  A large group of copies costs its
+size; only members that no verified link joins are compared each with each, within their key.
+Two texts over the threshold miss each other only when all bands differ, with probability
+(1 - 0.8^4)^24 = 3e-6 at a similarity of exactly 0.8, and then only if no chain of other texts
+joins them.
+
+Defined results: null or blank text has an empty set, links with nothing and is kept; so is a
+row without a key; a repeated row gets a result row each; an empty table gives none; further
+columns, whatever their names, are ignored (``drop_near_duplicates`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from . import words as W
 from .common import components, prepare, stash
 
 U = np.uint64
-#: Members of a cluster compared at a time with as many others.
+#: Members of a band key compared at a time with as many others.
 BLOCK = 64
 
 
@@ -90,7 +94,8 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, key: str, text
                     ["doc", "node", "n_shingles", "bands"],
                 )
 
-    rows_in = docs.select(F.col(key).cast("long").alias("doc"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("node"), F.col(text).alias("text"))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows_in = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.unhex(F.md5(body)).alias("node"), body.alias("text"))
     return rows_in.mapInArrow(run, "doc long, node binary, n_shingles long, bands array<long>")
 
 
@@ -134,8 +139,28 @@ def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, perce
     return out
 
 
+def _links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, x, y) whose texts x and y have enough in common."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [batch.column(2), batch.column(3)]
+            cut = sorted({0, batch.num_rows, *(b for t in texts for _, b in W.slices(t))})
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                sets = [W.distinct(*W.shingles(W.split(t.slice(a, b - a)), size)) for t in texts]
+                n = [np.bincount(doc, minlength=b - a) for _, doc in sets]
+                h, doc = (np.concatenate(x) for x in zip(*sets, strict=True))
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                twice = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+                both = np.bincount(doc[1:][twice], minlength=b - a)
+                ok = pa.array((both > 0) & (100 * both >= percent * (n[0] + n[1] - both)))
+                yield batch.select(["a", "b"]).slice(a, b - a).filter(ok)
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
 def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among rows (cluster, i, j, chunk, node, text), block by block."""
+    """Links (a, b) among rows (bucket, i, j, chunk, node, text), block by block."""
     def block(rows: list) -> list[tuple[bytes, bytes]]:
         table = pa.Table.from_batches(rows)
         node = table["node"].to_pylist()
@@ -180,40 +205,49 @@ def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.select("cluster", "i", "j", "chunk", "node", "text").mapInArrow(run, "a binary, b binary")
+    dealt = members.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.select("bucket", "i", "j", "chunk", "node", "text").mapInArrow(run, "a binary, b binary")
 
 
 def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc, node (the digest of a text that has words), n_shingles, component_id."""
     prepare(docs.sparkSession)
     sig = stash(signatures(docs, size, bands, rows, key, text))
-    nodes = sig.groupBy("node").agg(F.min("doc").alias("doc"))
-
-    buckets = sig.join(nodes, ["node", "doc"], "left_semi").select("node", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub")
-    star = buckets.join(hubs, "bucket").filter("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    clusters = stash(components(star))
-
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    members = (
-        clusters.join(sizes, "root")
-        .join(nodes, "node")
-        .select("node", "doc", F.xxhash64("root").alias("cluster"), "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    )
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    blocks = (
-        texts.join(members, "doc")
-        .filter(F.unhex(F.md5("text")) == F.col("node"))
-        .select("node", "text", "cluster", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("node", "text", "cluster", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    )
-    joined = components(_verified(blocks, size, percent))
+    known = sig.filter("n_shingles > 0 and doc is not null")
+    nodes = stash(known.groupBy("node").agg(F.min("doc").alias("doc")))
+    buckets = stash(known.join(nodes, ["node", "doc"], "left_semi").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
+    hubs = stash(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub"))
+    shared = stash(buckets.join(hubs, "bucket"))
+    star = stash(shared.filter("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    needed = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(nodes, "node")
+    body = F.col(f"`{text}`").cast("string")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), body.alias("text")).filter("text is not null").withColumn("node", F.unhex(F.md5("text")))
+    texts = stash(texts.join(needed, ["doc", "node"], "left_semi").select("node", "text"))
+    pairs = star.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    links = stash(_links(pairs, size, percent))
+    joined = stash(components(links))
+
+    root = joined.select("node", "root")
+    placed = shared.join(root, "node", "left").join(root.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub", "left")
+    apart = ~F.coalesce("root", "node").eqNullSafe(F.coalesce("main", "hub"))
+    placed = stash(placed.select("bucket", "node", apart.alias("apart")))
+    open_ = placed.groupBy("bucket").agg(F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("others"), F.ceil(F.count_if(~F.col("apart")) / BLOCK).cast("int").alias("mains")).filter("others > 0")
+    chunk = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("apart"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+    members = placed.join(open_, "bucket").withColumn("chunk", F.when(F.col("apart"), chunk).otherwise(-1 - chunk))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(F.col("others")), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
+    # the least member is in its own component, so ``mains`` is at least one
+    across = F.transform(upto(F.col("mains")), lambda m: F.struct(F.col("chunk").alias("i"), (-1 - m).alias("j")))
+    main = F.transform(upto(F.col("others")), lambda o: F.struct(o.alias("i"), F.col("chunk").alias("j")))
+    dealt = members.select("bucket", "node", "chunk", F.explode(F.when(F.col("apart"), F.concat(among, across)).otherwise(main)).alias("at")).select("bucket", "at.i", "at.j", "chunk", "node")
+    more = stash(_verified(dealt.join(texts, "node"), size, percent))
+    if not more.isEmpty():
+        joined = stash(components(links.union(more)))
     least = joined.join(nodes, "node").groupBy("root").agg(F.min("doc").alias("component_id"))
-    groups = joined.join(least, "root").select("node", "component_id")
-    classes = nodes.join(groups, "node", "left").select("node", F.coalesce("component_id", F.col("doc")).alias("component_id"))
+    # written once, so that the join with all copies meets a plain table and its hot keys can be split
+    classes = stash(nodes.join(joined.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc").alias("component_id")))
     # a blank text is linked with nothing, not even with its copies
-    out = sig.select("doc", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "n_shingles").join(classes, "node", "left")
+    out = sig.select("doc", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("node")).alias("node"), "n_shingles").join(classes, "node", "left")
     return out.select("doc", "node", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 
@@ -224,13 +258,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     ``size``-word shingles; component_id is the least key reachable.
     """
     out = _grouped(docs, size, percent, bands, rows, key, text)
-    return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the least key.  Of rows
     alike in key and text one stays; rows without a key or without words stay."""
-    gone = _grouped(docs, size, percent, key=key, text=text).filter("doc != component_id and node is not null").select(F.col("doc").alias("_doc"), F.col("node").alias("_gone")).distinct()
-    named = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    left = named.join(gone, (F.col(key) == F.col("_doc")) & (F.col("_node") == F.col("_gone")), "left_anti")
-    return left.dropDuplicates([key, "_node"]).select(*docs.columns)
+    told = _grouped(docs, size, percent, key=key, text=text).filter("node is not null").select("doc", "node", (F.col("doc") != F.col("component_id")).alias("gone")).distinct()
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    named = docs.select(row, F.col(f"`{key}`").cast("long").alias("doc"), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))).alias("node"))
+    left = named.join(told, ["doc", "node"], "left").filter("gone is null or not gone")
+    # rows without a key or words are told apart by a number
+    alone = F.when(F.col("gone").isNull(), F.monotonically_increasing_id())
+    kept = left.withColumn("alone", alone).groupBy("doc", "node", "alone").agg(F.first("row").alias("row"))
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
