@@ -34,8 +34,8 @@ from .common import bounded_sample, prepare
 
 U = np.uint64
 SAMPLE, LEXICON, TABLE = 1000, 1 << 17, 1 << 16
-#: Words that a task labels in step, bytes of text whose features it makes at a time, and words whose features it keeps.
-CHUNK, PART, KEPT = 400_000, 1 << 18, 1 << 16
+#: Words that a task labels in step, and words whose features it keeps.
+CHUNK, KEPT = 400_000, 1 << 16
 
 
 class Model(NamedTuple):
@@ -293,7 +293,7 @@ def _labelled(m: Model, batches: Iterator[pa.RecordBatch], width: int) -> Iterat
     size = 0
     for batch in batches:
         texts, lettered = W.column(batch, "text"), batch.column(batch.num_columns - 1)
-        for a, b in W.slices(texts, PART):
+        for a, b in W.slices(texts):
             words = W.split(texts.slice(a, b - a))
             is_letter = np.concatenate((np.zeros(1, np.int64), np.cumsum(((words.data >= 97) & (words.data <= 122)) | (words.data >= 0x80))))
             counted = is_letter[words.end] > is_letter[words.start]

@@ -19,7 +19,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text worked on at a time; a longer text is taken alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
