@@ -3,12 +3,14 @@
 Documents become pieces of at most ``limit`` tokens in one scan.  Pieces are dealt over
 partitions of bounded size; each partition packs by best fit decreasing and computes a lower
 bound of its bin count from dual-feasible functions.  A partition whose count exceeds its
-bound, and every partition for its bins that are not full, hands the documents of its
-emptiest bins over; they are dealt anew over fewer partitions and packed again, until one
-partition is left.  Bins that stay are final, so the rows that move shrink each round.
+bound hands the documents of its emptiest bins over, one bin more than the gap; they are dealt
+anew over fewer partitions and packed again, until one partition is left.  Bins that stay are
+final, so the rows that move shrink each round.
 
 Defined results: null is an empty text (one piece, the end token); repeated rows are packed
-each; an empty table gives no rows.
+each; pieces of the full length have a sequence each; equal lengths are taken in the order of
+the rows; an empty table gives no rows; further columns of the pieces, whatever their names,
+come back as they are, but for ``sequence_id`` and ``offset``, which are replaced.
 """
 
 from __future__ import annotations
@@ -111,16 +113,16 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, n
 def _packer(limit: int, turn: int, last: bool) -> Callable[[pa.Table], pa.Table]:
     """Packs one partition and marks the bins whose documents it hands over."""
     def one(t: pa.Table) -> pa.Table:
-        lengths, part = t["length"].to_numpy(), t["_part"][0].as_py()
+        lengths, part = t["length"].to_numpy(), t["part"][0].as_py()
         where, offset, left = best_fit(lengths, limit)
         bound = lower_bound(lengths, limit)
         # one bin more than the gap: the last is seldom full
         loose = np.argsort(-left, kind="stable")[: len(left) - bound + 1]
         give = np.zeros(len(left), bool)
-        give[loose[left[loose] > limit // 64]] = not last
+        give[loose[left[loose] > 0]] = not last
         # rounds and partitions have their own range of numbers, above those of full pieces
         ident = ((1 << 62) | (turn << 56) | (part << 24)) + where
-        for name, x, kind in (("sequence_id", ident, pa.int64()), ("offset", offset, pa.int64()), ("_open", give[where], pa.bool_()), ("_bins", np.full(len(lengths), len(left)), pa.int64()), ("_bound", np.full(len(lengths), bound), pa.int64())):
+        for name, x, kind in (("sequence_id", ident, pa.int64()), ("offset", offset, pa.int64()), ("open", give[where], pa.bool_()), ("bins", np.full(len(lengths), len(left)), pa.int64()), ("bound", np.full(len(lengths), bound), pa.int64())):
             t = t.append_column(name, pa.array(x, kind))
         return t
 
@@ -133,24 +135,28 @@ def pack(pieces: DataFrame, limit: int = 4096, group: int = GROUP) -> tuple[Data
     spark = pieces.sparkSession
     prepare(spark)
     names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    at = stash(pieces.select(*names, F.monotonically_increasing_id().alias("_row")))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row")
+    at = stash(pieces.select(row, F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("id")))
+
+    def told(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)], "sequence_id", "offset")
+
     n = at.count()
     done, said, turn = [], [], 0
-    full = at.filter(F.col("length") >= limit)
-    done.append(full.select(*names, F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    done.append(told(at.filter(F.col("length") >= limit).withColumns({"sequence_id": F.col("id"), "offset": F.lit(0).cast("long")})))
     at = at.filter(F.col("length") < limit)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema) + ", _part int, sequence_id long, offset long, _open boolean, _bins long, _bound long"
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema) + ", part int, sequence_id long, offset long, open boolean, bins long, bound long"
     n = max(1, n)
     while True:
         parts, last = -(-n // group), n <= group
 
-        dealt = at.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(parts)).cast("int"))
-        made = stash(dealt.groupBy("_part").applyInArrow(_packer(limit, turn, last), shape))
-        said.append(made.groupBy("_part").agg(F.count("*").alias("pieces"), F.max("_bins").alias("bins"), F.max("_bound").alias("bound")).select(F.lit(turn).alias("round"), F.col("_part").alias("part"), "pieces", "bins", "bound"))
-        done.append(made.filter("not _open").select(*names, "sequence_id", "offset"))
+        dealt = at.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(parts)).cast("int"))
+        made = stash(dealt.groupBy("part").applyInArrow(_packer(limit, turn, last), shape))
+        said.append(made.groupBy("part").agg(F.count("*").alias("pieces"), F.max("bins").alias("bins"), F.max("bound").alias("bound")).select(F.lit(turn).alias("round"), "part", "pieces", "bins", "bound"))
+        done.append(told(made.filter("not open")))
         if last:
             break
-        at = made.filter("_open").select(*names, "_row")
+        at = made.filter("open").select("row", "length", "id")
         moved = at.count()
         if not moved:
             break
@@ -161,3 +167,10 @@ def pack(pieces: DataFrame, limit: int = 4096, group: int = GROUP) -> tuple[Data
     for x in said[1:]:
         bounds = bounds.unionByName(x)
     return out, bounds
+
+
+def certified(packed: DataFrame, limit: int = 4096) -> tuple[int, int]:
+    """(sequences used, lower bound of any packing) of all pieces, from a histogram of their lengths."""
+    rows = packed.groupBy("length").agg(F.count("*").alias("n")).collect()  # ``limit`` rows at most
+    lengths = np.repeat(np.array([r.length for r in rows], np.int64), [r.n for r in rows]) if rows else np.zeros(0, np.int64)
+    return packed.filter("offset = 0").count(), lower_bound(lengths, limit)

@@ -60,14 +60,18 @@ class WordTokenizer:
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
         self.used = 0
+        # the slot last seen in each cell of a table by hash; ``key`` tells whether it is the word's
+        self.cell = np.zeros(1 << 20, np.int64)
+        self.key = np.zeros(1 << 14, W.U)
 
     def _learn(self, hashes: list[int], segments: list[bytes], letters: list[bool]) -> None:
         got: list = [None] * len(segments)
         others = []
         for k, (s, plain) in enumerate(zip(segments, letters, strict=True)):
-            low = s.decode("utf-8", "replace").lower() if plain else ""
-            if plain and len(low) == len(s.decode("utf-8", "replace")):  # else lower-casing made a mark
-                got[k] = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.names))]
+            text = s.decode("utf-8", "replace") if plain else ""
+            low = text.lower()
+            if plain and len(low) == len(text):  # else lower-casing made a mark
+                got[k] = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.names))]
             else:
                 others.append(k)
         if others:
@@ -80,10 +84,11 @@ class WordTokenizer:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while n + len(sizes) > len(self.size):
-            self.at, self.size = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.size, np.zeros_like(self.size)))
+            self.at, self.size, self.key = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size, self.key))
         self.ids[self.used : self.used + len(flat)] = flat
         self.at[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(sizes)] = sizes
+        self.key[n : n + len(sizes)] = np.array(hashes, W.U)
         self.used += len(flat)
         self.slot.update(zip(hashes, range(n, n + len(hashes)), strict=True))
 
@@ -93,15 +98,22 @@ class WordTokenizer:
         n = len(texts)
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        uniq, first, back = np.unique(words.hashes() ^ (letters.astype(W.U) * W.U(W.BASE)), return_index=True, return_inverse=True)
+        h = words.hashes() ^ (letters.astype(W.U) * W.U(W.BASE))
         if len(self.slot) > KEPT:
             self.clear()
-        keys = uniq.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slot]
-        if new:
-            where = first[new]
-            self._learn([keys[k] for k in new], [words.word(k) for k in where], letters[where].tolist())
-        slot = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))[back]
+        cell = (h & W.U(len(self.cell) - 1)).astype(np.int64)
+        slot = self.cell[cell]
+        at = np.flatnonzero(self.key[slot] != h)
+        if len(at):
+            uniq, first, back = np.unique(h[at], return_index=True, return_inverse=True)
+            keys = uniq.tolist()
+            new = [k for k, x in enumerate(keys) if x not in self.slot]
+            if new:
+                where = at[first[new]]
+                self._learn([keys[k] for k in new], [words.word(k) for k in where], letters[where].tolist())
+            found = np.fromiter((self.slot[x] for x in keys), np.int64, len(keys))
+            slot[at] = found[back]
+            self.cell[cell[at[first]]] = found
         size = self.size[slot].astype(np.int64)
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(self.at[slot] - (ends - size), size) + np.arange(int(ends[-1]))]
@@ -122,8 +134,12 @@ def segments(texts: pa.Array) -> tuple[W.Words, np.ndarray]:
     kind[lead] = np.where(sign, _OTHER, _LETTER)
     kind[lead[sign] - 1] = _OTHER
     cut = np.flatnonzero(((kind[1:] ^ kind[:-1]) == _LETTER ^ _SIGN) & (kind[1:] != _OTHER) & (kind[:-1] != _OTHER) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1
-    start = np.union1d(words.start, cut)
-    end = np.union1d(words.end, cut)
+    mark = np.zeros(len(data) + 1, bool)
+    mark[words.start] = mark[cut] = True
+    start = np.flatnonzero(mark)
+    mark[:] = False
+    mark[words.end] = mark[cut] = True
+    end = np.flatnonzero(mark)
     first = np.searchsorted(start, words.begin)
     out = W.Words(data, start, end, np.repeat(np.arange(len(texts)), np.diff(first)), first, words.begin)
     strange = np.concatenate((np.zeros(1, np.int64), np.cumsum(kind != _LETTER)))
