@@ -4,28 +4,36 @@ Compact windows (Peng, Wang and Deng, SIGMOD 2023): under one hash function, eve
 a text that is long enough has one least element; stretches with the same one form a window
 (left, least position, right), a node of the Cartesian tree over the hashes.  The elements are
 runs of ``GRAM`` words and a window has ``WIDE`` of them, so two texts that share ``GRAM + WIDE - 1``
-= 20 words in a row share a window's hash for certain.  A passage of 50 words or more at 0.8
-always has such a run: with all its runs under 16 shingles of five words, what one gap parts
-(9 shingles of both texts at least) already exceeds a quarter of what the runs have in common.
-
-Plan: the least elements come from a scan.  First each holder of one meets its first holder, a
-star, when they share more than one.  The texts of these pairs are verified on all their
-shingles.  Where a holder's place lies in no passage found so far, it meets *all* earlier
-holders, by blocks of bounded size, as far as the shingles around both places agree in
-``AGREE`` or more; then those pairs are verified.  No holder is left out.
+= 25 words in a row share a window's hash for certain.  A passage of 50 words or more at 0.8
+always has such a run: a gap parts nine shingles of both texts at least, so k gaps need 36 k
+common shingles, in k + 1 runs; with one gap, 41 of the 46 shingles are common, 21 in one run.
+
+Plan: the least elements come from one scan.  Equal texts are told by digest: a copy meets its
+first copy and nothing else.  Every other holder of a window meets the window's first holder, a
+star, when they share more than one; the texts of these pairs are verified on all their
+shingles.  Where a holder's place lies in no passage found so far, the first holder did not have
+what others may have.  All holders of such a window then say the stretches of ``least`` words
+around the place, by three keys: the whole stretch, and its first and last shingle with one of
+two between.  Any stretch that is equal shares the first key, one with a single edit one of the
+others, and the first holders of these keys are verified too.  All steps are linear in the
+places; a stretch that is equal is never missed, as the first holder of its key has it.
 
 Defined results: a row (doc_id, source_id, ...) for each passage of ``doc_id`` that an earlier
 document (smaller id) has, so the first holder of a passage stays clean; repeats within one
 text do not count; null texts, blank texts and texts of fewer than ``least`` words have no
-passage; rows without an id take no part; repeated rows count once.
+passage; rows without an id take no part; repeated rows count once; an empty table gives no
+rows; further columns, whatever their names, are ignored (``drop_repeats`` returns them as they
+are).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +45,7 @@ SHINGLE = 5
 #: Shingles that a single edit may part.
 GAP = 2 * SHINGLE
 #: Words of a window's elements, and elements of a window.
-GRAM, WIDE = 10, 11
-#: Shingles on each side of a place that are compared, and how many must agree: of a passage
-#: that has the place in its longer run, 35 lie that near; places within a shingle's gap go together.
-AROUND, AGREE = 45, 24
-#: Holders of a window that are compared at a time.
-BLOCK = 128
+GRAM, WIDE = 16, 10
 FIELDS = "doc_id long, source_id long, start int, end int, source_start int, source_end int, n_words int, similarity double, digest string"
 
 
@@ -123,78 +126,97 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, "bucket long, node long, tag long, c int")
 
 
-def surroundings(holders: DataFrame) -> DataFrame:
-    """(bucket, node, open, around) of rows (node, text, w): 16 bits of each shingle around the places ``w``."""
+def stretches(holders: DataFrame, least: int) -> DataFrame:
+    """(k, node, held, at) of rows (node, text, w), w the places of shared windows: keys of each
+    stretch of ``least`` words around a place; ``at`` is its first word, and less than 0 for
+    the key of the whole stretch.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for node, text, w in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                sh = W.shingles(W.split(pa.array([text])), SHINGLE)[0]
-                padded = np.zeros(len(sh) + 2 * AROUND, np.uint16)
-                padded[AROUND : AROUND + len(sh)] = np.maximum((sh >> U(48)).astype(np.uint16), 1)
-                out += [(x["bucket"], node, x["open"], padded[x["c"] : x["c"] + 2 * AROUND + 1].tobytes()) for x in w]
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "node", "open", "around"])
-
-    return holders.select("node", "text", "w").mapInArrow(run, "bucket long, node long, open boolean, around binary")
-
-
-def agreeing(groups: DataFrame) -> DataFrame:
-    """(node, hub) of rows (cross, members (node, open, side, around)): open members and the
-    earlier ones (of the other side where ``cross``) whose surroundings agree."""
+    A middle shingle counts from the stretch's start or from its end, so that one edit spares
+    one of the two.  Stretches one word shorter or longer only ask (``held`` is false): that
+    is how a text with a word put in or left out meets the other.
+    """
+    far, mid = least - SHINGLE, (least - SHINGLE) // 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((2, 0), np.int64)]
-            ends = batch.column(1).offsets.to_numpy()
-            flat = batch.column(1).values
-            node, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "side"))
-            is_open, around = flat.field("open").to_numpy(zero_copy_only=False).astype(bool), flat.field("around").to_pylist()
-            for k in range(batch.num_rows):
-                a, b = int(ends[k]), int(ends[k + 1])
-                if b - a < 2 or not is_open[a:b].any():
-                    continue
-                values = np.frombuffer(b"".join(around[a:b]), np.uint16).reshape(b - a, -1)
-                used = np.bincount(values.ravel(), minlength=1 << 16)
-                used[0] = 0
-                shared = np.flatnonzero(used > 1)
-                rank = np.full(1 << 16, len(shared))
-                rank[shared] = np.arange(len(shared))
-                n = np.bincount((rank[values] + np.arange(b - a)[:, None] * (len(shared) + 1)).ravel(), minlength=(b - a) * (len(shared) + 1)).reshape(b - a, -1)[:, :-1].astype(np.float32)
-                both = n @ (n > 0).T.astype(np.float32)
-                ok = (np.maximum(both, both.T) >= AGREE) & is_open[a:b, None] & (node[a:b][None] < node[a:b, None])
-                if batch.column(0)[k].as_py():
-                    ok &= side[a:b][None] != side[a:b, None]
-                x, y = np.nonzero(ok)
-                found.append(np.stack((node[a:b][x], node[a:b][y])))
-            pairs = np.unique(np.concatenate(found, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "hub"])
-
-    return groups.select("cross", "members").mapInArrow(run, "node long, hub long").distinct()
+            texts, w = W.column(batch, "text"), batch.column(2)
+            ends = w.offsets.to_numpy()
+            places = w.values.to_numpy(zero_copy_only=False)
+            for a, b in W.slices(texts):
+                words = W.split(texts.slice(a, b - a))
+                sh, doc = W.shingles(words, SHINGLE)
+                first = np.searchsorted(doc, np.arange(b - a + 1))
+                at = places[ends[a] : ends[b]] + np.repeat(first[:-1], np.diff(ends[a : b + 1]))
+                own = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                # stretches from least - GRAM shingles before a place on
+                step = np.zeros(len(sh) + 1, np.int64)
+                np.add.at(step, np.maximum(at - (least - GRAM), first[:-1][own]), 1)
+                np.add.at(step, np.minimum(at + 1, len(sh)), -1)
+                i = np.flatnonzero(np.cumsum(step)[:-1] > 0)
+                keys, nodes, held, place = [], [], [], []
+                for wide in (far, far - 1, far + 1):
+                    k = i[i + wide < first[1:][doc[i]]]
+                    ends_of = W.mix(sh[k] * U(W.BASE) + sh[k + wide])
+                    parts = [W.mix(ends_of + sh[k + mid] * U(3)), W.mix(ends_of + sh[k + wide - mid] * U(5))]
+                    if wide == far:
+                        up, down = W._power(len(sh) + 1)
+                        total = np.concatenate((np.zeros(1, U), np.cumsum(sh * up[: len(sh)], dtype=U)))
+                        parts.append(W.mix((total[k + far + 1] - total[k]) * down[k] + U(7)))
+                    keys += parts
+                    nodes += [doc[k]] * len(parts)
+                    held += [np.full(len(k), wide == far)] * len(parts)
+                    at = (k - first[doc[k]]).astype(np.int32)
+                    place += [at, at] + [~at] * (wide == far)
+                key, node, is_held, at = np.concatenate(keys), np.concatenate(nodes), np.concatenate(held), np.concatenate(place)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(node)), pa.array(is_held), pa.array(at)], ["k", "node", "held", "at"])
+
+    return holders.select("node", "text", "w").mapInArrow(run, "k long, node long, held boolean, at int")
 
 
 class _Text:
     """A text's words, shingles and places."""
 
-    def __init__(self, text: str):
-        self.words = W.split(pa.array([text]))
-        self.sh, _ = W.shingles(self.words, SHINGLE)
-        self.points = np.concatenate((np.zeros(1, np.int64), np.cumsum((self.words.data & 0xC0) != 0x80)))
-        self.order = np.argsort(self.sh, kind="stable")
-        self.sorted = self.sh[self.order]
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, sh: np.ndarray):
+        self.data, self.start, self.end, self.sh = data, start, end, sh
 
-        up, self.down = W._power(len(self.sh) + 1)
-        self.total = np.concatenate((np.zeros(1, U), np.cumsum(self.sh * up[: len(self.sh)], dtype=U)))
+    @cached_property
+    def points(self) -> np.ndarray:
+        return np.concatenate((np.zeros(1, np.int64), np.cumsum((self.data & 0xC0) != 0x80)))
 
-    def part(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the ``n`` shingles from each place."""
-        return (self.total[at + n] - self.total[at]) * self.down[at]
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.sh, kind="stable")
+
+    @cached_property
+    def sorted(self) -> np.ndarray:
+        return self.sh[self.order]
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Code points of the words of shingles a to b."""
-        return int(self.points[self.words.start[a]]), int(self.points[self.words.end[min(b + SHINGLE - 1, len(self.words.end) - 1)]])
+        return int(self.points[self.start[a]]), int(self.points[self.end[min(b + SHINGLE - 1, len(self.end) - 1)]])
+
+
+def _texts(column: pa.Array) -> Iterator[_Text]:
+    """The texts of a column without nulls, split and shingled together."""
+    for a, b in W.slices(column):
+        words = W.split(column.slice(a, b - a))
+        sh, doc = W.shingles(words, SHINGLE)
+        edge = np.searchsorted(doc, np.arange(b - a + 1))
+        for k in range(b - a):
+            lo, hi, at = words.first[k], words.first[k + 1], words.begin[k]
+            yield _Text(words.data[at : words.begin[k + 1]], words.start[lo:hi] - at, words.end[lo:hi] - at, sh[edge[k] : edge[k + 1]])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common beginning; x and y are compared by growing stretches."""
+    n, at, step = min(len(x), len(y)), 0, 32
+    while at < n:
+        differ = x[at : at + step] != y[at : min(n, at + step)] if at + step <= n else x[at:n] != y[at:n]
+        k = int(differ.argmax())
+        if differ[k]:
+            return at + k
+        at, step = at + step, step * 4
+    return n
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> float:
@@ -206,26 +228,25 @@ def _similar(x: np.ndarray, y: np.ndarray) -> float:
 def _runs(x: _Text, y: _Text) -> list[tuple[int, int, int, int]]:
     """(place in x, place in y, shingles, shingles that also agree before) of the runs that x and y share, from left to right: at
     each place of x the longest run from any place in y, ties to the one that goes on best."""
-    lo, hi = np.searchsorted(y.sorted, x.sh, "left"), np.searchsorted(y.sorted, x.sh, "right")
-    hits = np.flatnonzero(hi > lo)
+    lo = np.searchsorted(y.sorted, x.sh, "left")
+    hits = np.flatnonzero(y.sorted[np.minimum(lo, len(y.sorted) - 1)] == x.sh)
     out: list[tuple[int, int, int, int]] = []
     at, drift = 0, 0
     while at < len(hits):
         i = int(hits[at])
-        j = y.order[lo[i] : hi[i]]
-        room = np.minimum(len(x.sh) - i, len(y.sh) - j)
-        n = np.ones(len(j), np.int64)
-        for k in range(int(room.max()).bit_length() - 1, -1, -1):
-            ok = np.flatnonzero(n + (1 << k) <= room)
-            ok = ok[x.part(i + n[ok], 1 << k) == y.part(j[ok] + n[ok], 1 << k)]
-            n[ok] += 1 << k
-        best = int(np.lexsort((np.abs(j - i - drift), -n))[0])
-        back = 0
-        while back < min(i, j[best]) and x.sh[i - back - 1] == y.sh[j[best] - back - 1]:
-            back += 1
-        out.append((i, int(j[best]), int(n[best]), back))
-        drift = int(j[best]) - i
-        at = int(np.searchsorted(hits, i + int(n[best])))
+        hi = int(np.searchsorted(y.sorted, x.sh[i], "right"))
+        best, n = -1, 0
+        for j in y.order[lo[i] : hi].tolist():
+            # a place that cannot be longer is not compared in full
+            if n and (j + n > len(y.sh) or i + n > len(x.sh) or y.sh[j + n - 1] != x.sh[i + n - 1]):
+                continue
+            m = _alike(x.sh[i:], y.sh[j:])
+            if m > n or (m == n and abs(j - i - drift) < abs(best - i - drift)):
+                best, n = j, m
+        back = _alike(x.sh[:i][::-1], y.sh[:best][::-1])
+        out.append((i, best, n, back))
+        drift = best - i
+        at = int(np.searchsorted(hits, i + n))
     return out
 
 
@@ -270,22 +291,32 @@ def passages(x: _Text, y: _Text, least: int, percent: int) -> list[tuple[int, in
 def _verified(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> DataFrame:
     """``FIELDS`` and tag, a, b (of the text of doc_id, in shingles) of the pairs (node, hub) with hub < node."""
     needed = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("hub")).distinct()
-    texts = stash(rows.join(needed, "doc_id", "left_semi").withColumn("h", F.md5("text")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("node"), "tag", F.col("text").alias("x"), F.col("h").alias("xh")), "node").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y")), "hub").select("node", "hub", "tag", "x", "y", "xh")
+    texts = stash(rows.join(needed, "doc_id", "left_semi"))
+    both = pairs.join(texts.select(F.col("doc_id").alias("node"), "tag", F.col("text").alias("x"), F.md5("text").alias("xh")), "node").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y")), "hub").select("node", "hub", "tag", "x", "y", "xh")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
         for batch in batches:
             out: list[tuple] = []
-            for k in range(batch.num_rows):
-                node, hub, tag = (batch.column(c)[k].as_py() for c in range(3))
-                y = batch.column(4)[k].as_py()
-                if held[0] != y:
-                    held = (y, _Text(y))
-                x, s = _Text(batch.column(3)[k].as_py()), held[1]
-                xh = batch.column(5)[k].as_py()
-                for a, b, c, d, sim in passages(x, s, least, percent):
-                    out.append((node, hub, *x.span(a, b), *s.span(c, d), b - a + SHINGLE, sim, xh, tag, a, b))
+            node, hub, tag, xh = (batch.column(c).to_pylist() for c in (0, 1, 2, 5))
+            hubs = pc.run_end_encode(batch.column(4))  # a hub's rows follow each other
+            own = np.searchsorted(hubs.run_ends.to_numpy(), np.arange(batch.num_rows), "right")
+            ys = _texts(hubs.values)
+            at = -1
+            for k, x in enumerate(_texts(batch.column(3))):
+                if own[k] != at:
+                    at, y = own[k], next(ys)
+                    if held[0] is not None and np.array_equal(held[0], y.data):
+                        y = held[1]
+                    held = (y.data, y)
+                y = held[1]
+                if np.array_equal(x.data, y.data):
+                    n = len(y.start)
+                    found = [(0, n - SHINGLE, 0, n - SHINGLE, 1.0)] if n >= least else []
+                else:
+                    found = passages(x, y, least, percent)
+                for a, b, c, d, sim in found:
+                    out.append((node[k], hub[k], *x.span(a, b), *y.span(c, d), b - a + SHINGLE, sim, xh[k], tag[k], a, b))
             if out:
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "source_id", "start", "end", "source_start", "source_end", "n_words", "similarity", "digest", "tag", "a", "b"])
@@ -296,25 +327,30 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> Da
 def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) -> DataFrame:
     """Rows of ``FIELDS``: digest is that of the text of doc_id, as rows may share an id."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("tag", F.xxhash64("text"))
-    found = windows(rows, least)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("tag", F.xxhash64("text"))
+    found = stash(windows(rows, least))
     hubs = found.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
-    met = stash(found.join(hubs, "bucket").distinct())
+    hubs = stash(hubs)  # a plain table: the join's hot keys can be split
+    digests = rows.select("doc_id", "tag", F.unhex(F.md5("text")).alias("h"))
+    firsts = digests.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").drop("last")
+    copies = stash(digests.join(firsts, "h").filter("hub < doc_id").select(F.col("doc_id").alias("node"), "tag", "hub").distinct())
+    met = stash(found.join(hubs, "bucket").join(copies.select("node", "tag"), ["node", "tag"], "left_anti").distinct())
     stars = met.filter("hub < node")
-    likely = stash(stars.groupBy("node", "hub").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y")).filter("x < y").select("node", "hub"))
+    likely = stash(stars.groupBy("node", "hub").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y")).filter("x < y").select("node", "hub").union(copies.select("node", "hub")).distinct())
     first = stash(_verified(likely, rows, least, percent))
-    # places in no passage yet meet all earlier holders of their window
+    # holders of windows with places in no passage yet
     done = first.select(F.col("doc_id").alias("node"), "tag", "a", "b").distinct()
-    opened = stash(stars.join(done, (stars["node"] == done["node"]) & (stars["tag"] == done["tag"]) & (stars["c"] >= done["a"]) & (stars["c"] + GRAM - SHINGLE <= done["b"]), "left_anti"))
-    some = opened.groupBy("bucket").agg(F.max("node").alias("last"))
-    holders = met.join(some, "bucket").filter("node <= last").select("bucket", "node", "tag", "c").join(opened.select("bucket", "node", "tag", "c", F.lit(True).alias("open")), ["bucket", "node", "tag", "c"], "left")
-    lists = holders.groupBy("node", "tag").agg(F.collect_list(F.struct("bucket", "c", F.coalesce("open", F.lit(False)).alias("open"))).alias("w"))
-    near = stash(surroundings(lists.join(rows.withColumnRenamed("doc_id", "node"), ["node", "tag"])).distinct())
-    blocks = near.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = near.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.groupBy("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).agg(F.collect_list(F.struct("node", "open", "side", "around")).alias("members"))
-    more = stash(agreeing(groups.withColumn("cross", F.col("lo") < F.col("hi"))).join(likely, ["node", "hub"], "left_anti"))
+    opened = stars.join(done, (stars["node"] == done["node"]) & (stars["tag"] == done["tag"]) & (stars["c"] >= done["a"]) & (stars["c"] + GRAM - SHINGLE <= done["b"]), "left_anti").groupBy("bucket").agg(F.max("node").alias("last"))
+    holders = met.join(opened, "bucket").filter("node <= last").groupBy("node", "tag").agg(F.collect_set("c").alias("w"))
+    keys = stash(stretches(holders.join(rows.withColumnRenamed("doc_id", "node"), ["node", "tag"]), least))
+    shared = keys.groupBy("k").agg(F.min(F.when(F.col("held"), F.col("node"))).alias("hub"), F.min("node").alias("x"), F.max("node").alias("y")).filter("hub is not null and x < y").select("k", "hub")
+    shared = stash(shared)
+    met = keys.join(shared, "k").filter("hub != node").withColumn("w", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
+    # where a whole stretch has an earlier holder, that one is enough
+    by_place = met.groupBy("node", "w").agg(F.min(F.when((F.col("at") < 0) & (F.col("hub") < F.col("node")), F.col("hub"))).alias("sure"), F.collect_set("hub").alias("hubs"))
+    hubs = F.explode(F.when(F.col("sure").isNotNull(), F.array("sure")).otherwise(F.col("hubs")))  # six keys have six hubs at most
+    more = by_place.select("node", hubs.alias("hub")).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+    more = stash(more.join(likely, ["node", "hub"], "left_anti"))
     return first.union(_verified(more, rows, least, percent)).drop("tag", "a", "b").distinct()
 
 
@@ -326,14 +362,19 @@ def repeats(docs: DataFrame, least: int = 50, percent: int = 80, key: str = "doc
 def drop_repeats(docs: DataFrame, least: int = 50, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the passages that earlier documents have; a text of which nothing is
     left goes, all others stay, with their columns."""
-    spans = stash(_repeats(docs, least, percent, key, text))
-    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
-    body = F.col(f"`{text}`")
+    spans = _repeats(docs, least, percent, key, text)
+    lists = spans.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut"))
+    body = F.col("body")
     kept = F.aggregate(
-        "_cut",
+        "cut",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]))).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
     )
-    joined = docs.join(lists, (F.col(key) == F.col("_id")) & (F.md5(body) == F.col("_digest")), "left").withColumn(text, F.when(F.col("_cut").isNull(), body).otherwise(kept))
-    return joined.filter(F.col("_cut").isNull() | (F.trim(F.col(f"`{text}`")) != "")).select(*docs.columns)
+    # the row travels as one struct, so none of its names can clash
+    at = docs.columns.index(text)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if k != at]).alias("row")
+    named = docs.select(row, F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"), F.md5(F.col(f"`{text}`").cast("string")).alias("digest"))
+    joined = named.join(lists, ["doc_id", "digest"], "left").select("row", "cut", F.when(F.col("cut").isNull(), body).otherwise(kept).alias("body"))
+    kept_rows = joined.filter(F.col("cut").isNull() | (F.trim("body") != ""))
+    return kept_rows.select(*[F.col("body" if k == at else f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
