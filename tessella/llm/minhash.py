@@ -7,14 +7,15 @@ estimate's variance, and a text is done once every position has an offer, which
 reach after one or two ranks.
 
 Plan: signatures in one scan of the texts (no shuffle of texts); equal texts become one node;
-the members of an equal band key meet its least member, a star, and these pairs are verified on
-full shingle sets.  Verified links give components, and a band key whose members are all in one
+the members of an equal band key meet one of them, a star, and these pairs are verified on full
+shingle sets.  Verified links give components, and a band key whose members are all in one
 component is done: further links would change nothing.  In the others, the members outside the
-component of the least one are compared with all members by blocks of bounded size, so a group
-of any size is spread over tasks and no candidate is skipped.  A large group of copies costs its
-size; only members that no verified link joins are compared each with each, within their key.
+commonest component are compared with all members by blocks of bounded size, so a group of any
+size is spread over tasks and no candidate is skipped; where many keys hold the same texts, these
+are compared once instead of key by key.  A large group of copies costs its size; only members
+that no verified link joins are compared each with each.
 Two texts over the threshold miss each other only when all bands differ, with probability
-(1 - 0.8^4)^24 = 3e-6 at a similarity of exactly 0.8, and then only if no chain of other texts
+(1 - 0.8^5)^32 = 3e-6 at a similarity of exactly 0.8, and then only if no chain of other texts
 joins them.
 
 Defined results: null or blank text has an empty set, links with nothing and is kept; so is a
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -160,7 +161,7 @@ def _links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among rows (bucket, i, j, chunk, node, text), block by block."""
+    """Links (a, b) among rows (g, i, j, chunk, node, text), block by block."""
     def block(rows: list) -> list[tuple[bytes, bytes]]:
         table = pa.Table.from_batches(rows)
         node = table["node"].to_pylist()
@@ -205,44 +206,69 @@ def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.select("bucket", "i", "j", "chunk", "node", "text").mapInArrow(run, "a binary, b binary")
+    dealt = members.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.select("g", "i", "j", "chunk", "node", "text").mapInArrow(run, "a binary, b binary")
 
 
-def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc, node (the digest of a text that has words), n_shingles, component_id."""
     prepare(docs.sparkSession)
     sig = stash(signatures(docs, size, bands, rows, key, text))
     known = sig.filter("n_shingles > 0 and doc is not null")
     nodes = stash(known.groupBy("node").agg(F.min("doc").alias("doc")))
     buckets = stash(known.join(nodes, ["node", "doc"], "left_semi").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
-    hubs = stash(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub"))
-    shared = stash(buckets.join(hubs, "bucket"))
-    star = stash(shared.filter("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    needed = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(nodes, "node")
+    sizes = stash(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = stash(buckets.join(sizes, "bucket"))
+    # the member that shares keys with the most others is likeliest to be what the others are copies of
+    rank = met.groupBy("node").agg(F.sum("n").alias("rank"))
+    met = stash(met.select("node", "bucket").join(rank, "node"))
+    hubs = stash(met.groupBy("bucket").agg(F.max_by("node", F.struct("rank", "node")).alias("hub")))
+    shared = stash(met.join(hubs, "bucket"))
+    star = stash(shared.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    needed = shared.select("node").distinct().join(nodes, "node")
     body = F.col(f"`{text}`").cast("string")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), body.alias("text")).filter("text is not null").withColumn("node", F.unhex(F.md5("text")))
     texts = stash(texts.join(needed, ["doc", "node"], "left_semi").select("node", "text"))
-    pairs = star.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links = stash(_links(pairs, size, percent))
-    joined = stash(components(links))
-
-    root = joined.select("node", "root")
-    placed = shared.join(root, "node", "left").join(root.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub", "left")
-    apart = ~F.coalesce("root", "node").eqNullSafe(F.coalesce("main", "hub"))
-    placed = stash(placed.select("bucket", "node", apart.alias("apart")))
-    open_ = placed.groupBy("bucket").agg(F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("others"), F.ceil(F.count_if(~F.col("apart")) / BLOCK).cast("int").alias("mains")).filter("others > 0")
-    chunk = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("apart"), F.col("others")).otherwise(F.col("mains"))).cast("int")
-    members = placed.join(open_, "bucket").withColumn("chunk", F.when(F.col("apart"), chunk).otherwise(-1 - chunk))
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    among = F.transform(upto(F.col("others")), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
-    # the least member is in its own component, so ``mains`` is at least one
-    across = F.transform(upto(F.col("mains")), lambda m: F.struct(F.col("chunk").alias("i"), (-1 - m).alias("j")))
-    main = F.transform(upto(F.col("others")), lambda o: F.struct(o.alias("i"), F.col("chunk").alias("j")))
-    dealt = members.select("bucket", "node", "chunk", F.explode(F.when(F.col("apart"), F.concat(among, across)).otherwise(main)).alias("at")).select("bucket", "at.i", "at.j", "chunk", "node")
-    more = stash(_verified(dealt.join(texts, "node"), size, percent))
-    if not more.isEmpty():
-        joined = stash(components(links.union(more)))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return stash(_links(both, size, percent))
+
+    links = verified(star)
+    roots = stash(shared.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+    def opened(members: DataFrame) -> DataFrame:
+        """Members (g, node, root) of the groups that several components hold, with whether they
+        are outside the commonest, and how many blocks those inside and outside make."""
+        held = members.groupBy("g", "root").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+        sizes = held.select("g", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("others"))
+        return members.join(stash(sizes), "g").withColumn("apart", F.col("root") != F.col("main"))
+
+    at = stash(opened(shared.select(F.col("bucket").alias("g"), "node").join(roots, "node")))
+    # Keys of one group of texts repeat its pairs: where that costs more, the group is compared once.
+    first = at.groupBy("g").agg(F.min("node").alias("b"), F.sum(F.when(F.col("apart"), F.col("others") + F.col("mains")).otherwise(F.col("others"))).alias("cost"))
+    first = stash(first)
+    groups = stash(components(at.join(first, "g").filter("node != b").select(F.col("node").alias("a"), "b").distinct()))
+    whole = groups.groupBy("root").agg((F.count("*") * F.ceil(F.count("*") / BLOCK)).alias("once"))
+    apiece = first.join(groups, F.col("b") == F.col("node")).groupBy("root").agg(F.sum("cost").alias("cost"))
+    chosen = stash(whole.join(apiece, "root").select(F.col("root").alias("group"), (F.col("once") < F.col("cost")).alias("together")))
+    placed = stash(groups.select("node", F.col("root").alias("group")).join(chosen, "group").join(roots, "node"))
+    together = opened(placed.filter("together").select(F.xxhash64("group").alias("g"), "node", "root"))
+    alone = at.join(placed.filter("not together").select("node"), "node", "left_semi")
+    members = stash(together.select("g", "node", "apart", "mains", "others").union(alone.select("g", "node", "apart", "mains", "others")))
+    chunk = F.pmod(F.xxhash64("node", "g"), F.when(F.col("apart"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+    members = members.withColumn("chunk", F.when(F.col("apart"), chunk).otherwise(-1 - chunk))
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    among = F.transform(upto("others"), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
+    across = F.transform(upto("mains"), lambda m: F.struct(F.col("chunk").alias("i"), (-1 - m).alias("j")))
+    main = F.transform(upto("others"), lambda o: F.struct(o.alias("i"), F.col("chunk").alias("j")))
+    dealt = members.select("g", "node", "chunk", F.explode(F.when(F.col("apart"), F.concat(among, across)).otherwise(main)).alias("at")).select("g", "at.i", "at.j", "chunk", "node")
+    more = _verified(dealt.join(texts, "node"), size, percent).join(roots.select(F.col("node").alias("a"), F.col("root").alias("u")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("v")), "b")
+    up = components(more.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    joined = stash(roots.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
     least = joined.join(nodes, "node").groupBy("root").agg(F.min("doc").alias("component_id"))
     # written once, so that the join with all copies meets a plain table and its hot keys can be split
     classes = stash(nodes.join(joined.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc").alias("component_id")))
@@ -251,7 +277,7 @@ def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24,
     return out.select("doc", "node", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked when 100 * |A & B| >= percent * |A | B| over their sets of
