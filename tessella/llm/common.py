@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,22 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` that gives free memory back when its partition is done: workers are reused, and
+    what one stage's arrays leave behind would count beside the next stage's."""
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def bounded_sample(df: DataFrame, order: Column, most: int) -> DataFrame:
     """At most ``most`` rows of ``df`` by a hash of ``order``, the same in any partitioning.
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import words as W
-from .common import bounded_sample, prepare
+from .common import bounded_sample, prepare, trimmed
 
 U = np.uint64
 SAMPLE, LEXICON, TABLE = 1000, 1 << 17, 1 << 16
@@ -153,7 +153,8 @@ def fit(texts: list[str], labels: list[int], langs: list[str], tongue: np.ndarra
         return model
     gold = np.array(labels)[words.doc]
     uniq, one, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    rows, counts = _features(words, one)
+    made = [_features(words, one[k : k + 8192]) for k in range(0, len(one), 8192)]
+    rows, counts = np.concatenate([r.astype(np.int32) for r, _ in made]), np.concatenate([c for _, c in made])
     edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
     lanes = max(1, min(lanes, n // window))
     steps = n // lanes
@@ -229,7 +230,7 @@ def _word_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
         uniq, n = merged(held)
         yield pa.RecordBatch.from_arrays([pa.array(uniq // len(langs)), pa.array(uniq % len(langs)), pa.array(n)], ["cell", "lang", "n"])
 
-    return rows.mapInArrow(run, "cell long, lang long, n long").groupBy("cell", "lang").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(run), "cell long, lang long, n long").groupBy("cell", "lang").agg(F.sum("n").alias("n"))
 
 
 def learn(rows: DataFrame) -> Model:
@@ -321,7 +322,7 @@ def label(rows: DataFrame, model) -> DataFrame:
             cols = [keys.column(0).combine_chunks(), keys.column(1).combine_chunks(), pa.array(pred, pa.string()), pa.array(score), pa.array(n_words), pa.array(switches), maps]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", "words_by_lang"])
 
-    return rows.select("doc_id", "held_out", "text", _lettered()).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long, words_by_lang map<string,long>")
+    return rows.select("doc_id", "held_out", "text", _lettered()).mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long, words_by_lang map<string,long>")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -340,4 +341,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", te
         for keys, best, score, *_ in _labelled(model.value, batches, width):
             yield from keys.filter(pa.array((best >= 0) & (score >= least))).to_batches()
 
-    return rows.select("*", _lettered()).mapInArrow(run, shape).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return rows.select("*", _lettered()).mapInArrow(trimmed(run), shape).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import commonest, prepare, stash
+from .common import commonest, prepare, stash, trimmed
 
 U = np.uint64
 #: Common words whose counts tasks hold.
@@ -83,7 +83,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "word long, n long, rare int").groupBy("word").agg(F.sum("n").alias("n"), F.min("rare").alias("rare"))
+    return docs.select("text").mapInArrow(trimmed(run), "word long, n long, rare int").groupBy("word").agg(F.sum("n").alias("n"), F.min("rare").alias("rare"))
 
 
 class Vocabulary(NamedTuple):
@@ -377,7 +377,7 @@ def _weights(learn: DataFrame, vocs, first: np.ndarray, total: int) -> np.ndarra
     dealt = learn.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), F.xxhash64("text", "doc_id").alias("order"), "text")
     dealt = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "order")
     shape = "trainer long, weights binary, tokens long"
-    made = stash(dealt.select("trainer", "text").mapInArrow(fit, shape))
+    made = stash(dealt.select("trainer", "text").mapInArrow(trimmed(fit), shape))
     while trainers > 1:
         made = stash(made.groupBy(F.floor(F.col("trainer") / FAN)).applyInArrow(mean, shape))
         trainers = -(-trainers // FAN)
@@ -447,7 +447,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, key: str = "doc_id", t
         if kept:
             yield emit(kept)
 
-    scored = stash(rows.mapInArrow(look, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, model double, tail array<struct<word:long,n:long>>"))
+    scored = stash(rows.mapInArrow(trimmed(look), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, model double, tail array<struct<word:long,n:long>>"))
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
     joined = tail.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     sums = joined.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, prepare, stash
+from .common import components, prepare, stash, trimmed
 
 U = np.uint64
 #: Members of a band key compared at a time with as many others.
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, key: str, text
 
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows_in = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.unhex(F.md5(body)).alias("node"), body.alias("text"))
-    return rows_in.mapInArrow(run, "doc long, node binary, n_shingles long, bands array<long>")
+    return rows_in.mapInArrow(trimmed(run), "doc long, node binary, n_shingles long, bands array<long>")
 
 
 def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -157,7 +157,7 @@ def _links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
                 ok = pa.array((both > 0) & (100 * both >= percent * (n[0] + n[1] - both)))
                 yield batch.select(["a", "b"]).slice(a, b - a).filter(ok)
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt.select("g", "i", "j", "chunk", "node", "text").mapInArrow(run, "a binary, b binary")
+    return dealt.select("g", "i", "j", "chunk", "node", "text").mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import prepare, stash
+from .common import prepare, stash, trimmed
 from .tokens import tokenizer_path, word_tokenizer
 
 #: Pieces packed by a task.
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, limit: int = 4096, with_ids: bool = False, tok
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def lower_bound(lengths: np.ndarray, limit: int) -> int:

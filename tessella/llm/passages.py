@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import prepare, stash
+from .common import prepare, stash, trimmed
 
 U = np.uint64
 SHINGLE = 5
@@ -123,7 +123,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
                     ["bucket", "node", "tag", "c"],
                 )
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "bucket long, node long, tag long, c int")
+    return docs.select("doc_id", "tag", "text").mapInArrow(trimmed(run), "bucket long, node long, tag long, c int")
 
 
 def stretches(holders: DataFrame, least: int) -> DataFrame:
@@ -170,7 +170,7 @@ def stretches(holders: DataFrame, least: int) -> DataFrame:
                 key, node, is_held, at = np.concatenate(keys), np.concatenate(nodes), np.concatenate(held), np.concatenate(place)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(node)), pa.array(is_held), pa.array(at)], ["k", "node", "held", "at"])
 
-    return holders.select("node", "text", "w").mapInArrow(run, "k long, node long, held boolean, at int")
+    return holders.select("node", "text", "w").mapInArrow(trimmed(run), "k long, node long, held boolean, at int")
 
 
 class _Text:
@@ -321,7 +321,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> Da
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "source_id", "start", "end", "source_start", "source_end", "n_words", "similarity", "digest", "tag", "a", "b"])
 
-    return both.mapInArrow(run, FIELDS + ", tag long, a int, b int")
+    return both.mapInArrow(trimmed(run), FIELDS + ", tag long, a int, b int")
 
 
 def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) -> DataFrame:
@@ -341,6 +341,7 @@ def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) ->
     # holders of windows with places in no passage yet
     done = first.select(F.col("doc_id").alias("node"), "tag", "a", "b").distinct()
     opened = stars.join(done, (stars["node"] == done["node"]) & (stars["tag"] == done["tag"]) & (stars["c"] >= done["a"]) & (stars["c"] + GRAM - SHINGLE <= done["b"]), "left_anti").groupBy("bucket").agg(F.max("node").alias("last"))
+    opened = stash(opened)
     holders = met.join(opened, "bucket").filter("node <= last").groupBy("node", "tag").agg(F.collect_set("c").alias("w"))
     keys = stash(stretches(holders.join(rows.withColumnRenamed("doc_id", "node"), ["node", "tag"]), least))
     shared = keys.groupBy("k").agg(F.min(F.when(F.col("held"), F.col("node"))).alias("hub"), F.min("node").alias("x"), F.max("node").alias("y")).filter("hub is not null and x < y").select("k", "hub")
