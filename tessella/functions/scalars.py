@@ -158,3 +158,68 @@ def any_of(conditions: list[Column]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def clean_url(url: Column) -> Column:
+    """An address without the sentence's closing punctuation, closing brackets that nothing in
+    it opens, invisible characters and escapes; one without a scheme gets https."""
+    u = F.regexp_replace(F.regexp_replace(F.trim(url), "&amp;", "&"), r"[\s\x{200B}-\x{200F}\x{2060}\x{FEFF}]+", "")
+
+    def step(u: Column, _: Column) -> Column:
+        last = F.right(u, F.lit(1))
+        extra = ((last == ")") & (F.regexp_count(u, F.lit(r"\(")) < F.regexp_count(u, F.lit(r"\)")))) | ((last == "]") & (F.regexp_count(u, F.lit(r"\[")) < F.regexp_count(u, F.lit(r"\]"))))
+        return F.when(extra | last.isin(*".,;:!?'\"}>"), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u)
+
+    tail = F.length(F.regexp_extract(u, r"""([.,;:!?'"}>)\]]*)$""", 1))
+    u = F.aggregate(F.sequence(F.lit(0), tail), u, step)
+    return F.when(u.rlike(r"^(?i)[a-z][a-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("https://"), u))
+
+
+def repository(url: Column) -> Column:
+    """(repo, host, kind, owner, name) of an address of a code host; null for anything else.
+
+    The repo key is in lower case, owner and name as written; sub-pages, ``.git`` and ``www.``
+    count for nothing; SSH addresses are read as web addresses.
+    """
+    u = F.regexp_replace(clean_url(url), r"^(?i)(?:[a-z][a-z0-9+.-]*://)?git@([a-z0-9.-]+)[:/]/?", "https://$1/")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^(?i)https?://([a-z0-9.-]+)(?:[:/?#]|$)", 1)), r"^www\.", "")
+    parts = F.filter(F.split(F.regexp_extract(u, r"^[^:]+://[^/?#]+/([^?#]*)", 1), "/"), lambda p: p != "")
+    parts = F.when(host.startswith("gitlab."), F.split(F.regexp_replace(F.array_join(parts, "/"), r"/-/.*$", ""), "/")).otherwise(parts)
+    data = (host == "huggingface.co") & F.coalesce(F.get(parts, 0).isin("datasets", "spaces"), F.lit(False))
+    at = F.when(data, 1).otherwise(0)
+    owner = F.get(parts, at)
+    whole = F.when(host.startswith("gitlab."), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(F.slice(parts, at + 2, 1))
+    path = F.regexp_replace(F.array_join(whole, "/"), r"\.git$", "")
+    known = host.isin("github.com", "bitbucket.org", "huggingface.co") | host.startswith("gitlab.")
+    lead = F.when(data, F.concat(host, F.lit("/"), F.get(parts, 0))).otherwise(host)
+    repo = F.concat_ws("/", lead, F.lower(owner), F.when(path != "", F.lower(path)))
+    kind = F.when(data & (F.get(parts, 0) == "datasets"), "data").otherwise("forge")
+    return F.when(known & owner.isNotNull(), F.struct(repo.alias("repo"), host.alias("host"), kind.alias("kind"), owner.alias("owner"), F.element_at(F.split(path, "/"), -1).alias("name")))
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents, for comparing names: the marks that NFD parts from Latin letters go."""
+    plain = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "i": "ìíîïĩīĭį", "n": "ñńņň", "o": "òóôõöøōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűų", "y": "ýÿ", "z": "źżž"}
+    return F.translate(F.lower(text), "".join(plain.values()), "".join(k * len(v) for k, v in plain.items()))
+
+
+def iso_date(year: Column, month: Column, day: Column) -> Column:
+    """YYYY, YYYY-MM or YYYY-MM-DD from parts; a month may be a number or an English name."""
+    names = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+    named = F.array_position(F.array(*[F.lit(n) for n in names]), F.substring(F.lower(F.trim(month)), 1, 3))
+    m = F.coalesce(F.when(named > 0, named.cast("int")), F.try_to_number(F.trim(month), F.lit("99")).cast("int"))
+    m = F.when(m.between(1, 12), F.lpad(m.cast("string"), 2, "0"))
+    d = F.when(m.isNotNull() & day.between(1, 31), F.lpad(day.cast("string"), 2, "0"))
+    return F.when(year.isNotNull(), F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), m, d))
+
+
+def issue_references(text: Column) -> Column:
+    """(number, closes) of each #n in a text, and whether a closing word stands before it."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+)?(?<![\w&/])#\d+\b"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"#(\d+)", 1).cast("long").alias("number"), (~x.startswith("#")).alias("closes")))
+
+
+def compatible(own: Column, other: Column) -> Column:
+    """Whether work under license family ``own`` may build on ``other``; null where either is unknown."""
+    rank = F.create_map(*[x for k, v in {"permissive": 0, "attribution": 0, "weak copyleft": 1, "copyleft": 2, "network copyleft": 3}.items() for x in (F.lit(k), F.lit(v))])
+    return F.when(other == "non-commercial", False).otherwise(F.when(rank[other] <= 1, True).otherwise(rank[own] >= rank[other]))

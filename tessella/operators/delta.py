@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def row_hash(*columns: str) -> Column:
@@ -60,3 +61,45 @@ def retained(df: DataFrame, at: str, now: Column, days: dict[str, int], kind: st
     """Rows younger than their kind's age; kinds that are not named stay."""
     age = F.create_map(*[x for k, v in days.items() for x in (F.lit(k), F.lit(v))])[F.col(kind)]
     return df.filter(age.isNull() | (F.datediff(now, F.col(at)) < age))
+
+
+def fill_empty(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``old`` with its null and empty values filled from ``new``; filled ones stay."""
+    rest = [c for c in old.columns if c not in key]
+    kinds = dict(old.dtypes)
+    b = new.select(*key, F.struct(*rest).alias("_b"))
+    own = {c: F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c) for c in rest}
+    return old.join(b, key, "left").select(*key, *[F.coalesce(own[c], F.col(f"_b.{c}"), F.col(c)).alias(c) for c in rest])
+
+
+def deletable(rows: DataFrame, expired: Column, rule: Column, order: list[str], cost: dict[int, int], room: int) -> DataFrame:
+    """Expired rows that a budget of written rows lets go: rules in order, a row costs what its
+    rule says, and a rule whose rows no longer fit leaves the rest of them for another day.
+
+    Costs are summed by rule first, so only the rule that the budget cuts needs an order.
+    """
+    price = F.create_map(*[x for k, v in cost.items() for x in (F.lit(k), F.lit(v))])
+    due = rows.filter(expired).withColumn("_rule", rule)
+    sums = due.groupBy("_rule").agg((F.count("*") * F.first(price[F.col("_rule")])).alias("_sum"))  # one row for each rule
+    before = sums.alias("a").join(sums.alias("b"), F.col("b._rule") < F.col("a._rule"), "left").groupBy("a._rule").agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
+    left = due.join(F.broadcast(before), "_rule").withColumn("_room", F.floor((F.lit(room) - F.col("_before")) / price[F.col("_rule")])).filter("_room > 0")
+    return left.withColumn("_r", F.row_number().over(Window.partitionBy("_rule").orderBy(*order))).filter(F.col("_r") <= F.col("_room")).select(*rows.columns)
+
+
+def may_publish(new: Column, last: Column, least: float = 0.5) -> Column:
+    """Not when there is nothing, or less than ``least`` of what was published last."""
+    return (new > 0) & ((F.coalesce(last, F.lit(0)) == 0) | (new >= least * last))
+
+
+def suppressed(rows: DataFrame, asked: DataFrame, digest: Column, key: str) -> DataFrame:
+    """``rows`` without those whose owner asked to be forgotten, known by digest only."""
+    return rows.withColumn("_d", digest).join(asked.select(F.col(key).alias("_d")).distinct(), "_d", "left_anti").drop("_d")
+
+
+def provenance(old: DataFrame, new: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """One row for each key (entity and field): a source of higher rank writes over a lower
+    one, an equal rank over an equal one, and a lower one writes nothing."""
+    rest = [c for c in old.columns if c not in key]
+    both = old.select(*key, *rest, F.lit(0).alias("_t")).unionByName(new.select(*key, *rest, F.lit(1).alias("_t")))
+    best = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(rank, "_t")).alias("_row"))
+    return best.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])

@@ -22,11 +22,11 @@ def facet_counts(df: DataFrame, facets: list[str], k: int) -> DataFrame:
 def fold_other(counts: DataFrame, label: str, n: str, k: int, rest: str = "Other") -> DataFrame:
     """Counts by label with all but the ``k`` largest folded into one; ties by lower-case label.
 
-    The labels are already counts, so the one window over them is small whatever the input.
+    The first ``k`` are a top-k; what is left over is the total less their sum.
     """
-    order = Window.orderBy(F.desc(n), F.lower(F.col(label)))
-    named = counts.withColumn("_label", F.when(F.row_number().over(order) <= k, F.col(label)).otherwise(F.lit(rest)))
-    return named.groupBy(F.col("_label").alias(label)).agg(F.sum(n).alias(n))
+    top = counts.select(label, n).orderBy(F.desc(n), F.lower(F.col(label))).limit(k)
+    held = counts.agg(F.sum(n).alias("all"), F.count("*").alias("rows")).crossJoin(F.broadcast(top.agg(F.coalesce(F.sum(n), F.lit(0)).alias("part"))))  # one row
+    return top.union(held.filter(F.col("rows") > k).select(F.lit(rest), F.col("all") - F.col("part")))
 
 
 def ladder(df: DataFrame, key: str, level: Column, steps: int) -> DataFrame:
@@ -95,27 +95,51 @@ def best_overlap(new: DataFrame, old: DataFrame, by: list[str], start: str, end:
 
 def document_frequency(terms: DataFrame, doc: str, term: str) -> DataFrame:
     """term, df, idf: how many documents have a term, and ln((n + 1) / (df + 0.5)) / ln(n + 1), at least 0."""
-    n = terms.agg(F.countDistinct(doc).alias("n"))
-    df = terms.groupBy(term).agg(F.countDistinct(doc).alias("df"))
+    each = terms.select(doc, term).distinct()
+    n = each.select(doc).distinct().agg(F.count("*").alias("n"))
+    df = each.groupBy(term).agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") + 1) / (F.col("df") + 0.5)) / F.log(F.col("n") + 1))
     return df.join(F.broadcast(n)).select(term, "df", idf.alias("idf"))  # one row is broadcast
 
 
 def similar(postings: DataFrame, doc: str, kind: str, term: str, weights: dict[str, float], most: int, k: int, least: float) -> DataFrame:
-    """doc, other, score, rank: documents that share rare keys, weighted by kind and idf.
+    """doc, other, score, rank: documents that share keys, weighted by kind and idf.
 
-    Keys that more than ``most`` documents have are left out before the self-join, as they
-    say little; that is the measure's definition and what keeps the join linear.
+    Keys of at most ``most`` documents, and of half of all, find the candidates; *all* shared
+    keys score them.  Common keys travel with each posting as a list of a document's own, so
+    they cost no join, and each pair is made once and mirrored.
     """
     keys = postings.select(F.col(doc).alias("doc"), F.col(kind).alias("kind"), F.col(term).alias("term")).distinct()
-    n = keys.agg(F.countDistinct("doc").alias("n"))
-    df = keys.groupBy("kind", "term").agg(F.count("*").alias("df")).filter(F.col("df").between(2, most))
+    n = keys.select("doc").distinct().agg(F.count("*").alias("n"))
     weight = F.create_map(*[x for k_, v in weights.items() for x in (F.lit(k_), F.lit(v))])
-    rare = df.join(F.broadcast(n)).select("kind", "term", (weight[F.col("kind")] * F.log(1 + F.col("n") / F.col("df"))).alias("w"))
-    bags = keys.join(rare, ["kind", "term"])
-    pairs = bags.alias("a").join(bags.select("kind", "term", F.col("doc").alias("other")), ["kind", "term"]).filter("doc != other")
-    scores = pairs.groupBy("doc", "other").agg(F.round(F.sum("w"), 6).alias("score")).filter(F.col("score") >= least)
-    return ranked(scores, ["doc"], [F.desc("score"), "other"], k)
+    df = keys.groupBy("kind", "term").agg(F.count("*").alias("df")).filter("df > 1").join(F.broadcast(n))
+    told = df.select("kind", "term", (weight[F.col("kind")] * F.log(1 + F.col("n") / F.col("df"))).alias("w"), ((F.col("df") <= most) & (F.col("df") <= F.col("n") / 2)).alias("rare"))
+    bags = keys.join(told, ["kind", "term"])
+    common = bags.filter("not rare").groupBy("doc").agg(F.collect_list(F.struct("kind", "term", "w")).alias("common"))
+    rare = bags.filter("rare").join(common, "doc", "left")
+    pairs = rare.select("kind", "term", "doc", "w", F.col("common").alias("x")).join(rare.select("kind", "term", F.col("doc").alias("other"), F.col("common").alias("y")), ["kind", "term"]).filter("doc < other")
+    shared = F.coalesce(F.aggregate(F.array_intersect("x", "y"), F.lit(0.0), lambda acc, c: acc + c["w"]), F.lit(0.0))
+    scores = pairs.select("doc", "other", "w", shared.alias("c")).groupBy("doc", "other").agg(F.round(F.sum("w") + F.max("c"), 6).alias("score")).filter(F.col("score") >= least)
+    both = F.explode(F.array(F.struct("doc", "other"), F.struct(F.col("other").alias("doc"), F.col("doc").alias("other")))).alias("p")
+    return ranked(scores.select(both, "score").select("p.*", "score"), ["doc"], [F.desc("score"), "other"], k)
+
+
+def contained(titles: DataFrame, key: str, words: str, least: float) -> DataFrame:
+    """a, b, share: pairs whose common words make ``least`` of the shorter's, a's words being no
+    more than b's.
+
+    A title of n words has one of its n - ceil(least * n) + 1 rarest words in common with any
+    such partner, so only these are looked up among the others' words.
+    """
+    x = titles.select(F.col(key).alias("id"), F.array_distinct(words).alias("k")).filter(F.size("k") > 0)
+    each = x.select("id", F.size("k").alias("n"), F.explode("k").alias("word"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    ranks = each.join(df, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
+    short = ranks.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("r")).select("a", "na", "r.word")
+    met = short.join(each.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word"), "word").filter("na < nb or (na = nb and a < b)").select("a", "b").distinct()
+    both = met.join(x.select(F.col("id").alias("a"), F.col("k").alias("x")), "a").join(x.select(F.col("id").alias("b"), F.col("k").alias("y")), "b")
+    share = F.size(F.array_intersect("x", "y")) / F.size("x")
+    return both.select("a", "b", F.round(share, 6).alias("share")).filter(F.col("share") >= least)
 
 
 def jaccard_top_k(left: DataFrame, right: DataFrame, key: str, terms: str, k: int, least: float) -> DataFrame:

@@ -1 +1 @@
-from . import catalogue, more  # noqa: F401  (both register their queries)
+from . import catalogue, further, more  # noqa: F401  (all register their queries)
