@@ -31,7 +31,7 @@ from . import words as W
 from .common import bounded_sample, prepare
 
 U = np.uint64
-SAMPLE, SURE, LEVELS = 12_000, 3.5, 3
+SAMPLE, SURE, LEVELS = 12_000, 2.5, 3
 #: What a character may stand for, beside itself.
 LEET = {"4": "a", "@": "a", "3": "e", "1": "il", "!": "i", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z", "(": "c", "*": "aeiou", "#": "aeiou"}
 STAND, DROP, REPEAT, PAIR, SOME, ANY = 0.5, 0.5, 0.3, 3.0, 12.0, 2.5
