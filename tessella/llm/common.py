@@ -15,8 +15,10 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver runs from another folder."""
+    """Let Python workers find this package where the driver runs from another folder, and
+    give each task's matrix products one thread: more would wait for each other."""
     env = spark.sparkContext.environment
+    env.setdefault("OMP_NUM_THREADS", "1")
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
 

@@ -39,6 +39,7 @@ HEAD = 1 << 19
 #: Units of the network: common words and classes of rarer words; classes of units; state size.
 UNITS, RARE, CLASSES, STATE = 4096, 256, 64, 16
 WIDE = UNITS // CLASSES
+ONES = np.ones(WIDE, np.float32)
 #: Tokens that one trainer learns from; tokens it holds at a time; most texts side by side; weights averaged at a time.
 TRAIN_TASK, BUFFER, LANES, FAN = 4_000_000, 1 << 17, 256, 64
 #: Tokens that a task scores in step.
@@ -172,14 +173,14 @@ class Network:
         rows = np.arange(len(h))
         s = h @ self.wc + self.bc
         out = s[rows, cls]
-        out -= np.log(np.exp(s, out=s).sum(1))
+        out -= np.log(np.exp(s, out=s) @ ONES)
         edge = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in range(CLASSES):
             a, b = edge[k], edge[k + 1]
             if a < b:
                 s = h[a:b] @ self.ww[k] + self.bw[k]
                 out[a:b] += s[rows[: b - a], place[a:b]]
-                out[a:b] -= np.log(np.exp(s, out=s).sum(1))
+                out[a:b] -= np.log(np.exp(s, out=s) @ ONES)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -241,23 +242,26 @@ class Trainer:
             state = kept[t][0]
         h, unit = before.reshape(-1, STATE), units.reshape(-1)
         cls, place = (unit % CLASSES).astype(np.uint8), unit // CLASSES
-        p = h @ net.wc + net.bc
-        np.exp(p - p.max(1, keepdims=True), out=p)
-        p /= p.sum(1, keepdims=True)
+        # a trainer makes about 1,000 steps of Adagrad, so no weight passes 4 and no logit 70: exp cannot overflow
+        p = h @ net.wc
+        p += net.bc
+        np.exp(p, out=p)
+        p *= 1 / (p @ ONES)[:, None]
         p[np.arange(len(h)), cls] -= 1
         grad.wc += h.T @ p
         grad.bc += p.sum(0)
         dh = p @ net.wc.T
         order = np.argsort(cls, kind="stable")
         edge = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-        hs, place, ds = h[order], place[order], np.empty_like(h)
+        hs, place, ds, rows = h[order], place[order], np.empty_like(h), np.arange(len(h))
         for k in range(CLASSES):
             a, b = edge[k], edge[k + 1]
             if a < b:
-                p = hs[a:b] @ net.ww[k] + net.bw[k]
-                np.exp(p - p.max(1, keepdims=True), out=p)
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(b - a), place[a:b]] -= 1
+                p = hs[a:b] @ net.ww[k]
+                p += net.bw[k]
+                np.exp(p, out=p)
+                p *= 1 / (p @ ONES)[:, None]
+                p[rows[: b - a], place[a:b]] -= 1
                 grad.ww[k] = hs[a:b].T @ p
                 grad.bw[k] = p.sum(0)
                 ds[a:b] = p @ net.ww[k].T
@@ -362,9 +366,10 @@ def _weights(learn: DataFrame, vocs, first: np.ndarray, total: int) -> np.ndarra
                     now, own = int(trainer[lo]), Trainer(Network(first.copy()), lanes)
                 for a, b in W.slices(texts.slice(lo, hi - lo)):
                     h, rare, at = _tokens(texts.slice(lo + a, b - a))
+                    one, back = W.index(h)
                     fresh = np.zeros(len(h), np.int32)
                     fresh[at[:-1]] = 1
-                    own.add(voc.look(h, rare)[0], fresh)
+                    own.add(voc.look(h[one], rare[one])[0][back], fresh)
         if own:
             yield told()
 
@@ -374,8 +379,8 @@ def _weights(learn: DataFrame, vocs, first: np.ndarray, total: int) -> np.ndarra
         out = sum(np.frombuffer(w.as_py(), np.float32) * np.float64(k) for w, k in zip(t["weights"], n, strict=True)) / n.sum()
         return pa.table({"trainer": pa.array([t["trainer"][0].as_py() // FAN], pa.int64()), "weights": pa.array([out.astype(np.float32).tobytes()], pa.binary()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
-    dealt = learn.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), F.xxhash64("text", "doc_id").alias("order"), "text")
-    dealt = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "order")
+    dealt = learn.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).cast("int").alias("trainer"), F.xxhash64("text", "doc_id").alias("order"), "text")
+    dealt = dealt.repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "order")
     shape = "trainer long, weights binary, tokens long"
     made = stash(dealt.select("trainer", "text").mapInArrow(trimmed(fit), shape))
     while trainers > 1:
