@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -46,7 +48,29 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[back] = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote, when all that was made from them is written too."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -54,13 +78,7 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     what one stage's arrays leave behind would count beside the next stage's."""
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        import ctypes
-
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        release()
 
     return whole
 
@@ -122,7 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
     at = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("v < u").distinct())
     seen = said(at)
     while seen[0]:
-        at = stash(_star(_star(at, True), False))
+        before, at = at, stash(_star(_star(at, True), False))
+        forget(before)
         now = said(at)
         if now == seen:
             break

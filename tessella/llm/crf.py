@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import words as W
-from .common import bounded_sample, prepare, trimmed
+from .common import bounded_sample, prepare, release, trimmed
 
 U = np.uint64
 SAMPLE, LEXICON, TABLE = 1000, 1 << 17, 1 << 16
@@ -246,7 +246,9 @@ def learn(rows: DataFrame) -> Model:
     some = bounded_sample(named.select("h", "lang").distinct(), F.struct("h", "lang"), SAMPLE)
     chosen = named.join(F.broadcast(some), ["h", "lang"]).groupBy("h", "lang").agg(F.first("text").alias("text"))  # SAMPLE keys are broadcast
     texts = sorted((r.h, r.lang, r.text) for r in chosen.collect())  # SAMPLE rows
-    return fit([t for _, _, t in texts], [langs.index(x) for _, x, _ in texts], langs, tongue)
+    model = fit([t for _, _, t in texts], [langs.index(x) for _, x, _ in texts], langs, tongue)
+    release()
+    return model
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

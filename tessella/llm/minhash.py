@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, prepare, stash, trimmed
+from .common import components, forget, prepare, stash, trimmed
 
 U = np.uint64
 #: Members of a band key compared at a time with as many others.
@@ -218,12 +218,14 @@ def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32,
     nodes = stash(known.groupBy("node").agg(F.min("doc").alias("doc")))
     buckets = stash(known.join(nodes, ["node", "doc"], "left_semi").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
     sizes = stash(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = stash(buckets.join(sizes, "bucket"))
+    dealt = stash(buckets.join(sizes, "bucket"))
+    forget(buckets, sizes)
     # the member that shares keys with the most others is likeliest to be what the others are copies of
-    rank = met.groupBy("node").agg(F.sum("n").alias("rank"))
-    met = stash(met.select("node", "bucket").join(rank, "node"))
+    rank = dealt.groupBy("node").agg(F.sum("n").alias("rank"))
+    met = stash(dealt.select("node", "bucket").join(rank, "node"))
     hubs = stash(met.groupBy("bucket").agg(F.max_by("node", F.struct("rank", "node")).alias("hub")))
     shared = stash(met.join(hubs, "bucket"))
+    forget(dealt, met, hubs)
     star = stash(shared.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     needed = shared.select("node").distinct().join(nodes, "node")
     body = F.col(f"`{text}`").cast("string")
@@ -255,7 +257,7 @@ def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32,
     placed = stash(groups.select("node", F.col("root").alias("group")).join(chosen, "group").join(roots, "node"))
     together = opened(placed.filter("together").select(F.xxhash64("group").alias("g"), "node", "root"))
     alone = at.join(placed.filter("not together").select("node"), "node", "left_semi")
-    members = stash(together.select("g", "node", "apart", "mains", "others").union(alone.select("g", "node", "apart", "mains", "others")))
+    members_kept = members = stash(together.select("g", "node", "apart", "mains", "others").union(alone.select("g", "node", "apart", "mains", "others")))
     chunk = F.pmod(F.xxhash64("node", "g"), F.when(F.col("apart"), F.col("others")).otherwise(F.col("mains"))).cast("int")
     members = members.withColumn("chunk", F.when(F.col("apart"), chunk).otherwise(-1 - chunk))
 
@@ -268,6 +270,7 @@ def _grouped(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32,
     dealt = members.select("g", "node", "chunk", F.explode(F.when(F.col("apart"), F.concat(among, across)).otherwise(main)).alias("at")).select("g", "at.i", "at.j", "chunk", "node")
     more = _verified(dealt.join(texts, "node"), size, percent).join(roots.select(F.col("node").alias("a"), F.col("root").alias("u")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("v")), "b")
     up = components(more.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    forget(texts, first, groups, chosen, placed, members_kept, at, star, links)
     joined = stash(roots.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
     least = joined.join(nodes, "node").groupBy("root").agg(F.min("doc").alias("component_id"))
     # written once, so that the join with all copies meets a plain table and its hot keys can be split

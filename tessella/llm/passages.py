@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import prepare, stash, trimmed
+from .common import forget, prepare, stash, trimmed
 
 U = np.uint64
 SHINGLE = 5
@@ -335,6 +335,7 @@ def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) ->
     firsts = digests.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").drop("last")
     copies = stash(digests.join(firsts, "h").filter("hub < doc_id").select(F.col("doc_id").alias("node"), "tag", "hub").distinct())
     met = stash(found.join(hubs, "bucket").join(copies.select("node", "tag"), ["node", "tag"], "left_anti").distinct())
+    forget(found, hubs)
     stars = met.filter("hub < node")
     likely = stash(stars.groupBy("node", "hub").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y")).filter("x < y").select("node", "hub").union(copies.select("node", "hub")).distinct())
     first = stash(_verified(likely, rows, least, percent))
@@ -344,6 +345,7 @@ def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) ->
     opened = stash(opened)
     holders = met.join(opened, "bucket").filter("node <= last").groupBy("node", "tag").agg(F.collect_set("c").alias("w"))
     keys = stash(stretches(holders.join(rows.withColumnRenamed("doc_id", "node"), ["node", "tag"]), least))
+    forget(met, opened)
     shared = keys.groupBy("k").agg(F.min(F.when(F.col("held"), F.col("node"))).alias("hub"), F.min("node").alias("x"), F.max("node").alias("y")).filter("hub is not null and x < y").select("k", "hub")
     shared = stash(shared)
     met = keys.join(shared, "k").filter("hub != node").withColumn("w", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
@@ -352,6 +354,7 @@ def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) ->
     hubs = F.explode(F.when(F.col("sure").isNotNull(), F.array("sure")).otherwise(F.col("hubs")))  # six keys have six hubs at most
     more = by_place.select("node", hubs.alias("hub")).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
     more = stash(more.join(likely, ["node", "hub"], "left_anti"))
+    forget(keys, shared, likely, copies)
     return first.union(_verified(more, rows, least, percent)).drop("tag", "a", "b").distinct()
 
 
