@@ -197,6 +197,7 @@ class Trainer:
     def __init__(self, net: Network, lanes: int, window: int = 16, rate: float = 0.05):
         self.net, self.lanes, self.window, self.rate = net, lanes, window, rate
         self.seen = np.full(len(net.flat), 1e-3, np.float32)
+        self.grad = Network()
         self.waiting: list[np.ndarray] = []
         self.held = self.tokens = 0
 
@@ -231,7 +232,8 @@ class Trainer:
     def gradient(self, units: np.ndarray, goes_on: np.ndarray, state: np.ndarray) -> tuple:
         """(gradient, rows of ``x`` it touches and theirs, the last state) of the loss of a window (steps, lanes)."""
         net, (n, lanes) = self.net, units.shape
-        grad = Network()
+        grad = self.grad  # its embedding is not used
+        grad.flat[net.x.size :] = 0
         keep = goes_on.astype(np.float32)[:, :, None]
         x = net.x[units]
         x += net.b
@@ -269,15 +271,20 @@ class Trainer:
         dh = dh.reshape(n, lanes, STATE)
         back = np.zeros((lanes, STATE), np.float32)
         dx, dg = np.empty((n, lanes, 3 * STATE), np.float32), np.empty((n, lanes, 3 * STATE), np.float32)
+        z, r, gc, c = (np.stack([k[i] for k in kept]) for i in (1, 2, 3, 4))
+        to_c = (1 - z) * (1 - c * c)
+        to_z, to_r, turned = (before - c) * z * (1 - z), gc * r * (1 - r), np.ascontiguousarray(net.u.T)
         for t in range(n - 1, -1, -1):
-            _, z, r, gc, c = kept[t]
-            dc = back * (1 - z) * (1 - c * c)
-            dx[t, :, :STATE] = back * (before[t] - c) * z * (1 - z)
-            dx[t, :, STATE : 2 * STATE] = dc * gc * r * (1 - r)
+            dc = back * to_c[t]
+            np.multiply(back, to_z[t], out=dx[t, :, :STATE])
+            np.multiply(dc, to_r[t], out=dx[t, :, STATE : 2 * STATE])
             dx[t, :, 2 * STATE :] = dc
             dg[t] = dx[t]
-            dg[t, :, 2 * STATE :] *= r
-            back = (back * z + dg[t] @ net.u.T + dh[t]) * keep[t]
+            dg[t, :, 2 * STATE :] *= r[t]
+            back *= z[t]
+            back += dg[t] @ turned
+            back += dh[t]
+            back *= keep[t]
         flat = dx.reshape(-1, 3 * STATE)
         grad.b += flat.sum(0)
         grad.u += h.T @ dg.reshape(-1, 3 * STATE)
@@ -294,9 +301,13 @@ class Trainer:
         g = np.clip(gx * scale, -1, 1)
         seen[rows] += g * g
         net.x[rows] -= self.rate * g / np.sqrt(seen[rows])
-        g = np.clip(grad.flat[x:] * scale, -1, 1)
+        g = grad.flat[x:]
+        g *= scale
+        np.clip(g, -1, 1, out=g)
         self.seen[x:] += g * g
-        net.flat[x:] -= self.rate * g / np.sqrt(self.seen[x:])
+        g *= self.rate
+        g /= np.sqrt(self.seen[x:])
+        net.flat[x:] -= g
         return state
 
 
