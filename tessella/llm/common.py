@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +63,14 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def sweep(spark: SparkSession, *tables: DataFrame) -> None:
+    """``forget`` the tables, and have the shuffle files of ended jobs deleted: Spark deletes them
+    when the driver collects its garbage, which a driver with little to do may not for hours."""
+    forget(*tables)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Give free memory of this process back to the system."""
     import ctypes

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import forget, prepare, stash, trimmed
+from .common import prepare, stash, sweep, trimmed
 
 U = np.uint64
 SHINGLE = 5
@@ -290,9 +290,9 @@ def passages(x: _Text, y: _Text, least: int, percent: int) -> list[tuple[int, in
 
 def _verified(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> DataFrame:
     """``FIELDS`` and tag, a, b (of the text of doc_id, in shingles) of the pairs (node, hub) with hub < node."""
-    needed = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("hub")).distinct()
-    texts = stash(rows.join(needed, "doc_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("node"), "tag", F.col("text").alias("x"), F.md5("text").alias("xh")), "node").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y")), "hub").select("node", "hub", "tag", "x", "y", "xh")
+    # two joins with the same table: its exchange by doc_id is written once and read twice
+    texts = rows.select("doc_id", "text")
+    both = pairs.join(texts.select(F.col("doc_id").alias("node"), F.col("text").alias("x")), "node").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y")), "hub").select("node", "hub", F.xxhash64("x").alias("tag"), "x", "y", F.md5("x").alias("xh"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
@@ -326,7 +326,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> Da
 
 def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) -> DataFrame:
     """Rows of ``FIELDS``: digest is that of the text of doc_id, as rows may share an id."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("tag", F.xxhash64("text"))
     found = stash(windows(rows, least))
     hubs = found.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
@@ -335,26 +336,28 @@ def _repeats(docs: DataFrame, least: int, percent: int, key: str, text: str) ->
     firsts = digests.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").drop("last")
     copies = stash(digests.join(firsts, "h").filter("hub < doc_id").select(F.col("doc_id").alias("node"), "tag", "hub").distinct())
     met = stash(found.join(hubs, "bucket").join(copies.select("node", "tag"), ["node", "tag"], "left_anti").distinct())
-    forget(found, hubs)
+    sweep(spark, found, hubs)
     stars = met.filter("hub < node")
     likely = stash(stars.groupBy("node", "hub").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y")).filter("x < y").select("node", "hub").union(copies.select("node", "hub")).distinct())
     first = stash(_verified(likely, rows, least, percent))
+    sweep(spark)
     # holders of windows with places in no passage yet
     done = first.select(F.col("doc_id").alias("node"), "tag", "a", "b").distinct()
     opened = stars.join(done, (stars["node"] == done["node"]) & (stars["tag"] == done["tag"]) & (stars["c"] >= done["a"]) & (stars["c"] + GRAM - SHINGLE <= done["b"]), "left_anti").groupBy("bucket").agg(F.max("node").alias("last"))
     opened = stash(opened)
     holders = met.join(opened, "bucket").filter("node <= last").groupBy("node", "tag").agg(F.collect_set("c").alias("w"))
     keys = stash(stretches(holders.join(rows.withColumnRenamed("doc_id", "node"), ["node", "tag"]), least))
-    forget(met, opened)
+    sweep(spark, met, opened)
     shared = keys.groupBy("k").agg(F.min(F.when(F.col("held"), F.col("node"))).alias("hub"), F.min("node").alias("x"), F.max("node").alias("y")).filter("hub is not null and x < y").select("k", "hub")
     shared = stash(shared)
+    sweep(spark)
     met = keys.join(shared, "k").filter("hub != node").withColumn("w", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
     # where a whole stretch has an earlier holder, that one is enough
     by_place = met.groupBy("node", "w").agg(F.min(F.when((F.col("at") < 0) & (F.col("hub") < F.col("node")), F.col("hub"))).alias("sure"), F.collect_set("hub").alias("hubs"))
     hubs = F.explode(F.when(F.col("sure").isNotNull(), F.array("sure")).otherwise(F.col("hubs")))  # six keys have six hubs at most
     more = by_place.select("node", hubs.alias("hub")).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
     more = stash(more.join(likely, ["node", "hub"], "left_anti"))
-    forget(keys, shared, likely, copies)
+    sweep(spark, keys, shared, likely, copies)
     return first.union(_verified(more, rows, least, percent)).drop("tag", "a", "b").distinct()
 
 
