@@ -176,13 +176,17 @@ def strongest(runs: Column) -> Column:
     return F.aggregate(runs, none, better)
 
 
-def planted(key: Column, text: Column) -> Column:
-    """The words of a text, one space apart; those of every tenth key, by the checksum of its
-    decimal form, made periodic from some word on."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    h = F.crc32(key.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words)
+def planted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text): the texts, those of every tenth key, by the checksum of its decimal form, with
+    their words made periodic from some word on.  The words are a column of their own, split once."""
+    h = F.crc32(F.col("key").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("key", "text", words.alias("words"))
+    g, n = F.floor(h / 10), F.size("words")
     a = (g % F.greatest(n, F.lit(1))).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    made = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+    # the places of the words, so that no lambda holds more than numbers and the column
+    places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    rows = rows.select("key", "text", "words", n.alias("n"), a.alias("a"), p.alias("p"))
+    made = F.array_join(F.transform(places, lambda i: F.get("words", i)), " ")
+    return rows.select("key", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))

@@ -70,8 +70,8 @@ def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
-    found = periodic.periodic_runs(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    found = periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents")), key="key")
+    found = found.withColumn("best", periodic.strongest(F.col("runs")))
     told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
     return found.select(
         F.col("key").alias("doc_id"),
