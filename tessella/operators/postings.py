@@ -2,8 +2,8 @@
 
 Documents get a stable row number when they first come.  For each term and block of 1,024 row
 numbers there is one posting (a few, where a block was read in parts): how many documents, the
-greatest count of the term by column and the least length in the block, and, as numpy arrays,
-each document's place in the block, length, counts by column and places in the text.  The empty
+greatest count of the term by column and the least length in the block, and, packed
+by numpy, each document's place in the block, length, counts by column and places in the text.  The empty
 term's posting holds all documents with their lengths.  Postings are dealt to folders, lots, by
 ranges of terms, so a query prunes all lots but those of its terms, and a prefix is a range too;
 within a lot they are sorted, so a reader skips most of a file.  A term that is in most documents
@@ -46,15 +46,59 @@ SAMPLE = 2000
 #: Row numbers or blocks that are named in a filter at most; beyond, a join meets them.
 NAMED = 1000
 TOKEN = re.compile(rb"[0-9a-z]+")
-POSTING = "lot int, term string, block bigint, n int, most array<int>, least int, ids binary, lens binary, tfs binary, ends binary, at binary"
 HIT = "term string, rowid bigint, len int, tf array<int>, at array<int>"
 
 
-def _bytes(values: np.ndarray, kind: type, cuts: np.ndarray) -> pa.Array:
-    """Values as one binary for each stretch between ``cuts`` (one more than stretches)."""
-    data = np.ascontiguousarray(values, kind)
-    width = data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data)])
+def _shape(columns: int) -> str:
+    most = "".join(f"most{c} int, " for c in range(columns))
+    return f"lot int, term string, block bigint, n int, least int, {most}body binary"
+
+
+def _names(shape: str) -> list[str]:
+    return [f.split()[0] for f in shape.split(", ")]
+
+
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers as seven bits a byte, the least first, one binary for each stretch between ``cuts``."""
+    v = values.astype(np.uint64)
+    width = np.ones(len(v), np.int64)
+    for k in range(1, 6):
+        width += v >= np.uint64(1 << (7 * k))
+    upto = np.concatenate(([0], np.cumsum(width)))
+    out = np.zeros(upto[-1], np.uint8)
+    for k in range(int(width.max(initial=0))):
+        more = width > k
+        out[upto[:-1][more] + k] = ((v[more] >> np.uint64(7 * k)) & np.uint64(127)) | (np.uint64(128) * (width[more] > k + 1))
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(upto[cuts].astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    first = np.concatenate(([0], np.flatnonzero(raw < 128) + 1))
+    if len(first) == 1:
+        return np.zeros(0, np.int64)
+    shift = (np.arange(len(raw)) - np.repeat(first[:-1], np.diff(first))) * 7
+    return np.add.reduceat((raw & 127) << shift, first[:-1])
+
+
+def _body(ids: np.ndarray, lens: np.ndarray, tf: np.ndarray, place: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """For each stretch of entries between ``cuts``: all places in the block, lengths, counts by
+    column, and then the places in the texts, each less the one before of its entry."""
+    columns, m = tf.shape[1], np.diff(cuts)
+    step = np.diff(place, prepend=0)
+    begin = ends[:-1][np.diff(ends) > 0]
+    step[begin] = place[begin]
+    p = np.diff(ends[cuts])
+    base = np.concatenate(([0], np.cumsum(m * (2 + columns) + p)))
+    flat = np.zeros(base[-1], np.int64)
+    row = np.repeat(np.arange(len(m)), m)
+    at = base[row] + np.arange(len(ids)) - cuts[row]
+    flat[at], flat[at + m[row]] = ids, lens
+    for c in range(columns):
+        flat[at + (2 + c) * m[row]] = tf[:, c]
+    own = np.repeat(np.arange(len(m)), p)
+    flat[base[own] + (2 + columns) * m[own] + np.arange(len(place)) - ends[cuts][own]] = step
+    return packed(flat, base)
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -87,26 +131,23 @@ def _postings(rowids: list[int], texts: list[list[bytes]], columns: int, bounds:
     e_block = ids[e_doc] >> shift
     first = np.flatnonzero(np.concatenate(([True], (e_term[1:] != e_term[:-1]) | (e_block[1:] != e_block[:-1]))))
     tf = np.stack([np.add.reduceat((column == c).astype(np.int32), entry) for c in range(columns)], 1)
-    most = np.stack([np.maximum.reduceat(tf[:, c], first) for c in range(columns)], 1)
     names = [b.decode() for b in known]
     cuts, ends = np.append(first, len(entry)), np.append(entry, len(term))
-    own = e_term[first].tolist()
-    lots = np.searchsorted(np.array(bounds or [""], object), np.array([names[t] for t in own], object), "right") if bounds else np.zeros(len(own), np.int64)
+    own = [names[t] for t in e_term[first].tolist()]
+    lots = np.searchsorted(np.array(bounds, object), np.array(own, object), "right") if bounds else np.zeros(len(own), np.int64)
+    said = e_term != 0  # the empty term has no places
+    ends = np.concatenate(([0], np.cumsum(np.diff(ends) * said)))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(lots, pa.int32()),
-            pa.array([names[t] for t in own], pa.string()),
+            pa.array(own, pa.string()),
             pa.array(e_block[first]),
             pa.array(np.diff(cuts), pa.int32()),
-            _lists(most),
             pa.array(np.minimum.reduceat(size[e_doc], first), pa.int32()),
-            _bytes(ids[e_doc] & ((1 << shift) - 1), np.uint16, cuts),
-            _bytes(size[e_doc], np.int32, cuts),
-            _bytes(tf, np.int32, cuts),
-            _bytes(np.diff(ends), np.int32, cuts),
-            _bytes(place, np.int32, ends[cuts]),
+            *[pa.array(np.maximum.reduceat(tf[:, c], first), pa.int32()) for c in range(columns)],
+            _body(ids[e_doc] & ((1 << shift) - 1), size[e_doc], tf, place[term != 0], ends, cuts),
         ],
-        [f.split()[0] for f in POSTING.split(", ")],
+        _names(_shape(columns)),
     )
 
 
@@ -128,28 +169,32 @@ def postings(rows: DataFrame, columns: list[str], bounds: list[str], shift: int
         if ids:
             yield _postings(ids, texts, len(columns), bounds, shift)
 
-    return rows.select("rowid", *columns).mapInArrow(work, POSTING)
+    return rows.select("rowid", *columns).mapInArrow(work, _shape(len(columns)))
 
 
-def _opened(row: dict, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, lengths, counts by column, numbers of places and places of a posting."""
-    ids = np.frombuffer(row["ids"], np.uint16).astype(np.int64) + (row["block"] << shift)
-    tf = np.frombuffer(row["tfs"], np.int32).reshape(len(ids), -1)
-    return ids, np.frombuffer(row["lens"], np.int32), tf, np.frombuffer(row["ends"], np.int32), np.frombuffer(row["at"], np.int32)
+def _opened(row: dict, columns: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, lengths, counts by column, where places begin and places of a posting."""
+    flat, m = unpacked(row["body"]), row["n"]
+    tf = flat[2 * m : (2 + columns) * m].reshape(columns, m).T
+    ends = np.concatenate(([0], np.cumsum(tf.sum(1))))
+    step = flat[(2 + columns) * m :]
+    run = np.concatenate(([0], np.cumsum(step)))
+    place = run[1:] - np.repeat(run[ends[:-1]], np.diff(ends))
+    return flat[:m] + (row["block"] << shift), flat[m : 2 * m], tf, ends, place
 
 
-def _entries(shift: int):
+def _entries(columns: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, lens, tf, n, at = _opened(row, shift)
-                places = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array([row["term"]] * len(ids), pa.string()), pa.array(ids), pa.array(lens), _lists(tf), places], [f.split()[0] for f in HIT.split(", ")])
+                ids, lens, tf, ends, at = _opened(row, columns, shift)
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([row["term"]] * len(ids), pa.string()), pa.array(ids), pa.array(lens, pa.int32()), _lists(tf), places], _names(HIT))
 
     return run
 
 
-def _without_dead(shift: int):
+def _without_dead(columns: int, shift: int):
     """Postings less the row numbers in their ``dead`` column, without those left empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +203,16 @@ def _without_dead(shift: int):
             for row in batch.to_pylist():
                 dead = row.pop("dead")
                 if dead:
-                    ids, lens, tf, n, at = _opened(row, shift)
+                    ids, lens, tf, ends, at = _opened(row, columns, shift)
                     live = ~np.isin(ids, dead)
                     if not live.any():
                         continue
-                    row |= {"n": int(live.sum()), "most": tf[live].max(0).tolist(), "least": int(lens[live].min())}
-                    ids = (ids[live] & ((1 << shift) - 1)).astype(np.uint16)
-                    row |= {k: v.tobytes() for k, v in (("ids", ids), ("lens", lens[live]), ("tfs", tf[live]), ("ends", n[live]), ("at", at[np.repeat(live, n)]))}
+                    n = np.diff(ends)
+                    kept = np.concatenate(([0], np.cumsum(n[live])))
+                    body = _body(ids[live] & ((1 << shift) - 1), lens[live], tf[live], at[np.repeat(live, n)], kept, np.array([0, int(live.sum())]))
+                    row |= {"n": int(live.sum()), "least": int(lens[live].min()), "body": body[0].as_py()} | {f"most{c}": int(tf[live, c].max()) for c in range(columns)}
                 out.append(row)
-            kept = batch.schema.remove(batch.schema.get_field_index("dead"))
-            yield pa.RecordBatch.from_pylist(out, kept)
+            yield pa.RecordBatch.from_pylist(out, batch.schema.remove(batch.schema.get_field_index("dead")))
 
     return run
 
@@ -197,11 +242,15 @@ class Index:
         self.number, self.state = self._commits.last()
         self.shift = self.state.get("shift", shift)
 
+    @property
+    def _posting(self) -> str:
+        return _shape(len(self.state["columns"]))
+
     # -- writing
 
     def _bounds(self, rows: DataFrame, columns: list[str], lots: int) -> list[str]:
         """Terms that part the postings of a sample evenly."""
-        found = postings(rows.limit(SAMPLE), columns, [], self.shift).groupBy("term").agg(F.sum(F.length("at") + 64).alias("w"))
+        found = postings(rows.limit(SAMPLE), columns, [], self.shift).groupBy("term").agg(F.sum(F.length("body") + 64).alias("w"))
         within = sorted((r.term, r.w) for r in found.filter(F.col("w") > 200).collect())  # terms of a bounded sample
         total, cuts, at = sum(w for _, w in within), [], 0
         for term, w in within:
@@ -265,7 +314,7 @@ class Index:
         rows = reduce(DataFrame.union, [self._folder(s).withColumn("segment", F.lit(s["number"])) for s in state["segments"]])
         if state["dead"]:
             lists = self._dead().groupBy(F.shiftright("rowid", self.shift).alias("block"), "segment").agg(F.collect_set("rowid").alias("dead"))  # at most a block's rows
-            rows = rows.join(lists, ["block", "segment"], "left").select(*[f.split()[0] for f in POSTING.split(", ")], "dead").mapInArrow(_without_dead(self.shift), POSTING)
+            rows = rows.join(lists, ["block", "segment"], "left").select(*_names(self._posting), "dead").mapInArrow(_without_dead(len(state["columns"]), self.shift), self._posting)
         folder = self._deal(rows.drop("segment").withColumn("lot", lot.cast("int")), len(bounds) + 1)
         at = fresh(self.spark, "documents")
         self.documents().withColumn("_segment", F.lit(number)).repartitionByRange("rowid").sortWithinPartitions("rowid").write.parquet(at)
@@ -292,8 +341,8 @@ class Index:
         there = set(Files(self.spark).names(segment["folder"]))
         at = [p for p in at if lots is None or p.rpartition("/")[2] in there]
         if not at or not any(n.startswith("lot=") for n in there):
-            return self.spark.createDataFrame([], POSTING)
-        return self.spark.read.schema(POSTING).option("basePath", segment["folder"]).parquet(*at)
+            return self.spark.createDataFrame([], self._posting)
+        return self.spark.read.schema(self._posting).option("basePath", segment["folder"]).parquet(*at)
 
     def of(self, terms: list[str], prefix: bool = False) -> DataFrame:
         """The postings of terms, or of all terms with a prefix, from the lots that can hold them."""
@@ -308,10 +357,10 @@ class Index:
 
     def _opened(self, rows: DataFrame) -> DataFrame:
         """A row for each document of postings: term, rowid, len, tf, at; those that live."""
-        fields = ["term", "block", "ids", "lens", "tfs", "ends", "at"]
+        fields, opened = ["term", "block", "n", "body"], _entries(len(self.state["columns"]), self.shift)
         if not self.state["dead"]:
-            return rows.select(*fields).mapInArrow(_entries(self.shift), HIT)
-        parts = [rows.filter(F.col("segment") == s["number"]).select(*fields).mapInArrow(_entries(self.shift), HIT).withColumn("segment", F.lit(s["number"])) for s in self.state["segments"]]
+            return rows.select(*fields).mapInArrow(opened, HIT)
+        parts = [rows.filter(F.col("segment") == s["number"]).select(*fields).mapInArrow(opened, HIT).withColumn("segment", F.lit(s["number"])) for s in self.state["segments"]]
         return reduce(DataFrame.union, parts).join(self._dead(), ["rowid", "segment"], "left_anti").drop("segment")
 
     def hits(self, terms: list[str], prefix: bool = False) -> DataFrame:
@@ -357,7 +406,7 @@ class Index:
         raw = {t: float(np.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))) for t in terms}
         idf = F.create_map(*[F.lit(x) for t in terms for x in (t, raw[t] if raw[t] > 0 else 1e-6)])
 
-        def part(tf: Column, size: Column) -> Column:
+        def part(tf: Column | list[Column], size: Column) -> Column:
             weighed = reduce(lambda x, y: x + y, [tf[c] * F.lit(float(w)) for c, w in enumerate(weights)])
             return idf[F.col("term")] * weighed * (k1 + 1) / (weighed + k1 * (1 - b + b * size / F.lit(float(mean or 1))))
 
@@ -366,7 +415,7 @@ class Index:
             return each.groupBy("rowid").agg(F.count("*").alias("_n"), F.sum("s").alias("s")).filter(F.col("_n") == len(terms)).select("rowid", F.round(-F.col("s"), 6).alias("score"))
 
         rows = self.of(terms)
-        heads = rows.select("term", "block", part(F.col("most"), F.col("least")).alias("bound"))  # no entry is read
+        heads = rows.select("term", "block", part([F.col(f"most{c}") for c in range(len(weights))], F.col("least")).alias("bound"))  # no entry is read
         bounds = heads.groupBy("block", "term").agg(F.max("bound").alias("bound")).groupBy("block").agg(F.count("*").alias("_n"), F.sum("bound").alias("bound")).filter(F.col("_n") == len(terms))
         heads = bounds.orderBy(F.desc("bound"), "block").select("block", "bound").limit(NAMED + 1).collect()
         best = [r.block for r in heads[:probe]]
