@@ -1,6 +1,6 @@
 """A search index of postings: queries read the files of their terms, never the texts.
 
-Documents get a stable row number when they first come.  For each term and block of 1,024 row
+Documents get a stable row number when they first come.  For each term and block of 2,048 row
 numbers there is one posting (a few, where a block was read in parts): how many documents, the
 greatest count of the term by column and the least length in the block, and, packed
 by numpy, each document's place in the block, length, counts by column and places in the text.  The empty
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from ..sources.tables import Commits, Files, for_workers, fresh, written
 
 #: Row numbers of a block, as a shift (16 at most).
-BLOCK = 10
+BLOCK = 11
 #: Bytes of text whose places are sorted at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 #: Bytes of a file's groups of rows, which bounds of terms and blocks let a reader skip.
 ROWS = 1 << 22
-#: Documents whose terms set the lots' bounds; any bounds are right, these are even ones.
+#: Documents, about, whose terms set the lots' bounds; any bounds are right, these are even ones.
 SAMPLE = 2000
 #: Row numbers or blocks that are named in a filter at most; beyond, a join meets them.
 NAMED = 1000
@@ -248,9 +248,9 @@ class Index:
 
     # -- writing
 
-    def _bounds(self, rows: DataFrame, columns: list[str], lots: int) -> list[str]:
+    def _bounds(self, rows: DataFrame, n: int, columns: list[str], lots: int) -> list[str]:
         """Terms that part the postings of a sample evenly."""
-        found = postings(rows.limit(SAMPLE), columns, [], self.shift).groupBy("term").agg(F.sum(F.length("body") + 64).alias("w"))
+        found = postings(rows.sample(min(1.0, SAMPLE / max(n, 1)), seed=1), columns, [], self.shift).groupBy("term").agg(F.sum(F.length("body") + 64).alias("w"))
         within = sorted((r.term, r.w) for r in found.filter(F.col("w") > 200).collect())  # terms of a bounded sample
         total, cuts, at = sum(w for _, w in within), [], 0
         for term, w in within:
@@ -298,7 +298,7 @@ class Index:
         state["documents"] = fresh(self.spark, "documents")
         made.repartitionByRange("rowid").sortWithinPartitions("rowid").write.parquet(state["documents"])
         n = lots or _lots(new + other)
-        cuts = self._bounds(staged, columns, n)
+        cuts = self._bounds(staged, new + other, columns, n)
         segment = {"number": number, "bounds": cuts, "folder": self._deal(postings(staged, columns, cuts, self.shift), n)}
         self._commit(state | {"segments": [*state["segments"], segment]}, number)
         Files(self.spark).delete(folder)
