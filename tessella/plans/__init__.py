@@ -1 +1 @@
-from . import catalogue, further, indexed, more  # noqa: F401  (all register their queries)
+from . import catalogue, further, indexed, more, ruled  # noqa: F401  (all register their queries)

@@ -38,14 +38,17 @@ def advisories(t: Tables) -> DataFrame:
     return dep.join(adv, ["package", "version"]).groupBy("repo", "package").agg(F.max("severity").alias("severity"), state.alias("state"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS repo, l_partkey AS package, l_linenumber AS rank, 'v' || l_suppkey AS version, l_returnflag = 'R' AS lock FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY repo, package ORDER BY lock DESC, rank) AS k, min(rank) OVER (PARTITION BY repo, package) AS first, bool_or(lock) OVER (PARTITION BY repo, package) AS locked FROM s)
+@query("""WITH s AS (SELECT l_orderkey AS repo, l_partkey AS package, l_linenumber AS rank, 'v' || l_suppkey AS version, l_returnflag = 'R' AS lock FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY repo, package ORDER BY lock DESC, CASE WHEN lock THEN -rank ELSE rank END, CASE WHEN lock THEN version END DESC, version) AS k, min(rank) OVER (PARTITION BY repo, package) AS first, bool_or(lock) OVER (PARTITION BY repo, package) AS locked FROM s)
 SELECT repo, package, version, first, locked FROM r WHERE k = 1""")
 def dependency_precedence(t: Tables) -> DataFrame:
-    """One dependency from several sources: a lock file's version wins, else the first source's."""
+    """One dependency from several sources: the last lock entry's version wins, else the first
+    source's; of two versions in one place a lock takes the greater text, another the lesser."""
     lock = F.col("l_returnflag") == "R"
     s = t.lineitem.groupBy(F.col("l_orderkey").alias("repo"), F.col("l_partkey").alias("package"))
-    best = F.min_by(F.concat(F.lit("v"), F.col("l_suppkey").cast("string")), F.struct(~lock, "l_linenumber"))
-    return s.agg(best.alias("version"), F.min("l_linenumber").alias("first"), F.bool_or(lock).alias("locked"))
+    version = F.concat(F.lit("v"), F.col("l_suppkey").cast("string"))
+    locked = F.max(F.when(lock, F.struct("l_linenumber", version.alias("v"))))["v"]
+    first = F.min(F.struct("l_linenumber", version.alias("v")))["v"]
+    return s.agg(F.coalesce(locked, first).alias("version"), F.min("l_linenumber").alias("first"), F.bool_or(lock).alias("locked"))
 
 
 @query("""SELECT l_orderkey AS repo, count(DISTINCT l_partkey) AS packages, count(DISTINCT CASE WHEN l_linestatus = 'O' THEN l_partkey END) AS direct, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) AS locked FROM lineitem GROUP BY 1""")
