@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .fill import on_a_line
 
 
 def row_hash(*columns: str) -> Column:
@@ -72,18 +73,25 @@ def fill_empty(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(b, key, "left").select(*key, *[F.coalesce(own[c], F.col(f"_b.{c}"), F.col(c)).alias(c) for c in rest])
 
 
-def deletable(rows: DataFrame, expired: Column, rule: Column, order: list[str], cost: dict[int, int], room: int) -> DataFrame:
+def deletable(rows: DataFrame, expired: Column, rule: Column, order: list[str], cost: dict[int, int], room: float) -> DataFrame:
     """Expired rows that a budget of written rows lets go: rules in order, a row costs what its
-    rule says, and a rule whose rows no longer fit leaves the rest of them for another day.
+    rule says, and what one rule leaves, if only because a row of it no longer fits, goes to the next.
 
-    Costs are summed by rule first, so only the rule that the budget cuts needs an order.
+    Only counts by rule come to the driver.  Rules that go whole or not at all need no order; of
+    the others rows are numbered in ranges of ``order``, which should tell all rows apart.
     """
-    price = F.create_map(*[x for k, v in cost.items() for x in (F.lit(k), F.lit(v))])
     due = rows.filter(expired).withColumn("_rule", rule)
-    sums = due.groupBy("_rule").agg((F.count("*") * F.first(price[F.col("_rule")])).alias("_sum"))  # one row for each rule
-    before = sums.alias("a").join(sums.alias("b"), F.col("b._rule") < F.col("a._rule"), "left").groupBy("a._rule").agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
-    left = due.join(F.broadcast(before), "_rule").withColumn("_room", F.floor((F.lit(room) - F.col("_before")) / price[F.col("_rule")])).filter("_room > 0")
-    return left.withColumn("_r", F.row_number().over(Window.partitionBy("_rule").orderBy(*order))).filter(F.col("_r") <= F.col("_room")).select(*rows.columns)
+    counts = {r["_rule"]: r["count"] for r in due.filter(F.col("_rule").isin(list(cost))).groupBy("_rule").count().collect()}  # a row a rule
+    takes, left = {}, room
+    for k in sorted(counts):
+        takes[k] = min(counts[k], int(left // cost[k]))
+        left -= takes[k] * cost[k]
+    out = due.filter(F.col("_rule").isin([k for k, n in takes.items() if n == counts[k]]))
+    for k, n in takes.items():
+        if 0 < n < counts[k]:
+            line = on_a_line(due.filter(F.col("_rule") == k).withColumn("_one", F.lit(1)), order, "_one")
+            out = out.unionByName(line.filter(F.col("_pos") < n).select(*out.columns))
+    return out.select(*rows.columns)
 
 
 def may_publish(new: Column, last: Column, least: float = 0.5) -> Column:

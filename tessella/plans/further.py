@@ -79,10 +79,11 @@ def publish_guard(t: Tables) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS rule FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND event_type IN ('view', 'click', 'error')), c AS (SELECT *, CASE rule WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS cost FROM e),
-s AS (SELECT rule, sum(cost) AS total FROM c GROUP BY rule), b AS (SELECT x.rule, coalesce(sum(y.total), 0) AS before FROM s x LEFT JOIN s y ON y.rule < x.rule GROUP BY 1), r AS (SELECT c.event_id, floor(((SELECT count(*) FROM events) * 0.45 - before) / cost) AS room, row_number() OVER (PARTITION BY c.rule ORDER BY ts, event_id) AS k FROM c JOIN b ON b.rule = c.rule)
+b AS (SELECT count(*) * 0.45::DOUBLE AS room, (SELECT count(*) FROM c WHERE rule = 1) AS n1, (SELECT count(*) FROM c WHERE rule = 2) AS n2, (SELECT count(*) FROM c WHERE rule = 3) AS n3 FROM events), b1 AS (SELECT *, least(n1, floor(room / 2)) AS k1 FROM b), b2 AS (SELECT *, least(n2, floor((room - 2 * k1) / 3)) AS k2 FROM b1), b3 AS (SELECT *, least(n3, floor(room - 2 * k1 - 3 * k2)) AS k3 FROM b2),
+r AS (SELECT event_id, CASE rule WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END AS room, row_number() OVER (PARTITION BY rule ORDER BY ts, event_id) AS k FROM c, b3)
 SELECT event_id FROM r WHERE k <= room""")
 def budgeted_deletion(t: Tables) -> DataFrame:
-    """Expired events that today's budget of written rows lets go: rules in order, the rest waits."""
+    """Expired events that today's budget of written rows lets go: rules in order, what one leaves goes to the next."""
     kind = F.col("event_type")
     rule = F.when(kind == "view", 1).when(kind == "click", 2).otherwise(3)
     room = 0.45 * t.events.count()
@@ -251,15 +252,16 @@ def evidence_scores(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_quantity >= 10").select("l_orderkey", "l_linenumber", F.round(1 - F.pow(F.lit(2.0), -d / 4.8), 6).alias("score"))
 
 
-@query("""WITH w AS (SELECT DISTINCT 'b' || item_id AS unit, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark), p AS (SELECT DISTINCT doc_id AS para, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents WHERE n_chars < 2000),
+@query("""WITH w AS (SELECT DISTINCT 'b' || item_id AS unit, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark), p AS (SELECT DISTINCT doc_id AS para, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents),
 nu AS (SELECT count(DISTINCT unit) AS n FROM w), np AS (SELECT count(DISTINCT para) AS n FROM p), iu AS (SELECT term, greatest(0, ln((n + 1) / (count(*) + 0.5)) / ln(n + 1)) AS i FROM w, nu WHERE term <> '' GROUP BY term, n), ip AS (SELECT term, greatest(0, ln((n + 1) / (count(*) + 0.5)) / ln(n + 1)) AS i FROM p, np WHERE term <> '' GROUP BY term, n),
-s AS (SELECT para, unit, round(sum(iu.i * ip.i), 6) AS score FROM p JOIN w USING (term) JOIN iu USING (term) JOIN ip USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY para ORDER BY score DESC, unit) AS rank FROM s WHERE score >= 1.5) SELECT para, unit, score, rank FROM r WHERE rank <= 3""")
+s AS (SELECT para, unit, round(sum(iu.i * ip.i), 6) AS score FROM p JOIN w USING (term) JOIN iu USING (term) JOIN ip USING (term) WHERE iu.i > 0.05 AND ip.i > 0.05 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY para ORDER BY score DESC, unit) AS rank FROM s WHERE score >= 1.5) SELECT para, unit, score, rank FROM r WHERE rank <= 3""")
 def aligned_units(t: Tables) -> DataFrame:
-    """Units for each paragraph by the words they share, idf of both sides multiplied."""
+    """Units for each text by the words they share, idf of both sides multiplied; words that are
+    common on either side (0.05 or less) join nothing."""
     def terms(df: DataFrame, key: F.Column) -> DataFrame:
         return df.select(key.alias("k"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).filter("term != ''")
 
-    w, p = terms(t.benchmark, F.concat(F.lit("b"), F.col("item_id").cast("string"))), terms(t.documents.filter("n_chars < 2000"), F.col("doc_id"))
+    w, p = terms(t.benchmark, F.concat(F.lit("b"), F.col("item_id").cast("string"))), terms(t.documents, F.col("doc_id"))
 
     def weighted(x: DataFrame, n: DataFrame, name: str) -> DataFrame:
         df = x.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row is broadcast
@@ -268,7 +270,7 @@ def aligned_units(t: Tables) -> DataFrame:
     def size(df: DataFrame, key: str) -> DataFrame:
         return df.filter("text is not null").select(key).distinct().agg(F.count("*").alias("n"))
 
-    both = weighted(w, size(t.benchmark, "item_id"), "u").join(weighted(p, size(t.documents.filter("n_chars < 2000"), "doc_id"), "v"), "term")
+    both = weighted(w, size(t.benchmark, "item_id"), "u").join(weighted(p, size(t.documents, "doc_id"), "v"), "term").filter("u > 0.05 and v > 0.05")
     score = p.withColumnRenamed("k", "para").join(w.withColumnRenamed("k", "unit"), "term").join(both, "term").groupBy("para", "unit").agg(F.round(F.sum(F.col("u") * F.col("v")), 6).alias("score"))
     return R.ranked(score.filter("score >= 1.5"), ["para"], [F.desc("score"), "unit"], 3)
 
