@@ -263,7 +263,7 @@ class Index:
         """Write postings by lot; a lot's blocks go to up to eight files, so no term is one task."""
         folder = fresh(self.spark, "postings")
         dealt = found.repartition(max(lots, 12), "lot", F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions("lot", "term", "block")
-        dealt.write.partitionBy("lot").option("parquet.block.size", ROWS).parquet(folder)
+        dealt.write.partitionBy("lot").option("parquet.block.size", ROWS).option("compression", "zstd").parquet(folder)
         return folder
 
     def refresh(self, docs: DataFrame, key: str, columns: list[str], keep: list[str] | None = None, lots: int | None = None) -> dict[str, int]:

@@ -39,7 +39,7 @@ def fresh(spark: SparkSession, name: str = "table") -> str:
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written and read back: a lost executor costs a reread from here on."""
     path = path or fresh(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
