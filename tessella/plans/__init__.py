@@ -1 +1 @@
-from . import catalogue, further, indexed, more, ruled, social  # noqa: F401  (all register their queries)
+from . import catalogue, further, indexed, more, records, ruled, social  # noqa: F401  (all register their queries)
