@@ -1,4 +1,4 @@
-"""Whole documents from many inputs, and erasure through declared references, each beside its SQL."""
+"""Whole documents from many inputs, erasure through declared references and deliveries, each beside its SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly as A
 from ..operators import erasure as E
+from ..sources.delivery import Delivery
+from ..sources.tables import fresh
 from .catalogue import Tables, query
 
 
@@ -105,3 +107,23 @@ def after_erasure(t: Tables) -> DataFrame:
     order = left["orders"].select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("of_id"))
     line = left["lineitem"].select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("of_id"))
     return event.unionByName(order).unionByName(line)
+
+
+CHUNK = 250_000
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00'),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_custkey % 10 <> 0),
+c AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'withdrawn' WHEN a.o_orderkey IS NULL THEN 'new' WHEN (a.o_custkey, a.o_orderstatus, a.day) IS DISTINCT FROM (b.o_custkey, b.o_orderstatus, b.day) THEN 'changed' END AS change FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, change, (row_number() OVER (ORDER BY CASE change WHEN 'withdrawn' THEN 0 WHEN 'changed' THEN 1 ELSE 2 END, o_orderkey) - 1) // 250000 AS chunk FROM c WHERE change IS NOT NULL""")
+def second_delivery(t: Tables) -> DataFrame:
+    """What a second delivery of orders has to send after a first one was accepted, chunk by chunk."""
+    spark = t.orders.sparkSession
+    fields = ["o_orderkey", "o_custkey", "o_orderstatus", _day("o_orderdate").alias("day")]
+    first = t.orders.filter("o_orderdate < timestamp_ntz '1996-01-01 00:00:00'").select(*fields)
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")
+    second = t.orders.filter("o_custkey % 10 <> 0").select("o_orderkey", "o_custkey", urgent, fields[3])
+    target = fresh(spark, "target")
+    d = Delivery(spark, fresh(spark, "delivery"), "o_orderkey", "long")
+    d.deliver(first, lambda part, chunk: part.write.parquet(f"{target}/{chunk}"), CHUNK, "2024-01-01")
+    return d.pending(second, CHUNK).select("o_orderkey", "change", "chunk")
