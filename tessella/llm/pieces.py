@@ -20,7 +20,8 @@ from __future__ import annotations
 import heapq
 import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,25 @@ UNKNOWN = 10.0
 #: Segments that a worker keeps before it starts anew.
 KEPT = 600_000
 LOW = -1e300
+#: Longer segments have their edges found in numpy, and are passed alone.
+SHORT = 4096
+
+
+def _passed(start: np.ndarray, end: np.ndarray, value: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+    """(start, end, score, number) of edges in an order, a slice of plain numbers at a time."""
+    for a in range(0, len(order), 1 << 16):
+        x = order[a : a + (1 << 16)]
+        yield from zip(start[x].tolist(), end[x].tolist(), value[x].tolist(), x.tolist(), strict=True)
+
+
+def _forward(size: int, start: np.ndarray, end: np.ndarray, value: np.ndarray, order: np.ndarray) -> tuple[list[float], list[int]]:
+    """Best score up to each place of one segment and the edge that it ends with, by edges in the
+    order of their ends."""
+    ahead, came = [0.0] + [LOW] * size, [-1] * (size + 1)
+    for p, e, v, k in _passed(start, end, value, order):
+        if ahead[p] + v > ahead[e]:
+            ahead[e], came[e] = ahead[p] + v, k
+    return ahead, came
 
 
 class Lattice:
@@ -137,7 +157,7 @@ class Lattice:
         a = 0
         while a < len(order):
             b = a
-            while b < len(order) and (b - a + 1) * (len(segments[order[b]]) + 1) <= 1 << 18:
+            while b < len(order) and (b == a or len(segments[order[b]]) <= SHORT) and (b - a + 1) * (len(segments[order[b]]) + 1) <= 1 << 18:
                 b += 1
             b = max(b, a + 1)
             made.append(self._viterbi([segments[k] for k in order[a:b]]))
@@ -163,6 +183,8 @@ class Lattice:
         seg = np.searchsorted(end, place, "right")
         at = place - start[seg]
         value = np.where(ident >= 0, self.scores[ident], self.unknown)
+        if m == 1:
+            return self._alone(data, place, n, ident, value)
         width = int(size.max())
         # places in columns, so that a column of all segments lies together
         ahead, back = np.full((width + 1) * m, LOW), np.full((width + 1) * m, LOW)
@@ -209,10 +231,39 @@ class Lattice:
             path[odd] = self.bytes[data[np.repeat(place[e], many)[odd] + offset[odd]]]
         return top, np.where(second > LOW / 2, top - second, np.inf), np.bincount(seg[e], many, m).astype(np.int64), path.astype(np.int32)
 
-    def search(self, segment: bytes, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations (score, ids): A-star from the end, its heuristic the
-        forward Viterbi score of what is left, which no completion exceeds and the best meets."""
-        data = segment
+    def _alone(self, data: np.ndarray, place: np.ndarray, n: np.ndarray, ident: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``_viterbi`` of one segment, whose edges are passed one by one."""
+        ahead, came = _forward(len(data), place, place + n, value, np.lexsort((n, place + n)))
+        back = [LOW] * len(data) + [0.0]
+        for p, e, v, _ in _passed(place, place + n, value, np.lexsort((n, -place))):
+            if back[e] + v > back[p]:
+                back[p] = back[e] + v
+        on = []
+        e = len(data)
+        while e > 0:
+            on.append(came[e])
+            e = int(place[came[e]])
+        best = np.array(on[::-1], np.int64)
+        through = np.array(ahead)[place] + value + np.array(back)[place + n]
+        through[best] = LOW
+        second = through.max(initial=LOW)
+        many = np.where(ident[best] >= 0, 1, n[best])
+        path = np.repeat(ident[best], many)
+        odd = np.flatnonzero(path < 0)
+        offset = np.arange(len(path)) - np.repeat(np.cumsum(many) - many, many)
+        path[odd] = self.bytes[data[np.repeat(place[best], many)[odd] + offset[odd]]]
+        gap = ahead[-1] - second if second > LOW / 2 else np.inf
+        return np.array([ahead[-1]]), np.array([gap]), np.array([len(path)]), path.astype(np.int32)
+
+    def _into(self, data: bytes) -> Callable[[int], list[tuple[int, float, int]]]:
+        """The edges (place, score, id) into each place of a segment, longest first."""
+        if len(data) > SHORT:
+            place, n, ident = self.edges(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([len(data)]))
+            order = np.lexsort((place, place + n))
+            first = np.searchsorted((place + n)[order], np.arange(len(data) + 2))
+            place, ident = place[order], ident[order]
+            value = np.where(ident >= 0, self.scores[ident], self.unknown)
+            return lambda e: list(zip(*(x[first[e] : first[e + 1]].tolist() for x in (place, value, ident)), strict=True))
         into: list[list[tuple[int, float, int]]] = [[] for _ in range(len(data) + 1)]
         heads = [k for k in range(len(data) + 1) if k == len(data) or data[k] & 0xC0 != 0x80]
         for k, p in enumerate(heads[:-1]):
@@ -224,27 +275,63 @@ class Lattice:
                     into[e].append((p, float(self.scores[i]), i))
                 elif e == heads[k + 1]:
                     into[e].append((p, self.unknown, -1))
-        ahead = [LOW] * (len(data) + 1)
-        ahead[0] = 0.0
-        for e in range(1, len(data) + 1):
-            for p, v, _ in into[e]:
-                ahead[e] = max(ahead[e], ahead[p] + v)
-        agenda: list = [(-ahead[-1], 0, len(data), 0.0, ())]
-        made, out = 1, []
+        return into.__getitem__
+
+    def search(self, segment: bytes, n: int) -> list[tuple[float, list[int]]]:
+        """The ``n`` best segmentations (score, ids): A-star from the end, its heuristic the
+        forward Viterbi score of what is left, which no completion exceeds and the best meets.
+
+        Entries of the agenda name the entry they came from, and paths are spelt for the ``n``
+        that win.  The best path's own detours, one edge each, are as many different paths, so
+        nothing under the (n-1)-th of them is put on the agenda; and what leaves a place after
+        ``n`` better ones have left it cannot win."""
+        data, size = segment, len(segment)
+        into = self._into(data)
+        ahead, came = [0.0] + [LOW] * size, [-1] * (size + 1)
+        for e in range(1, size + 1):
+            for p, v, _ in into(e):
+                if ahead[p] + v > ahead[e]:
+                    ahead[e], came[e] = ahead[p] + v, p
+        detours: list[float] = []
+        e, g = size, 0.0
+        while e > 0:
+            step = 0.0
+            for p, v, _ in into(e):
+                if p == came[e]:
+                    step = v
+                elif ahead[p] > LOW / 2:
+                    heapq.heappush(detours, ahead[p] + v + g)
+                    if len(detours) > max(n - 1, 1):
+                        heapq.heappop(detours)
+            e, g = came[e], g + step
+        floor = min(ahead[-1], detours[0]) if 0 < n - 1 <= len(detours) else ahead[-1] if n == 1 else LOW / 2
+        floor -= 1e-15 * size * (1 + abs(floor))  # sums from both sides round differently
+        at, parent, ident, score = array("q", [size]), array("q", [-1]), array("q", [-1]), array("d", [0.0])
+        left = bytearray(size + 1) if n < 256 else [0] * (size + 1)
+        agenda: list[tuple[float, int]] = [(-ahead[-1], 0)]
+        out: list[tuple[float, list[int]]] = []
         while agenda and len(out) < n:
-            _, _, at, g, path = heapq.heappop(agenda)
-            if not at:
+            k = heapq.heappop(agenda)[1]
+            e, g = at[k], score[k]
+            if not e:
                 ids: list[int] = []
-                q = 0
-                for p, e, i in path:
-                    ids += [i] if i >= 0 else [int(self.bytes[x]) for x in data[p:e]]
-                    q = e
+                while parent[k] >= 0:
+                    up = parent[k]
+                    ids += [ident[k]] if ident[k] >= 0 else [int(self.bytes[x]) for x in data[at[k] : at[up]]]
+                    k = up
                 out.append((g, ids))
                 continue
-            for p, v, i in into[at]:
-                if ahead[p] > LOW / 2:
-                    heapq.heappush(agenda, (-(g + v + ahead[p]), made, p, g + v, ((p, at, i), *path)))
-                    made += 1
+            if left[e] >= n:
+                continue
+            left[e] += 1
+            for p, v, i in into(e):
+                f = g + v + ahead[p]
+                if f >= floor:
+                    heapq.heappush(agenda, (-f, len(at)))
+                    at.append(p)
+                    parent.append(k)
+                    ident.append(i)
+                    score.append(g + v)
         return out
 
     def segments(self, texts: pa.Array) -> W.Words:

@@ -1,10 +1,14 @@
 """Toxicity, language ID, segmentation and language-model scores."""
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -284,6 +288,47 @@ def test_n_best_segmentations(spark):
     assert segmentations(frame(spark).limit(0)).count() == 0
 
 
+def n_best_scores(net, segment, n):
+    """By the n best scores of every prefix, without an agenda."""
+    best = [[0.0]] + [[] for _ in segment]
+    for e in range(1, len(segment) + 1):
+        for p in range(max(0, e - net.widest), e):
+            i = net.known.get(segment[p:e], -1)
+            if i >= 0 or (e == p + 1 and segment[p] < 128):
+                best[e] += [s + (net.scores[i] if i >= 0 else net.unknown) for s in best[p]]
+        best[e] = sorted(best[e], reverse=True)[:n]
+    return best[-1]
+
+
+@pytest.mark.parametrize("size", [40, 4000, 9000])
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnop"])
+def test_long_segments_have_the_same_n_best(size, letters):
+    net = lattice(tokenizer_path("piece_bpe_32k.model"))
+    token = "".join(random.Random(size).choices(letters, k=size))
+    segment = (" " + token).encode()
+    found = net.search(segment, 4)
+    assert [s for s, _ in found] == pytest.approx(n_best_scores(net, segment, 4))
+    assert len({tuple(ids) for _, ids in found}) == 4
+    assert all(net.decode(np.array(ids)).decode() == token and sum(net.scores[i] for i in ids) == pytest.approx(s) for s, ids in found)
+    (ids, best, total, same), = net.encode(pa.array([token]), 4)
+    assert same and [s for s, _ in best] == pytest.approx([s for s, _ in found]) and total == pytest.approx(found[0][0])
+
+
+def test_a_token_of_a_million_characters():
+    """In a process of its own, whose memory is held under 1 GB."""
+    code = """
+import resource
+import pyarrow as pa
+from tessella.llm.pieces import Lattice
+from tessella.llm.tokens import tokenizer_path
+ids, best, total, same = next(Lattice(tokenizer_path("piece_bpe_32k.model")).encode(pa.array(["a" * 1_000_000]), 4))
+assert same and len(best) == 4 and best[0][0] == total
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env={**os.environ, "PYTHONPATH": root}, timeout=400)
+
+
 def test_empty_frames_keep_their_schema(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert gru.score(empty).columns[:2] == ["doc_id", "held_out"]
