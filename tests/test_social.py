@@ -78,3 +78,31 @@ def test_what_a_rule_leaves_goes_to_the_next(spark):
     assert take(5, {1: 2, 2: 1}) == [0, 1, 100]
     assert take(100, {1: 2, 2: 1}) == [*range(10), 100, 101, 102, 103]
     assert take(1, {1: 2, 2: 1}) == [100] and take(0, {1: 2, 2: 1}) == []
+
+
+def nodes(plan):
+    """All operators of a plan that has run, also those within adaptive stages."""
+    name = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return [plan, *[x for p in below for x in nodes(p)]]
+
+
+def test_old_owners_are_not_fanned_out(spark):
+    """Each user follows 20 owners of 30 subjects: before, each gave its first subjects, 8 x 20 x 4 rows."""
+    owned = [(f"o{k}", f"s{k:02d}-{j:02d}") for k in range(20) for j in range(30)]
+    follows = [(u, "owner", f"o{k}", "all", DAY + timedelta(hours=k)) for u in range(8) for k in range(20)] + [(u, "thread", f"s{k:02d}-29#1", "all", DAY + timedelta(hours=19 + k)) for u in range(8) for k in range(20)]
+    df = W.sources(spark.createDataFrame(follows, "user int, kind string, target string, level string, at timestamp"), spark.createDataFrame(owned, "owner string, subject string"), 3)
+    got = {tuple(r) for r in df.select("user", "subject", "level", "reason", "at", "partial").collect()}
+    assert got == plain_sources(follows, owned, 3)
+    joins = [p.metrics().apply("numOutputRows").value() for p in nodes(df._jdf.queryExecution().executedPlan()) if "Join" in p.getClass().getSimpleName()]
+    assert joins and max(joins) <= 8 * 20
+
+
+def test_sources_of_many_shapes(spark):
+    for seed in (5, 6, 7):
+        follows, owned = table(seed)
+        rng = random.Random(seed)
+        follows = [(u, k, t, rng.choice(["custom", "participating", "all"]) if lv == "all" else lv, a) for u, k, t, lv, a in follows]
+        f = spark.createDataFrame(follows, "user int, kind string, target string, level string, at timestamp")
+        got = {tuple(r) for r in W.sources(f, spark.createDataFrame(owned, "owner string, subject string"), 4).select("user", "subject", "level", "reason", "at", "partial").collect()}
+        assert got == plain_sources(follows, owned, 4)
