@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,10 @@ from ..sources.tables import Commits, Files, for_workers, fresh, written
 BLOCK = 11
 #: Bytes of text whose places are sorted at a time.
 CHUNK = 1 << 23
+#: Bytes of packed postings that are opened at a time; numpy needs some hundred times as many.
+OPENED = 1 << 19
+#: Bytes of text that are taken out of an Arrow batch at a time.
+TAKEN = 1 << 20
 #: Bytes of a file's groups of rows, which bounds of terms and blocks let a reader skip.
 ROWS = 1 << 22
 #: Documents, about, whose terms set the lots' bounds; any bounds are right, these are even ones.
@@ -61,10 +66,10 @@ def _names(shape: str) -> list[str]:
 def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Numbers as seven bits a byte, the least first, one binary for each stretch between ``cuts``."""
     v = values.astype(np.uint64)
-    width = np.ones(len(v), np.int64)
+    width = np.ones(len(v), np.uint8)
     for k in range(1, 6):
         width += v >= np.uint64(1 << (7 * k))
-    upto = np.concatenate(([0], np.cumsum(width)))
+    upto = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
     out = np.zeros(upto[-1], np.uint8)
     for k in range(int(width.max(initial=0))):
         more = width > k
@@ -113,18 +118,18 @@ def _postings(rowids: list[int], texts: list[list[bytes]], columns: int, bounds:
     ids = np.array(rowids, np.int64)
     term, counts = [], np.zeros((len(texts), columns), np.int64)
     for k, fields in enumerate(texts):
-        term.append(np.zeros(1, np.int64))  # the empty term stands once in each document
+        term.append(np.zeros(1, np.int32))  # the empty term stands once in each document
         for c, data in enumerate(fields):
             words = TOKEN.findall(data)
-            term.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            term.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             counts[k, c] = len(words)
     term = np.concatenate(term)
     size = counts.sum(1)
-    doc = np.repeat(np.arange(len(texts)), size + 1)
-    column = np.repeat(np.tile(np.arange(-1, columns), len(texts)), np.insert(counts, 0, 1, 1).ravel())
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)
+    column = np.repeat(np.tile(np.arange(-1, columns, dtype=np.int32), len(texts)), np.insert(counts, 0, 1, 1).ravel())
     # places go on over the columns with a gap, so that no phrase goes from one into the next
-    place = np.arange(len(term)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1) + column
-    order = np.lexsort((ids[doc] >> shift, term))  # stable: documents and places stay in order
+    place = np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(size + 1) - size - 1).astype(np.int32), size + 1) + column
+    order = np.lexsort(((ids >> shift)[doc], term)).astype(np.int32)  # stable: documents and places stay in order
     term, doc, place, column = term[order], doc[order], place[order], column[order]
     entry = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))))
     e_term, e_doc = term[entry], doc[entry]
@@ -159,60 +164,100 @@ def postings(rows: DataFrame, columns: list[str], bounds: list[str], shift: int
         texts: list[list[bytes]] = []
         held = 0
         for batch in batches:
-            for rowid, *fields in zip(*(batch.column(k).to_pylist() for k in range(len(columns) + 1)), strict=True):
-                ids.append(rowid)
-                texts.append([(x or "").lower().encode() for x in fields])
-                held += sum(map(len, texts[-1]))
-                if held >= CHUNK or len(ids) >= 1 << shift:
-                    yield _postings(ids, texts, len(columns), bounds, shift)
-                    ids, texts, held = [], [], 0
+            size = sum(_sizes(batch.column(k + 1)) for k in range(len(columns)))
+            for part in _in_parts(batch, size, TAKEN):
+                for rowid, *fields in zip(*(part.column(k).to_pylist() for k in range(len(columns) + 1)), strict=True):
+                    ids.append(rowid)
+                    texts.append([(x or "").lower().encode() for x in fields])
+                    held += sum(map(len, texts[-1]))
+                    if held >= CHUNK or len(ids) >= 1 << shift:
+                        yield _postings(ids, texts, len(columns), bounds, shift)
+                        ids, texts, held = [], [], 0
+                        pa.default_memory_pool().release_unused()
         if ids:
             yield _postings(ids, texts, len(columns), bounds, shift)
 
     return rows.select("rowid", *columns).mapInArrow(work, _shape(len(columns)))
 
 
-def _opened(row: dict, columns: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, lengths, counts by column, where places begin and places of a posting."""
-    flat, m = unpacked(row["body"]), row["n"]
-    tf = flat[2 * m : (2 + columns) * m].reshape(columns, m).T
+def _in_parts(batch: pa.RecordBatch, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch's rows of about ``most`` bytes together, one row at least."""
+    upto, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        held = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, held + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _opened(bodies: list[bytes], m: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All entries of some postings of ``m`` entries each: the posting, place in the block, length,
+    counts by column, where places begin and places."""
+    data = b"".join(bodies)
+    flat = unpacked(data)
+    said = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8) < 128)))
+    base = said[np.concatenate(([0], np.cumsum([len(x) for x in bodies])))]
+    row = np.repeat(np.arange(len(m)), m)
+    at = base[row] + np.arange(len(row)) - (np.cumsum(m) - m)[row]
+    step = m[row]
+    ids, lens = flat[at], flat[at + step]
+    tf = np.stack([flat[at + (2 + c) * step] for c in range(columns)], 1)
     ends = np.concatenate(([0], np.cumsum(tf.sum(1))))
-    step = flat[(2 + columns) * m :]
-    run = np.concatenate(([0], np.cumsum(step)))
-    place = run[1:] - np.repeat(run[ends[:-1]], np.diff(ends))
-    return flat[:m] + (row["block"] << shift), flat[m : 2 * m], tf, ends, place
+    p = np.diff(base) - (2 + columns) * m
+    own = np.repeat(np.arange(len(m)), p)
+    run = np.concatenate(([0], np.cumsum(flat[base[own] + (2 + columns) * m[own] + np.arange(len(own)) - (np.cumsum(p) - p)[own]])))
+    return row, ids, lens, tf, ends, run[1:] - np.repeat(run[ends[:-1]], np.diff(ends))
 
 
 def _entries(columns: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, lens, tf, ends, at = _opened(row, columns, shift)
+            for part in _in_parts(batch, _sizes(batch.column("body")), OPENED):
+                m, block = part.column("n").to_numpy().astype(np.int64), part.column("block").to_numpy()
+                row, ids, lens, tf, ends, at = _opened(part.column("body").to_pylist(), m, columns)
                 places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([row["term"]] * len(ids), pa.string()), pa.array(ids), pa.array(lens, pa.int32()), _lists(tf), places], _names(HIT))
+                yield pa.RecordBatch.from_arrays([part.column("term").take(pa.array(row)), pa.array(ids + (block[row] << shift)), pa.array(lens, pa.int32()), _lists(tf), places], _names(HIT))
 
     return run
 
 
-def _without_dead(columns: int, shift: int):
-    """Postings less the row numbers in their ``dead`` column, without those left empty."""
+def _without_dead(columns: int, shift: int, bounds: list[str]):
+    """Postings in their lots by ``bounds``, less the places in the block whose bits are set in
+    their ``dead`` column, without those left empty."""
+    names = _names(_shape(columns))
+    cuts = np.array(bounds, object)
+
+    def lots(terms: pa.Array) -> pa.Array:
+        own = np.array(terms.to_pylist(), object)
+        return pa.array(np.searchsorted(cuts, own, "right") if bounds else np.zeros(len(own), np.int64), pa.int32())
+
+    def left(part: pa.RecordBatch) -> pa.RecordBatch:
+        m = part.column("n").to_numpy().astype(np.int64)
+        row, ids, lens, tf, ends, at = _opened(part.column("body").to_pylist(), m, columns)
+        bits = np.frombuffer(b"".join(part.column("dead").to_pylist()), np.uint8).reshape(len(m), -1)
+        live = (bits[row, ids >> 3] >> (ids & 7).astype(np.uint8)) & 1 == 0
+        n, places = np.bincount(row[live], minlength=len(m)), np.diff(ends)
+        kept, n = np.flatnonzero(n), n[n > 0]
+        if not len(kept):
+            return part.slice(0, 0).select(names)
+        to, lens, tf = np.concatenate(([0], np.cumsum(n))), lens[live], tf[live]
+        body = _body(ids[live], lens, tf, at[np.repeat(live, places)], np.concatenate(([0], np.cumsum(places[live]))), to)
+        term, block = part.column("term").take(pa.array(kept)), part.column("block").take(pa.array(kept))
+        most = [pa.array(np.maximum.reduceat(tf[:, c], to[:-1]), pa.int32()) for c in range(columns)]
+        return pa.RecordBatch.from_arrays([part.column("lot").take(pa.array(kept)), term, block, pa.array(n, pa.int32()), pa.array(np.minimum.reduceat(lens, to[:-1]), pa.int32()), *most, body], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                dead = row.pop("dead")
-                if dead:
-                    ids, lens, tf, ends, at = _opened(row, columns, shift)
-                    live = ~np.isin(ids, dead)
-                    if not live.any():
-                        continue
-                    n = np.diff(ends)
-                    kept = np.concatenate(([0], np.cumsum(n[live])))
-                    body = _body(ids[live] & ((1 << shift) - 1), lens[live], tf[live], at[np.repeat(live, n)], kept, np.array([0, int(live.sum())]))
-                    row |= {"n": int(live.sum()), "least": int(lens[live].min()), "body": body[0].as_py()} | {f"most{c}": int(tf[live, c].max()) for c in range(columns)}
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, batch.schema.remove(batch.schema.get_field_index("dead")))
+            batch = batch.set_column(batch.schema.get_field_index("lot"), "lot", lots(batch.column("term")))
+            none = pc.is_null(batch.column("dead"))
+            yield batch.filter(none).select(names)
+            some = batch.filter(pc.invert(none))
+            for part in _in_parts(some, _sizes(some.column("body")), OPENED):
+                yield left(part)
 
     return run
 
@@ -241,6 +286,8 @@ class Index:
         self.spark, self.path, self._commits = spark, path, Commits(spark, path)
         self.number, self.state = self._commits.last()
         self.shift = self.state.get("shift", shift)
+        if self.shift > 15:
+            raise ValueError("a block's dead entries are a bitmap of 32,768 bits at most")
 
     @property
     def _posting(self) -> str:
@@ -308,14 +355,15 @@ class Index:
         """One segment of all, without dead entries, in the first segment's lots."""
         number, state = self.number + 1, dict(self.state)
         bounds = state["segments"][0]["bounds"]
-        lot = F.lit(0)
-        if bounds:
-            lot = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("term")))
         rows = reduce(DataFrame.union, [self._folder(s).withColumn("segment", F.lit(s["number"])) for s in state["segments"]])
+        none = F.lit(None).cast("binary").alias("dead")
         if state["dead"]:
-            lists = self._dead().groupBy(F.shiftright("rowid", self.shift).alias("block"), "segment").agg(F.collect_set("rowid").alias("dead"))  # at most a block's rows
-            rows = rows.join(lists, ["block", "segment"], "left").select(*_names(self._posting), "dead").mapInArrow(_without_dead(len(state["columns"]), self.shift), self._posting)
-        folder = self._deal(rows.drop("segment").withColumn("lot", lot.cast("int")), len(bounds) + 1)
+            place = F.col("rowid").bitwiseAND((1 << self.shift) - 1)
+            bits = F.substring(F.bitmap_construct_agg(place), 1, max(1, (1 << self.shift) // 8))  # a bit a row of the block
+            rows = rows.join(self._dead().groupBy(F.shiftright("rowid", self.shift).alias("block"), "segment").agg(bits.alias("dead")), ["block", "segment"], "left")
+            none = "dead"
+        rows = rows.select(*_names(self._posting), none).mapInArrow(_without_dead(len(state["columns"]), self.shift, bounds), self._posting)
+        folder = self._deal(rows, len(bounds) + 1)
         at = fresh(self.spark, "documents")
         self.documents().withColumn("_segment", F.lit(number)).repartitionByRange("rowid").sortWithinPartitions("rowid").write.parquet(at)
         self._commit(state | {"segments": [{"number": number, "bounds": bounds, "folder": folder}], "dead": None, "documents": at}, number)
