@@ -198,3 +198,29 @@ def test_incremental_and_deadlines(stream, spark, tmp_path):
     assert len(drain(E.incremental(stream, "event_id"), tmp_path)) == 12
     jobs = spark.createDataFrame([("a", dt.datetime(2024, 1, 2)), ("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 3, 1))], "job string, due timestamp")
     assert [(r.job, r.due.day) for r in E.deadlines(jobs, "2024-02-01").collect()] == [("a", 1)]
+
+
+def test_similar_drops_what_cannot_be_among_the_first(spark):
+    """Before, all pairs were dealt by pair to add their weights; now they are scored where they are made."""
+    import random
+
+    from tests.test_social import nodes
+
+    rng = random.Random(3)
+    rows = [(d, "w", f"t{d % 3}") for d in range(60)] + [(d, "w", "all") for d in range(40)] + [(d, "v", f"c{rng.randrange(4)}") for d in range(60)] + [(1, "unknown", "z"), (2, "unknown", "z")]
+    df = R.similar(spark.createDataFrame(rows, "d int, kind string, t string"), "d", "kind", "t", {"w": 3.0, "v": 1.0}, 60, 3, 0.5)
+    got = {(r.doc, r.other, r.score, r.rank) for r in df.collect()}
+    import math
+    bag = {d: {(k, t) for x, k, t in rows if x == d and k != "unknown"} for d in range(60)}
+    count = {}
+    for keys in bag.values():
+        for key in keys:
+            count[key] = count.get(key, 0) + 1
+    w = {key: {"w": 3.0, "v": 1.0}[key[0]] * math.log(1 + 60 / c) for key, c in count.items()}
+    want = set()
+    for d in bag:
+        scored = sorted((-round(sum(w[x] for x in bag[d] & bag[o]), 6), o) for o in bag if o != d and any(count[x] <= 30 for x in bag[d] & bag[o]))
+        want |= {(d, o, -s, j + 1) for j, (s, o) in enumerate(scored[:3]) if -s >= 0.5}
+    assert got == want
+    dealt = [p.outputPartitioning().toString() for p in nodes(df._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert dealt and not [x for x in dealt if "doc" in x and "other" in x]
