@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import Commits, Files, for_workers, fresh, written
+from ..sources.tables import Commits, Files, for_workers, fresh, in_parts, sizes, written
 
 #: Row numbers of a block, as a shift (16 at most).
 BLOCK = 11
@@ -164,8 +164,8 @@ def postings(rows: DataFrame, columns: list[str], bounds: list[str], shift: int
         texts: list[list[bytes]] = []
         held = 0
         for batch in batches:
-            size = sum(_sizes(batch.column(k + 1)) for k in range(len(columns)))
-            for part in _in_parts(batch, size, TAKEN):
+            size = sum(sizes(batch.column(k + 1)) for k in range(len(columns)))
+            for part in in_parts(batch, size, TAKEN):
                 for rowid, *fields in zip(*(part.column(k).to_pylist() for k in range(len(columns) + 1)), strict=True):
                     ids.append(rowid)
                     texts.append([(x or "").lower().encode() for x in fields])
@@ -180,20 +180,6 @@ def postings(rows: DataFrame, columns: list[str], bounds: list[str], shift: int
     return rows.select("rowid", *columns).mapInArrow(work, _shape(len(columns)))
 
 
-def _in_parts(batch: pa.RecordBatch, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of a batch's rows of about ``most`` bytes together, one row at least."""
-    upto, at = np.cumsum(size), 0
-    while at < batch.num_rows:
-        held = upto[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(upto, held + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
-def _sizes(column: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _opened(bodies: list[bytes], m: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All entries of some postings of ``m`` entries each: the posting, place in the block, length,
     counts by column, where places begin and places."""
@@ -216,7 +202,7 @@ def _opened(bodies: list[bytes], m: np.ndarray, columns: int) -> tuple[np.ndarra
 def _entries(columns: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _in_parts(batch, _sizes(batch.column("body")), OPENED):
+            for part in in_parts(batch, sizes(batch.column("body")), OPENED):
                 m, block = part.column("n").to_numpy().astype(np.int64), part.column("block").to_numpy()
                 row, ids, lens, tf, ends, at = _opened(part.column("body").to_pylist(), m, columns)
                 places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
@@ -256,7 +242,7 @@ def _without_dead(columns: int, shift: int, bounds: list[str]):
             none = pc.is_null(batch.column("dead"))
             yield batch.filter(none).select(names)
             some = batch.filter(pc.invert(none))
-            for part in _in_parts(some, _sizes(some.column("body")), OPENED):
+            for part in in_parts(some, sizes(some.column("body")), OPENED):
                 yield left(part)
 
     return run

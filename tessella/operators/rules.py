@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import for_workers
+from ..sources.tables import for_workers, in_parts, sizes
 
 #: Rules an automaton is built of at most.
 RULES = 100_000
+#: Bytes of text that are taken out of an Arrow batch at a time.
+TAKEN = 1 << 20
 SENTENCE = re.compile(r"[.!?]+[ \n]+")
 NOT_WORD = re.compile(r"[^a-z0-9]+")
 
@@ -67,7 +69,7 @@ def matches(docs: DataFrame, rules: DataFrame, key: str, fields: list[str], own:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, mark = automaton(table), re.compile(own) if own else None
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, sum(sizes(whole.column(k + 1)) for k in range(len(fields))), TAKEN)):
             keys, names, ids, counts, amounts = [], [], [], [], []
             if made is not None:
                 for k, field in enumerate(fields):

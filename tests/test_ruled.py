@@ -103,3 +103,16 @@ def test_fill_is_the_plain_loop(spark, most, sizes, monkeypatch):
     df = spark.createDataFrame(items, "k long, size long").repartition(3)
     assert {r.k: r.block for r in B.filled(df, ["k"], "size", most).collect()} == want
     assert B.filled(df.limit(0), ["k"], "size", most).count() == 0
+
+
+def test_batches_are_taken_in_stretches_of_bytes():
+    """Before, a whole Arrow batch of 10,000 texts and all its matches stood in Python at once."""
+    import pyarrow as pa
+    from tessella.sources.tables import in_parts, sizes
+
+    texts = ["x" * 10] * 50 + [None] + ["y" * 500] + ["é" * 10] * 10
+    batch = pa.RecordBatch.from_pydict({"k": list(range(62)), "t": texts})
+    parts = list(in_parts(batch, sizes(batch.column("t")), 100))
+    assert [x for p in parts for x in p.column("t").to_pylist()] == texts
+    assert all(sum(len((x or "").encode()) for x in p.column("t").to_pylist()) <= 100 or p.num_rows == 1 for p in parts)
+    assert len(parts) > 7 and not list(in_parts(batch.slice(0, 0), sizes(batch.column("t").slice(0, 0)), 100))
