@@ -37,6 +37,12 @@ def phrase_count(toks: Column, words: list[str]) -> Column:
     return F.size(F.filter(at, lambda i: reduce(lambda a, b: a & b, [F.try_element_at(toks, i + k) == w for k, w in enumerate(words)])))
 
 
+def stands(text: Column, words: list[str]) -> Column:
+    """Whether words of ASCII letters and digits follow each other in a text, which is read once and not split."""
+    gap = "[^a-z0-9]"
+    return F.rlike(F.lower(text), F.lit(f"(^|{gap}){f'{gap}+'.join(words)}($|{gap})"))
+
+
 def has_phrase(toks: Column, words: list[str]) -> Column:
     """The words in sequence; the cheap test that all occur comes first."""
     return reduce(lambda a, b: a & b, [F.array_contains(toks, w) for w in words]) & (phrase_count(toks, words) > 0)

@@ -102,3 +102,15 @@ def test_without_the_corpus_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "tessella" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_a_phrase_is_found_without_splitting_texts(spark):
+    """Before, each text that may hold the words was split and its places listed."""
+    from tessella.operators import search as Q
+    from tessella.plans.catalogue import QUERIES
+
+    texts = ["Apache  License", "xapache license", "apache licenses", "the apache, -- LICENSE.", "apache\nlicense", "apache of license apache", "", None, "apachelicense", "apache apache license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").filter(Q.stands(F.col("t"), ["apache", "license"]))
+    assert {r.id for r in df.collect()} == {0, 3, 4, 9}
+    plan = QUERIES["search_phrase"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "RLIKE" in plan
