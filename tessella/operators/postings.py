@@ -65,15 +65,16 @@ def _names(shape: str) -> list[str]:
 
 def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Numbers as seven bits a byte, the least first, one binary for each stretch between ``cuts``."""
-    v = values.astype(np.uint64)
+    v = values.view(np.uint32) if values.dtype == np.int32 else values.astype(np.uint64)
+    kind = v.dtype.type
     width = np.ones(len(v), np.uint8)
-    for k in range(1, 6):
-        width += v >= np.uint64(1 << (7 * k))
+    for k in range(1, 5 if kind is np.uint32 else 6):
+        width += v >= kind(1 << (7 * k))
     upto = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
     out = np.zeros(upto[-1], np.uint8)
     for k in range(int(width.max(initial=0))):
         more = width > k
-        out[upto[:-1][more] + k] = ((v[more] >> np.uint64(7 * k)) & np.uint64(127)) | (np.uint64(128) * (width[more] > k + 1))
+        out[upto[:-1][more] + k] = ((v[more] >> kind(7 * k)) & kind(127)) | (kind(128) * (width[more] > k + 1))
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(upto[cuts].astype(np.int32)), pa.py_buffer(out)])
 
 
@@ -95,7 +96,7 @@ def _body(ids: np.ndarray, lens: np.ndarray, tf: np.ndarray, place: np.ndarray,
     step[begin] = place[begin]
     p = np.diff(ends[cuts])
     base = np.concatenate(([0], np.cumsum(m * (2 + columns) + p)))
-    flat = np.zeros(base[-1], np.int64)
+    flat = np.zeros(base[-1], np.int32)
     row = np.repeat(np.arange(len(m)), m)
     at = base[row] + np.arange(len(ids)) - cuts[row]
     flat[at], flat[at + m[row]] = ids, lens

@@ -153,3 +153,17 @@ def test_dead_entries_are_taken_out_many_postings_at_a_time(monkeypatch):
     want = pa.Table.from_batches([P._postings(live, [texts[k] for k in live], 2, ["it"], 3)])
     rows = lambda t: sorted(map(tuple, zip(*(t.column(c).to_pylist() for c in want.column_names), strict=True)))
     assert rows(got) == rows(want) and np.all(np.array(got.column("n")) > 0)
+
+
+def test_memory_of_a_word_while_postings_are_made():
+    """Before, 326 bytes a word stood at once, with 64-bit numbers throughout."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(500)]
+    texts = [[b"", " ".join(rng.choices(words, k=400)).encode()] for _ in range(500)]
+    tracemalloc.start()
+    P._postings(list(range(500)), texts, 2, [], 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / 200_000 < 260
