@@ -152,33 +152,45 @@ class Network:
         return net
 
     def gates(self, h: np.ndarray, x: np.ndarray) -> tuple:
-        """Next state and what backpropagation needs, ``x`` the inputs with their biases."""
+        """Next state and what backpropagation needs, ``x`` the inputs with their biases.
+
+        Both functions by ``exp``, which numpy has faster than ``tanh``: where it is infinite they are 0 or 1.
+        """
         g = h @ self.u
-        zr = np.tanh(0.5 * (x[:, : 2 * STATE] + g[:, : 2 * STATE]))
-        zr *= 0.5
-        zr += 0.5
+        zr = x[:, : 2 * STATE] + g[:, : 2 * STATE]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :STATE], zr[:, STATE:]
         gc = g[:, 2 * STATE :]
-        c = np.tanh(x[:, 2 * STATE :] + r * gc)
-        return c + z * (h - c), z, r, gc, c
-
-    def step(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        return self.gates(h, self.x[unit] + self.b)[0]
+        c = r * gc
+        c += x[:, 2 * STATE :]
+        c += c
+        np.exp(c, out=c)
+        c += 1
+        np.divide(-2, c, out=c)
+        c += 1
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, gc, c
+
+    def logits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of each class's units, their biases as a last row."""
+        return np.concatenate((self.wc, self.bc[None])), np.concatenate((self.ww, self.bw[:, None]), 1)
 
     def log_probability(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Of each unit after its state; units of a class share one product of matrices."""
-        cls, place = (unit % CLASSES).astype(np.uint8), unit // CLASSES
-        order = np.argsort(cls, kind="stable")
-        h, cls, place = h[order], cls[order], place[order]
-        rows = np.arange(len(h))
-        s = h @ self.wc + self.bc
+        order, cls, place, edge, h = by_class(h, unit)
+        rows, (wc, ww) = np.arange(len(h)), self.logits()
+        s = h @ wc
         out = s[rows, cls]
         out -= np.log(np.exp(s, out=s) @ ONES)
-        edge = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in range(CLASSES):
             a, b = edge[k], edge[k + 1]
             if a < b:
-                s = h[a:b] @ self.ww[k] + self.bw[k]
+                s = h[a:b] @ ww[k]
                 out[a:b] += s[rows[: b - a], place[a:b]]
                 out[a:b] -= np.log(np.exp(s, out=s) @ ONES)
         back = np.empty_like(out)
@@ -186,6 +198,23 @@ class Network:
         return back
 
 
+def by_class(h: np.ndarray, unit: np.ndarray) -> tuple:
+    """(order by class; in that order classes, places, each class's first, states with a 1 for the bias)."""
+    cls = (unit % CLASSES).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")
+    cls, place = cls[order], unit[order] // CLASSES
+    wide = np.ones((len(h), STATE + 1), np.float32)
+    wide[:, :STATE] = h.take(order, 0)
+    return order, cls, place, np.searchsorted(cls, np.arange(CLASSES + 1)).tolist(), wide
+
+
+def less_told(p: np.ndarray, told: np.ndarray) -> None:
+    """Rows of logits to their softmax less 1 at what is told, in place."""
+    np.exp(p, out=p)
+    p *= (1 / (p @ ONES))[:, None]
+    p.reshape(-1)[np.arange(len(p)) * p.shape[1] + told] -= 1
+
+
 class Trainer:
     """Truncated backpropagation over a stream of texts (Adagrad steps).
 
@@ -229,49 +258,43 @@ class Trainer:
         if whole < n:
             self.window_step(np.ascontiguousarray(flow[0, whole:, None]), flow[1, whole:, None] == 0, np.zeros((1, STATE), np.float32))
 
+    @np.errstate(over="ignore")
     def gradient(self, units: np.ndarray, goes_on: np.ndarray, state: np.ndarray) -> tuple:
         """(gradient, rows of ``x`` it touches and theirs, the last state) of the loss of a window (steps, lanes)."""
         net, (n, lanes) = self.net, units.shape
         grad = self.grad  # its embedding is not used
-        grad.flat[net.x.size :] = 0
         keep = goes_on.astype(np.float32)[:, :, None]
-        x = net.x[units]
+        x = net.x.take(units, 0)
         x += net.b
-        before, kept = np.empty((n, lanes, STATE), np.float32), []
+        before = np.empty((n, lanes, STATE), np.float32)
+        z, r, gc, c = (np.empty_like(before) for _ in range(4))
         for t in range(n):
-            before[t] = state * keep[t]
-            kept.append(net.gates(before[t], x[t]))
-            state = kept[t][0]
-        h, unit = before.reshape(-1, STATE), units.reshape(-1)
-        cls, place = (unit % CLASSES).astype(np.uint8), unit // CLASSES
+            np.multiply(state, keep[t], out=before[t])
+            state, z[t], r[t], gc[t], c[t] = net.gates(before[t], x[t])
+        unit = units.reshape(-1)
+        order, cls, place, edge, h = by_class(before.reshape(-1, STATE), unit)
         # a trainer makes about 1,000 steps of Adagrad, so no weight passes 4 and no logit 70: exp cannot overflow
-        p = h @ net.wc
-        p += net.bc
-        np.exp(p, out=p)
-        p *= 1 / (p @ ONES)[:, None]
-        p[np.arange(len(h)), cls] -= 1
-        grad.wc += h.T @ p
-        grad.bc += p.sum(0)
-        dh = p @ net.wc.T
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-        hs, place, ds, rows = h[order], place[order], np.empty_like(h), np.arange(len(h))
-        for k in range(CLASSES):
-            a, b = edge[k], edge[k + 1]
-            if a < b:
-                p = hs[a:b] @ net.ww[k]
-                p += net.bw[k]
-                np.exp(p, out=p)
-                p *= 1 / (p @ ONES)[:, None]
-                p[rows[: b - a], place[a:b]] -= 1
-                grad.ww[k] = hs[a:b].T @ p
-                grad.bw[k] = p.sum(0)
-                ds[a:b] = p @ net.ww[k].T
-        dh[order] += ds
+        wc, ww = net.logits()
+        p = h @ wc
+        less_told(p, cls)
+        g = p.T @ h
+        grad.wc[:], grad.bc[:] = g[:, :STATE].T, g[:, STATE]
+        ds = p @ net.wc.T
+        some = [(k, edge[k], edge[k + 1]) for k in range(CLASSES) if edge[k] < edge[k + 1]]
+        for k, a, b in some:
+            np.matmul(h[a:b], ww[k], out=p[a:b])
+        less_told(p, place)
+        g, part = np.zeros_like(ww), np.empty_like(ds)
+        for k, a, b in some:
+            np.matmul(h[a:b].T, p[a:b], out=g[k])
+            np.matmul(p[a:b], net.ww[k].T, out=part[a:b])
+        grad.ww[:], grad.bw[:] = g[:, :STATE], g[:, STATE]
+        ds += part
+        dh = np.empty_like(ds)
+        dh[order] = ds
         dh = dh.reshape(n, lanes, STATE)
         back = np.zeros((lanes, STATE), np.float32)
         dx, dg = np.empty((n, lanes, 3 * STATE), np.float32), np.empty((n, lanes, 3 * STATE), np.float32)
-        z, r, gc, c = (np.stack([k[i] for k in kept]) for i in (1, 2, 3, 4))
         to_c = (1 - z) * (1 - c * c)
         to_z, to_r, turned = (before - c) * z * (1 - z), gc * r * (1 - r), np.ascontiguousarray(net.u.T)
         for t in range(n - 1, -1, -1):
@@ -286,11 +309,14 @@ class Trainer:
             back += dh[t]
             back *= keep[t]
         flat = dx.reshape(-1, 3 * STATE)
-        grad.b += flat.sum(0)
-        grad.u += h.T @ dg.reshape(-1, 3 * STATE)
+        grad.b[:] = np.ones(len(flat), np.float32) @ flat
+        grad.u[:] = before.reshape(-1, STATE).T @ dg.reshape(-1, 3 * STATE)
         by = np.argsort(unit.astype(np.uint16), kind="stable")
-        start = np.flatnonzero(np.concatenate(([True], unit[by][1:] != unit[by][:-1])))
-        return grad, unit[by][start], np.add.reduceat(flat[by], start), state
+        unit = unit[by]
+        start = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        # two columns as one complex number: the same sums, and numpy makes them in half the steps
+        gx = np.add.reduceat(flat.take(by, 0).view(np.complex64), start).view(np.float32)
+        return grad, unit[start], gx, state
 
     def window_step(self, units: np.ndarray, goes_on: np.ndarray, state: np.ndarray) -> np.ndarray:
         grad, rows, gx, state = self.gradient(units, goes_on, state)
@@ -319,6 +345,7 @@ def train(net: Network, texts: list[np.ndarray], lanes: int = 64, window: int =
     own.finish()
 
 
+@np.errstate(over="ignore")
 def score_units(net: Network, units: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log probability of each text's units, the state carried from end to end."""
     size = np.diff(first)
@@ -337,6 +364,7 @@ def score_units(net: Network, units: np.ndarray, first: np.ndarray) -> np.ndarra
             held = 0
 
     who = np.arange(len(size))
+    x = net.x + net.b
     for t in range(int(length[0]) if len(size) else 0):
         active = int(np.searchsorted(-length, -t, "left")) if length[active - 1] <= t else active
         h = h[:active]
@@ -347,7 +375,7 @@ def score_units(net: Network, units: np.ndarray, first: np.ndarray) -> np.ndarra
         held += active
         if held >= 1 << 15:
             flush()
-        h = net.step(h, unit)
+        h = net.gates(h, x.take(unit, 0))[0]
     flush()
     out = np.empty(len(size))
     out[order] = total

@@ -94,6 +94,31 @@ def test_gradients():
         assert slope == pytest.approx(grad.flat[k], rel=0.05, abs=5e-3)
 
 
+def test_kernels_against_plain_formulas():
+    rng = np.random.default_rng(5)
+    net = gru.Network.fresh(rng.integers(0, 50, gru.UNITS).astype(float))
+    net.b[:] = rng.normal(size=net.b.shape)
+    h, x = rng.normal(size=(40, gru.STATE)).astype(np.float32), rng.normal(0, 3, (40, 3 * gru.STATE)).astype(np.float32)
+    x[0], x[1] = 300, -300  # beyond what exp can hold
+    with np.errstate(over="ignore"):
+        new, z, r, gc, c = net.gates(h, x)
+    s, g = gru.STATE, (h @ net.u).astype(float)
+    want_z, want_r = (0.5 + 0.5 * np.tanh(0.5 * (x[:, a : a + s] + g[:, a : a + s])) for a in (0, s))
+    want_c = np.tanh(x[:, 2 * s :] + want_r * g[:, 2 * s :])
+    for got, want in ((z, want_z), (r, want_r), (gc, g[:, 2 * s :]), (c, want_c), (new, want_c + want_z * (h - want_c))):
+        assert np.allclose(got, want, atol=2e-6) and got.dtype == np.float32
+    unit = rng.integers(0, gru.UNITS, 40)
+    order, cls, place, edge, wide = gru.by_class(h, unit)
+    assert (cls == unit[order] % gru.CLASSES).all() and (place == unit[order] // gru.CLASSES).all() and edge[-1] == 40
+    assert all((cls[a:b] == k).all() for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)))
+    logits = wide @ net.logits()[0]
+    want = np.exp(h[order] @ net.wc + net.bc)
+    want /= want.sum(1, keepdims=True)
+    want[np.arange(40), cls] -= 1
+    gru.less_told(logits, cls)
+    assert np.allclose(logits, want, atol=1e-6)
+
+
 def test_every_token_trains(spark, monkeypatch):
     """Several trainers read all tokens of the fold, the same in any layout, and hold a buffer only."""
     read = []
