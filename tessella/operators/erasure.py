@@ -43,6 +43,10 @@ def closure(tables: dict[str, DataFrame], keys: dict[str, list[str]], refs: list
     round reads the tables that its finds touch, and a lost executor costs a reread.  Only
     whether a round found anything comes to the driver.  Rows that share a key go together; null
     keys count as equal.  Seeds that no row has do nothing.
+
+    Finds are kept by what found them, since a ``cascade`` and an ``orphan`` over the same columns
+    answer each other: children that went with their parent need not ask for it, nor a parent that
+    has no child left for its children.  A join by columns of the key finds whole keys at once.
     """
     spark = next(iter(tables.values())).sparkSession
     used = {t: dict.fromkeys(keys[t]) for t in tables}
@@ -51,47 +55,74 @@ def closure(tables: dict[str, DataFrame], keys: dict[str, list[str]], refs: list
         used[r.parent] |= dict.fromkeys(r.parent_columns)
     slim = {t: df.select(*used[t]) for t, df in tables.items()}
     paths: dict[str, list[str]] = {t: [] for t in tables}
+    over = {"cascade": set(), "orphan": set()}
+    for r in refs:
+        over.setdefault(r.rule, set()).add((r.child, r.columns, r.parent, r.parent_columns))
 
     def gone(t: str) -> DataFrame:
         return spark.read.schema(slim[t].schema).parquet(*paths[t]) if paths[t] else spark.createDataFrame([], slim[t].schema)
 
-    def settle(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        new = {}
-        for t, rows in found.items():
-            if paths[t]:
-                rows = _meet(rows, keys[t], gone(t).select(*keys[t]), "left_anti", safe=True)
-            path = fresh(spark, f"erased-{t}")
-            rows.distinct().write.parquet(path)
-            kept = spark.read.schema(slim[t].schema).parquet(path)
-            if not kept.isEmpty():
-                new[t] = kept
-                paths[t].append(path)
+    def left_of(t: str, rows: DataFrame) -> DataFrame:
+        return _meet(rows, keys[t], gone(t).select(*keys[t]), "left_anti", safe=True) if paths[t] else rows
+
+    def put(t: str, rows: DataFrame) -> tuple[str, DataFrame] | None:
+        path = fresh(spark, f"erased-{t}")
+        rows.write.parquet(path)
+        kept = spark.read.schema(slim[t].schema).parquet(path)
+        return None if kept.isEmpty() else (path, kept)
+
+    def same_keys(t: str, rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """All rows with the keys of ``rows``, which are found by the columns ``by``."""
+        return rows if by and set(by) <= set(keys[t]) else _meet(slim[t], keys[t], rows.select(*keys[t]), "left_semi", safe=True)
+
+    def orphans(parent: str, namers: list[Ref], front: list[tuple]) -> DataFrame | None:
+        """Rows of ``parent`` that the front's rows named and that nothing left names."""
+        candidates = None
+        for r in namers:
+            twin = (r.child, r.columns, r.parent, r.parent_columns)
+            # every row that the twin found names a parent that is gone, and no other has its columns
+            answered = twin in over["cascade"] and set(keys[parent]) <= set(r.parent_columns) and set(r.columns) <= set(keys[r.child])
+            for t, by, rows in front:
+                if t == r.child and not (answered and by == ("cascade", *twin)):
+                    more = _meet(slim[parent], r.parent_columns, rows.select(*r.columns), "left_semi")
+                    candidates = more if candidates is None else candidates.unionByName(more)
+        made = None if candidates is None else put(parent, left_of(parent, candidates).distinct())
+        if made is None:
+            return None
+        candidates = made[1]
+        for r in namers:
+            near = _meet(slim[r.child].select(*dict.fromkeys((*keys[r.child], *r.columns))), r.columns, candidates.select(*r.parent_columns), "left_semi")
+            candidates = _meet(candidates, r.parent_columns, left_of(r.child, near).select(*r.columns), "left_anti")
+        return candidates
+
+    def settle(found: list[tuple]) -> list[tuple]:
+        new = []
+        for t, by, rows in found:
+            if made := put(t, left_of(t, rows).distinct()):
+                paths[t].append(made[0])
+                new.append((t, by, made[1]))
         return new
 
-    def same_keys(t: str, rows: DataFrame) -> DataFrame:
-        return _meet(slim[t], keys[t], rows.select(*keys[t]), "left_semi", safe=True)
-
-    front = settle({t: same_keys(t, s) for t, s in seeds.items()})
+    front = settle([(t, None, same_keys(t, s)) for t, s in seeds.items()])
     while front:
-        found: dict[str, DataFrame] = {}
-
-        def add(t: str, rows: DataFrame) -> None:
-            found[t] = found[t].unionByName(rows) if t in found else rows  # noqa: B023  (called in this round only)
-
+        found = []
         for r in refs:
-            if r.rule == "cascade" and r.parent in front:
-                add(r.child, same_keys(r.child, _meet(slim[r.child], r.columns, front[r.parent].select(*r.parent_columns), "left_semi")))
-        for parent in {r.parent for r in refs if r.rule == "orphan" and r.child in front}:
+            twin = (r.child, r.columns, r.parent, r.parent_columns)
+            if r.rule == "cascade":
+                whole = None
+                for t, by, rows in front:
+                    if t == r.parent and not (by == ("orphan", r.parent) and twin in over["orphan"]):
+                        named = rows.select(*r.parent_columns)
+                        whole = named if whole is None else whole.union(named)
+                if whole is not None:
+                    found.append((r.child, ("cascade", *twin), same_keys(r.child, _meet(slim[r.child], r.columns, whole, "left_semi"), r.columns)))
+        for parent in dict.fromkeys(r.parent for r in refs if r.rule == "orphan"):
             namers = [r for r in refs if r.rule == "orphan" and r.parent == parent]
-            candidates = slim[parent].limit(0)
-            for r in namers:
-                if r.child in front:
-                    candidates = candidates.unionByName(_meet(slim[parent], r.parent_columns, front[r.child].select(*r.columns), "left_semi"))
-            for r in namers:
-                near = _meet(slim[r.child], r.columns, candidates.select(*r.parent_columns), "left_semi")
-                left = _meet(near, keys[r.child], gone(r.child).select(*keys[r.child]), "left_anti", safe=True)
-                candidates = _meet(candidates, r.parent_columns, left.select(*r.columns), "left_anti")
-            add(parent, same_keys(parent, candidates))
+            rows = orphans(parent, namers, front)
+            if rows is not None:
+                of_key = all(set(r.parent_columns) <= set(keys[parent]) for r in namers)
+                # rows that only share the key of one that is orphaned may have children: what found them is not told
+                found.append((parent, ("orphan", parent) if of_key else None, rows if of_key else same_keys(parent, rows)))
         front = settle(found)
     return {t: gone(t) for t in tables}
 

@@ -84,6 +84,30 @@ def test_a_long_chain_and_null_keys(spark):
     assert {r.id for r in gone["t"].collect()} == {2, 3, 4, 5, 6, 7, None}
 
 
+BOOK = {"order": "id int, who int", "line": "of int, n int"}
+
+
+def test_children_and_parents_that_went_together_are_not_asked_again(spark, monkeypatch):
+    rows = {"order": [(k, k % 4) for k in range(40)], "line": [(k % 40, k) for k in range(120)] + [(3, 1000), (3, 1000)]}
+    refs = [E.Ref("line", ("of",), "order", ("id",)), E.Ref("line", ("of",), "order", ("id",), "orphan")]
+    joined = []
+    meet = E._meet
+    monkeypatch.setattr(E, "_meet", lambda left, columns, right, how, safe=False: (joined.append((tuple(columns), how)), meet(left, columns, right, how, safe))[1])
+    gone = E.closure({t: spark.createDataFrame(r, BOOK[t]) for t, r in rows.items()}, {"order": ["id"], "line": ["of", "n"]}, refs, {"order": spark.createDataFrame([(3,), (7,)], "id int")})
+    assert {r.id for r in gone["order"].collect()} == {3, 7}
+    assert sorted(map(tuple, gone["line"].collect())) == sorted({r for r in rows["line"] if r[0] in (3, 7)})
+    # the seeds' orders, then their lines: no join by the lines' whole key, none of lines with orders that are gone
+    assert joined == [(("id",), "left_semi"), (("of",), "left_semi")]
+
+
+def test_rows_that_share_a_key_and_name_others(spark):
+    rows = {"order": [(k,) for k in range(4)], "line": [(1, 0), (1, 1), (2, 2), (3, 2), (4, 3)]}  # n, of: number 1 names two orders
+    refs = [E.Ref("line", ("of",), "order", ("id",)), E.Ref("line", ("of",), "order", ("id",), "orphan")]
+    tables = {"order": spark.createDataFrame(rows["order"], "id int"), "line": spark.createDataFrame(rows["line"], "n int, of int")}
+    gone = E.closure(tables, {"order": ["id"], "line": ["n"]}, refs, {"order": spark.createDataFrame([(0,)], "id int"), "line": spark.createDataFrame([(2,)], "n int")})
+    assert {r.id for r in gone["order"].collect()} == {0, 1} and {r.n for r in gone["line"].collect()} == {1, 2}
+
+
 def inputs(spark, most=3):
     rng = random.Random(4)
     rows = [(7 if k % 3 == 0 else rng.randrange(9), k, f"v{k % 5}") for k in range(200)] + [(None, 500, "x"), (77, 501, None)]
