@@ -90,11 +90,12 @@ UNION ALL SELECT 'lineitem', l_orderkey || '/' || l_partkey || '/' || l_suppkey
 def erasure_closure(t: Tables) -> DataFrame:
     """Every row that goes with the customers to be forgotten, over a graph of six tables."""
     _, gone = _gone(t)
-    told = [df.select(F.lit(k).alias("tbl"), F.concat_ws("/", *KEYS[k]).alias("row_key")) for k, df in gone.items() if k != "events"]
+    keyed = {k: df if set(df.columns) == set(KEYS[k]) else df.select(*KEYS[k]).distinct() for k, df in gone.items() if k != "events"}
+    told = [df.select(F.lit(k).alias("tbl"), F.concat_ws("/", *KEYS[k]).alias("row_key")) for k, df in keyed.items()]
     out = told[0]
     for df in told[1:]:
         out = out.unionByName(df)
-    return out.distinct()
+    return out
 
 
 @query(f"""{_GONE} SELECT 'event' AS kind, event_id AS id, CASE WHEN user_id IN (SELECT c_custkey FROM c) THEN NULL ELSE user_id END AS of_id FROM events UNION ALL SELECT 'order', o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)
