@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators import delta as D
 from ..operators import relational as R
+from ..sources.tables import written
 from .catalogue import Tables, money, query
 
 
@@ -252,26 +253,40 @@ def evidence_scores(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_quantity >= 10").select("l_orderkey", "l_linenumber", F.round(1 - F.pow(F.lit(2.0), -d / 4.8), 6).alias("score"))
 
 
+#: Texts that a task pairs with units.
+TEXTS = 8192
+
+
 @query("""WITH w AS (SELECT DISTINCT 'b' || item_id AS unit, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark), p AS (SELECT DISTINCT doc_id AS para, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents),
 nu AS (SELECT count(DISTINCT unit) AS n FROM w), np AS (SELECT count(DISTINCT para) AS n FROM p), iu AS (SELECT term, greatest(0, ln((n + 1) / (count(*) + 0.5)) / ln(n + 1)) AS i FROM w, nu WHERE term <> '' GROUP BY term, n), ip AS (SELECT term, greatest(0, ln((n + 1) / (count(*) + 0.5)) / ln(n + 1)) AS i FROM p, np WHERE term <> '' GROUP BY term, n),
 s AS (SELECT para, unit, round(sum(iu.i * ip.i), 6) AS score FROM p JOIN w USING (term) JOIN iu USING (term) JOIN ip USING (term) WHERE iu.i > 0.05 AND ip.i > 0.05 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY para ORDER BY score DESC, unit) AS rank FROM s WHERE score >= 1.5) SELECT para, unit, score, rank FROM r WHERE rank <= 3""")
 def aligned_units(t: Tables) -> DataFrame:
     """Units for each text by the words they share, idf of both sides multiplied; words that are
-    common on either side (0.05 or less) join nothing."""
-    def terms(df: DataFrame, key: F.Column) -> DataFrame:
-        return df.select(key.alias("k"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).filter("term != ''")
+    common on either side (0.05 or less) join nothing.
 
-    w, p = terms(t.benchmark, F.concat(F.lit("b"), F.col("item_id").cast("string"))), terms(t.documents, F.col("doc_id"))
+    A text's words that some unit has are written once.  Their weights go with the units' words,
+    and the texts' words are dealt by text before they meet these: the pairs of a text and a unit,
+    many times as many as the words, are made, summed and ranked where they are.
+    """
+    spark = t.documents.sparkSession
 
-    def weighted(x: DataFrame, n: DataFrame, name: str) -> DataFrame:
-        df = x.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row is broadcast
-        return df.select("term", F.greatest(F.lit(0.0), F.log((F.col("n") + 1) / (F.col("df") + 0.5)) / F.log(F.col("n") + 1)).alias(name))
+    def terms(df: DataFrame, key: F.Column, name: str) -> DataFrame:
+        return df.select(key.alias(name), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).filter("term != ''")
 
     def size(df: DataFrame, key: str) -> DataFrame:
         return df.filter("text is not null").select(key).distinct().agg(F.count("*").alias("n"))
 
-    both = weighted(w, size(t.benchmark, "item_id"), "u").join(weighted(p, size(t.documents, "doc_id"), "v"), "term").filter("u > 0.05 and v > 0.05")
-    score = p.withColumnRenamed("k", "para").join(w.withColumnRenamed("k", "unit"), "term").join(both, "term").groupBy("para", "unit").agg(F.round(F.sum(F.col("u") * F.col("v")), 6).alias("score"))
+    def weighted(x: DataFrame, n: DataFrame, name: str) -> DataFrame:
+        df = x.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row is broadcast
+        return df.select("term", F.greatest(F.lit(0.0), F.log((F.col("n") + 1) / (F.col("df") + 0.5)) / F.log(F.col("n") + 1)).alias(name))
+
+    parts = max(spark.sparkContext.defaultParallelism, -(-t.documents.count() // TEXTS))
+    w = terms(t.benchmark, F.concat(F.lit("b"), F.col("item_id").cast("string")), "unit").distinct()
+    p = terms(t.documents, F.col("doc_id"), "para").join(w.select("term").distinct(), "term", "left_semi")
+    p = written(p.select("para", "term").repartition(parts, "para").distinct())  # rows of the same doc_id are one text
+    weight = weighted(w, size(t.benchmark, "item_id"), "u").join(weighted(p, size(t.documents, "doc_id"), "v"), "term").filter("u > 0.05 and v > 0.05")
+    units = written(w.join(weight, "term").select("unit", "term", (F.col("u") * F.col("v")).alias("weight")))
+    score = p.repartition(parts, "para").join(units, "term").groupBy("para", "unit").agg(F.round(F.sum("weight"), 6).alias("score"))
     return R.ranked(score.filter("score >= 1.5"), ["para"], [F.desc("score"), "unit"], 3)
 
 

@@ -1,5 +1,6 @@
 """Values of scalars and order-dependent operators, and the library without the corpus subpackage."""
 
+import random
 import shutil
 import subprocess
 import sys
@@ -13,6 +14,7 @@ from tessella.functions import scalars as S
 from tessella.operators import delta as D
 from tessella.operators import greedy as G
 from tessella.operators import relational as R
+from tessella.plans.catalogue import ORACLES, QUERIES
 
 
 def values(spark, f, given):
@@ -114,3 +116,22 @@ def test_a_phrase_is_found_without_splitting_texts(spark):
     assert {r.id for r in df.collect()} == {0, 3, 4, 9}
     plan = QUERIES["search_phrase"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "RLIKE" in plan
+
+
+def test_units_are_paired_where_the_texts_are_dealt(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    WORDS = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(120)]
+    texts = [(k // 2 if k < 20 else k, some(25)) for k in range(60)] + [(70, None), (71, "")]  # ten numbers name two texts each
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, some(12)) for k in range(15)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES["aligned_units"](spark, str(tmp_path))
+    want = {(p, u, r): s for p, u, s, r in con.execute(ORACLES["aligned_units"]).fetchall()}
+    got = {(r.para, r.unit, r["rank"]): r.score for r in df.collect()}
+    assert len(want) > 10 and got == pytest.approx(want)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(para" in plan  # words of texts; no pairs
