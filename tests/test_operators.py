@@ -224,3 +224,28 @@ def test_similar_drops_what_cannot_be_among_the_first(spark):
     assert got == want
     dealt = [p.outputPartitioning().toString() for p in nodes(df._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ShuffleExchangeExec"]
     assert dealt and not [x for x in dealt if "doc" in x and "other" in x]
+
+
+def test_similar_deals_postings_three_times(spark):
+    """Before, postings were dealt five times and met with bags of strings; a null document was one of n."""
+    import math
+    import random
+
+    from tests.test_social import nodes
+
+    rng = random.Random(9)
+    rows = [(d, rng.choice("wv"), f"term {rng.randrange(40)}") for d in range(120) for _ in range(6)] + [(None, "w", "term 1"), (None, "w", "alone"), (3, "w", None), (4, "w", None), (5, None, "term 2"), (6, None, "term 2")]
+    count = {key: len({d for d, *x in rows if tuple(x) == key}) for key in {(k, t) for _, k, t in rows if k and t}}
+    bag = {d: {(k, t) for x, k, t in rows if x == d and count.get((k, t), 0) > 1} for d in range(120)}
+    for v in (1.0, -0.5):
+        df = R.similar(spark.createDataFrame(rows * 2, "d int, kind string, t string"), "d", "kind", "t", {"w": 3.0, "v": v}, 20, 4, 1.0)
+        got = {(r.doc, r.other, r.score, r.rank) for r in df.collect()}
+        w = {key: {"w": 3.0, "v": v}[key[0]] * math.log(1 + 120 / c) for key, c in count.items()}
+        want = set()
+        for d in bag:
+            scored = sorted((-round(sum(w[x] for x in bag[d] & bag[o]), 6), o) for o in bag if o != d and any(count[x] <= 20 for x in bag[d] & bag[o]))
+            want |= {(d, o, -s, j + 1) for j, (s, o) in enumerate(scored[:4]) if -s >= 1.0}
+        assert want and got == want
+    dealt = {p.canonicalized().toString(): p for p in nodes(df._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ShuffleExchangeExec"}
+    kinds = [p.schema().simpleString() for p in dealt.values()]
+    assert not [x for x in kinds if "array<string>" in x] and sum("string" in x for x in kinds) == 1
