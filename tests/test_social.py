@@ -106,3 +106,30 @@ def test_sources_of_many_shapes(spark):
         f = spark.createDataFrame(follows, "user int, kind string, target string, level string, at timestamp")
         got = {tuple(r) for r in W.sources(f, spark.createDataFrame(owned, "owner string, subject string"), 4).select("user", "subject", "level", "reason", "at", "partial").collect()}
         assert got == plain_sources(follows, owned, 4)
+
+
+def test_follows_are_dealt_once(spark):
+    """Before, lines met orders in each of seven reads, and follows were dealt again for each aggregation."""
+    from tessella.plans import social
+    from tessella.plans.catalogue import Tables
+
+    follows, owned = table(8)
+    follows += [(None, "repo", "s001", "all", DAY), (None, "thread", "s002#1", "all", DAY)]
+    f = spark.createDataFrame(follows, "user int, kind string, target string, level string, at timestamp")
+    df = W.sources(f, spark.createDataFrame([*owned, (None, "s001")], "owner string, subject string"), 4)
+    got = {tuple(r) for r in df.select("user", "subject", "level", "reason", "at", "partial").collect()}
+    assert got == plain_sources(follows, owned, 4)
+    dealt = [p.outputPartitioning().toString() for p in nodes(df._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert dealt and not [x for x in dealt if "user" in x and "subject" in x]
+    for x in social._follows(Tables(spark, "/root/testdata/sf0.001")):
+        assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_inbox_against_sql_shapes(spark):
+    """A thread followed at "all" counts all its events, one that is not only those that its source brings."""
+    at = [DAY + timedelta(hours=k) for k in range(9)]
+    found = spark.createDataFrame([(1, "a", "participating", "subscribed", at[0], True), (1, "b", "all", "organization", at[0], False), (2, "a", "all", "participating", at[0], False)], "user int, subject string, level string, reason string, at timestamp, partial boolean")
+    follows = spark.createDataFrame([(1, "thread", "a#1", "all", at[0]), (2, "thread", "a#2", "ignore", at[0]), (None, "thread", "a#1", "all", at[0])], "user int, kind string, target string, level string, at timestamp")
+    e = spark.createDataFrame([("a", "1", 9, 8, at[1], 1), ("a", "1", 9, 1, at[2], 2), ("a", "2", 9, 8, at[3], 3), ("a", "3", 9, 1, at[4], 4), ("a", "3", 9, 8, at[5], 5), ("b", "1", 9, 8, at[6], 6), ("b", "1", 1, 8, at[7], 7)], "subject string, thread string, actor int, author int, at timestamp, id int")
+    got = {tuple(r) for r in W.inbox(found, e, follows, F.lit(DAY), 9).select("user", "subject", "thread", "n", "latest", "reason", "partial").collect()}
+    assert got == {(1, "a", "1", 2, at[2], "author", True), (1, "a", "3", 1, at[4], "author", True), (1, "b", "1", 1, at[6], "organization", False), (2, "a", "1", 2, at[2], "participating", False), (2, "a", "3", 2, at[5], "participating", False)}
